@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import decontaminate
 from .rules import op2_quality_rules
 from .simhash import op1_simhash
 from .toxicity import op10_toxicity
@@ -15,7 +16,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_quality_rules": op2_quality_rules,
     "op3_quality_classifier": op3_quality_classifier,
+    "op4_decontamination": decontaminate.op4_decontamination,
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op4_decontamination": decontaminate.ORACLE,
+}
