@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import decontaminate
+from .licenses import op7_license_scan
 from .rules import op2_quality_rules
 from .simhash import op1_simhash
 from .toxicity import op10_toxicity
@@ -17,6 +18,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_decontamination": decontaminate.op4_decontamination,
+    "op7_license_scan": op7_license_scan,
     "op10_toxicity": op10_toxicity,
 }
 
