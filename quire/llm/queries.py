@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import decontaminate
 from .licenses import op7_license_scan
+from .pii import op8_personal_data
 from .rules import op2_quality_rules
+from .secrets import op9_secret_scan
 from .simhash import op1_simhash
 from .toxicity import op10_toxicity
 from .trees import op3_quality_classifier
@@ -19,6 +21,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_classifier": op3_quality_classifier,
     "op4_decontamination": decontaminate.op4_decontamination,
     "op7_license_scan": op7_license_scan,
+    "op8_personal_data": op8_personal_data,
+    "op9_secret_scan": op9_secret_scan,
     "op10_toxicity": op10_toxicity,
 }
 
