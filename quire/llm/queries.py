@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import decontaminate
 from .licenses import op7_license_scan
+from .mixing import op5_mixing
 from .pii import op8_personal_data
 from .rules import op2_quality_rules
 from .secrets import op9_secret_scan
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_decontamination": decontaminate.op4_decontamination,
+    "op5_mixing": op5_mixing,
     "op7_license_scan": op7_license_scan,
     "op8_personal_data": op8_personal_data,
     "op9_secret_scan": op9_secret_scan,
