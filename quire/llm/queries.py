@@ -13,6 +13,8 @@ from .pii import op8_personal_data
 from .rules import op2_quality_rules
 from .secrets import op9_secret_scan
 from .simhash import op1_simhash
+from .suffix import ORACLE as SUFFIX_ORACLE
+from .suffix import op6_suffix_dedup
 from .toxicity import op10_toxicity
 from .trees import op3_quality_classifier
 
@@ -22,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_classifier": op3_quality_classifier,
     "op4_decontamination": decontaminate.op4_decontamination,
     "op5_mixing": op5_mixing,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_license_scan": op7_license_scan,
     "op8_personal_data": op8_personal_data,
     "op9_secret_scan": op9_secret_scan,
@@ -30,4 +33,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op4_decontamination": decontaminate.ORACLE,
+    "op6_suffix_dedup": SUFFIX_ORACLE,
 }
