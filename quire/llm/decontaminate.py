@@ -64,6 +64,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) ->
     )
 
 
+def keep_clean(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
+    """The rows of docs (doc_id, text, ...) without a hit, with all their columns."""
+    hit = materialize(Search(docs, benchmark, size).phrases().select("d", "k").distinct())
+    keyed = docs.withColumn("__d", F.coalesce("doc_id", F.lit(0))).withColumn("__k", row_key("doc_id", "text"))
+    return keyed.join(hit.withColumnsRenamed({"d": "__d", "k": "__k"}), ["__d", "__k"], "left_anti").drop("__d", "__k")
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("k")
 

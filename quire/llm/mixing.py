@@ -23,6 +23,7 @@ SAMPLE = 600
 #: Posteriors are rounded to this many decimals, so that documents of one profile share a rate.
 DECIMALS = 3
 ROUNDS, CLOSE = 60, 1e-5
+WHOLE = 0.95
 
 
 class DomainModel:
@@ -64,7 +65,7 @@ def train(docs: DataFrame, labels: DataFrame, domain: str = "lang", per_domain:
 def with_posteriors(docs: DataFrame, model: DomainModel, keep: list[str]) -> DataFrame:
     """keep columns of docs, n_tokens (words between ASCII blanks) and posterior (array, in the order of model.domains)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema)
+    fields = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in docs.select(*keep).schema)
 
     def run(batch: pa.RecordBatch) -> dict:
         texts = [t or "" for t in batch.column("text").to_pylist()]
@@ -73,7 +74,7 @@ def with_posteriors(docs: DataFrame, model: DomainModel, keep: list[str]) -> Dat
             "posterior": [shared.value(t).astype(float).tolist() for t in texts],
         }
 
-    return map_texts(docs, list(dict.fromkeys([*keep, "text"])), f"{fields}, n_tokens long, posterior array<double>", run)
+    return map_texts(docs, list(dict.fromkeys([*keep, "text"])), f"{fields}n_tokens long, posterior array<double>", run)
 
 
 class Plan:
@@ -113,8 +114,11 @@ class Plan:
 
 
 def copies(rate: Column, key: Column) -> Column:
-    """Whole copies with the rate as their mean; the fraction is drawn by a hash of the row."""
-    return F.floor(rate + F.pmod(key, F.lit(1_000_003)) / 1_000_003.0).cast("int")
+    """Whole copies with the rate as their mean; the fraction is drawn by a hash of the row.
+
+    Soft membership leaves rates just under 1 in a domain that keeps all its tokens; from WHOLE on they count as 1."""
+    drawn = F.floor(rate + F.pmod(key, F.lit(1_000_003)) / 1_000_003.0).cast("int")
+    return F.when(rate >= WHOLE, F.greatest(drawn, F.lit(1))).otherwise(drawn)
 
 
 def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, domain: str = "lang") -> DataFrame:

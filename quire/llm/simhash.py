@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, local_forest, map_texts, materialize, table
+from .common import connected_components, local_forest, map_texts, materialize, row_key, table
 
 RADIUS = 4
 SHINGLE = 4
@@ -140,6 +140,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(nodes.join(lowest, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, seed: int = SEED) -> DataFrame:
+    """One row of docs (doc_id, text, ...) of each component, with all its columns.
+
+    It is the row of the smallest id (null last) and, of rows that share that, of the smallest text hash; equal rows
+    are one. Only (id, key, fingerprint) is grouped, so a component never has to fit into one task."""
+    keyed = docs.select("doc_id", row_key("doc_id", "text").alias("key"), "text")
+    source = keyed.select(F.col("doc_id").cast("long").alias("doc_id"), "key", "text")
+
+    def run(batch: pa.RecordBatch) -> dict:
+        fps = np.fromiter((fingerprint(t or "", shingle, seed) for t in batch.column("text").to_pylist()), np.uint64, batch.num_rows)
+        return {"doc_id": batch.column("doc_id"), "key": batch.column("key"), "fp": pa.array(fps.view(np.int64))}
+
+    fps = materialize(map_texts(source, ["doc_id", "key", "text"], "doc_id long, key long, fp long", run))
+    component = connected_components(materialize(links(fps, radius))).withColumnRenamed("node", "fp")
+    lowest = fps.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first"))
+    first = lowest.join(component, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
+    kept = materialize(first.select(F.col("first.doc_id").alias("__id"), F.col("first.key").alias("__key")))
+    chosen = docs.withColumn("__key0", row_key("doc_id", "text")).join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__key0") == F.col("__key")), "left_semi").drop("__key0")
+    return chosen.dropDuplicates(["doc_id", "text"]) if _has_repeats(fps) else chosen
+
+
+def _has_repeats(fps: DataFrame) -> bool:
+    return bool(fps.groupBy("doc_id", "key").agg(F.count("*").alias("n")).where("n > 1").limit(1).count())
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

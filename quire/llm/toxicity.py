@@ -216,5 +216,16 @@ def score(docs: DataFrame, labels: DataFrame, cut: float = CUT, per_class: int =
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
 
 
+def keep_clean(docs: DataFrame, labels: DataFrame, cut: float = CUT, per_class: int = SAMPLE) -> DataFrame:
+    """The rows of docs below the cut, with all their columns; null texts stay. Like score(), in one pass."""
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, per_class))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array([shared.value(t or "") < cut for t in batch.column("text").to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
