@@ -82,3 +82,35 @@ def compile_documents(files: DataFrame, command: list[str], timeout: float | Non
             yield pd.DataFrame(rows, columns=["path", "html", "error"])
 
     return files.select("path", "content").mapInPandas(run, "path string, html string, error string")
+
+
+def pdf_structure(files: DataFrame) -> DataFrame:
+    """(path, pages, size, tagged, created, error) of binary rows (path, content).
+
+    Needs the optional pypdf package on the executors; without it, or for a file that it can't read, everything but
+    the path is null and error says why."""
+    import pandas as pd
+
+    names = ["path", "pages", "width_pt", "height_pt", "tagged", "created", "error"]
+
+    def read(path, content) -> tuple:
+        import io
+
+        try:
+            from pypdf import PdfReader
+
+            pdf = PdfReader(io.BytesIO(content))
+            root, box = pdf.trailer["/Root"], pdf.pages[0].mediabox
+            return path, len(pdf.pages), float(box.width), float(box.height), "/MarkInfo" in root or "/StructTreeRoot" in root, (pdf.metadata or {}).get("/CreationDate"), None
+        except Exception as e:  # damaged files raise all sorts; the row reports it
+            return path, None, None, None, None, None, type(e).__name__
+
+    def run(batches):
+        for pdf in batches:
+            yield pd.DataFrame([read(p, c) for p, c in zip(pdf["path"], pdf["content"], strict=True)], columns=names)
+
+    raw = files.select("path", "content").mapInPandas(run, "path string, pages int, width_pt double, height_pt double, tagged boolean, created string, error string")
+    from ..functions.text import page_size_text, pdf_date
+
+    size = F.when(F.col("width_pt").isNotNull(), page_size_text(F.col("width_pt"), F.col("height_pt"))).otherwise("Unknown")
+    return raw.select("path", "pages", size.alias("size"), "tagged", pdf_date(F.col("created")).alias("created"), "error")

@@ -259,3 +259,34 @@ def test_landing_is_idempotent(spark, tmp_path):
     progress.land(stream(), out)  # nothing new
     assert sorted(r.translated for r in progress.landed(spark, out, ["doc_id", "seg_id"], ["translated"]).collect()) == ["A", "B"]
     assert spark.read.parquet(f"{out}/rows").count() == 4
+
+
+def test_engine_from_files_to_pages(spark, tmp_path):
+    from quire.api import main
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.html").write_text(PAGE, encoding="utf-8")
+    assert main([str(tmp_path / "in"), str(tmp_path / "out"), "-l", "de"]) == 0
+    page = spark.read.parquet(str(tmp_path / "out" / "html")).first().html
+    assert '"g-0":"[x] Two words"' in page and page.index("@page{size:A4") < page.index("</head>") and page.index("quirePayload") < page.index("</body>")
+    assert {r.status for r in spark.read.parquet(str(tmp_path / "out" / "work" / "assembled")).collect()} == {"ok"}
+
+
+def test_sinks_and_structure(spark, tmp_path):
+    from quire.sources import sinks
+
+    docs = spark.createDataFrame([(1, "<p>a</p>"), (2, "<p>b</p>")], "doc_id long, html string")
+    sinks.write_text(docs, str(tmp_path / "t"))
+    assert spark.read.text(str(tmp_path / "t")).count() == 2
+    assert sorted(bytes(r.content) for r in sinks.print_documents(docs, ["cp", "{in}", "{out}"]).collect()) == [b"<p>a</p>", b"<p>b</p>"]
+    assert {r.error for r in sinks.print_documents(docs, ["false"]).collect()} == {"exit 1"}
+    (tmp_path / "x.pdf").write_bytes(b"junk")
+    got = tables.pdf_structure(spark.read.format("binaryFile").load(str(tmp_path / "x.pdf"))).first()
+    assert got.pages is None and got.error and got.size == got.created == "Unknown"
+
+
+def test_registry(spark):
+    import __spark_entry__
+
+    assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+    assert __spark_entry__.entry(spark).columns == ["doc_id", "batch_no", "n_segments", "estimated_tokens", "first_seg", "last_seg"]
