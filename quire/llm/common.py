@@ -53,15 +53,15 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> DataFrame:
-    """(text, y) of labelled training rows: at most `per_class` of each label, those of the smallest id hash.
+    """(doc_id, text, y) of labelled training rows: at most `per_class` of each label, those of the smallest id hash.
 
-    Held-out ids, null ids and null labels are left out; of several labels of an id the largest counts."""
+    A written table, as training reads it more than once. Held-out ids, null ids and null labels are left out; of several labels of an id the largest counts."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
     chosen = None
     for y in (0, 1):
         part = known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         chosen = part if chosen is None else chosen.unionByName(part)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "y")
+    return materialize(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "y"))
 
 
 def map_texts(df: DataFrame, columns: list[str], schema: str, fn: Callable[[pa.RecordBatch], dict]) -> DataFrame:

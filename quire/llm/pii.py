@@ -161,16 +161,20 @@ def detect(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """docs with every reported span of `text` replaced by its kind in angle brackets; null texts stay null."""
-    columns = docs.columns
-    model = train(candidates(docs.select("text")).select("found"))
-    out = with_spans(candidates(docs.withColumn("__text", F.col("text")), "__text"), model)
+    """docs with every reported span of `text` replaced by its kind in angle brackets; null texts stay null.
+
+    Other columns, whatever their names, come through as they are. Of overlapping spans the first is replaced and the
+    rest of the others goes with it."""
+    model = train(materialize(candidates(docs.select("text")).select("found")))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
+    out = with_spans(candidates(packed), model)
     ordered = "array_sort(transform(spans, x -> named_struct('start', x.start, 'end', x.end, 'kind', x.kind)))"
     cut = f"""aggregate({ordered}, named_struct('pos', 0, 'out', cast(array() AS array<string>)),
       (a, x) -> CASE WHEN x.start < a.pos THEN named_struct('pos', greatest(a.pos, x.end), 'out', a.out)
         ELSE named_struct('pos', x.end, 'out', concat(a.out, array(substring(text, a.pos + 1, x.start - a.pos), concat('<', upper(x.kind), '>')))) END,
       a -> concat(array_join(a.out, ''), substring(text, a.pos + 1)))"""
-    return out.withColumn("text", F.when(F.size("spans") > 0, F.expr(cut)).otherwise(F.col("text"))).select(*columns)
+    out = out.withColumn("text", F.when(F.size("spans") > 0, F.expr(cut)).otherwise(F.col("text")))
+    return out.select(*[F.col("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
