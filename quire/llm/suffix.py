@@ -25,11 +25,15 @@ from .common import materialize, row_key, table
 
 LENGTH = 200
 GRAM = 40
-#: Different segments in one block of the column-wise construction, at most.
+#: Different segments of one minimizer in one block of the column-wise construction, at most.
 BLOCK = 20_000
+#: A block is built once it holds so many; small blocks stay in the processor's cache.
+ENOUGH = 500
+#: Places of a minimizer in its windows that are filtered together before the construction.
+STEP = 16
 
 _MULT = np.uint64(0x9E3779B97F4A7C15)
-_STEP = np.uint64(0x5851F42D4C957F2D)
+_TURN = np.uint64(0x5851F42D4C957F2D)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -51,12 +55,12 @@ def _gram_hashes(raw: np.ndarray, gram: int) -> np.ndarray:
                 done, done_size = have, size
             else:
                 n = raw.size - done_size - size + 1
-                done = _mix(done[:n] * _STEP + have[done_size : done_size + n])
+                done = _mix(done[:n] * _TURN + have[done_size : done_size + n])
                 done_size += size
         left >>= 1
         if left:
             n = raw.size - 2 * size + 1
-            have = _mix(have[:n] * _STEP + have[size : size + n])
+            have = _mix(have[:n] * _TURN + have[size : size + n])
             size *= 2
     return done
 
@@ -84,11 +88,11 @@ def segments(raw: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.nda
 def _segment_rows(length: int, gram: int):
     import xxhash
 
-    schema = pa.schema([("d", pa.int64()), ("k", pa.int64()), ("s0", pa.int32()), ("n", pa.int32()), ("anchor", pa.int64()), ("seg", pa.int64())])
+    schema = pa.schema([("d", pa.int64()), ("k", pa.int64()), ("s0", pa.int32()), ("n", pa.int16()), ("off", pa.int16()), ("anchor", pa.int64()), ("seg", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], [], [], [], []]
+            out: list[list] = [[] for _ in schema]
             for d, k, text in zip(batch.column("d").to_pylist(), batch.column("k").to_pylist(), batch.column("t").to_pylist(), strict=True):
                 raw = text.encode("utf-8", "surrogatepass")
                 s0, n, at, anchor = segments(raw, length, gram)
@@ -97,12 +101,12 @@ def _segment_rows(length: int, gram: int):
                 # the seed holds the offset of the minimizer, so that equal hashes mean equally placed windows
                 h = xxhash.xxh3_64_intdigest
                 seg = np.fromiter((h(raw[a : a + c + length - 1], p - a) for a, c, p in zip(s0.tolist(), n.tolist(), at.tolist(), strict=True)), np.uint64, s0.size)
-                for column, x in zip(out, (np.full(s0.size, d), np.full(s0.size, k), s0, n, anchor.view(np.int64), seg.view(np.int64)), strict=True):
+                for column, x in zip(out, (np.full(s0.size, d), np.full(s0.size, k), s0, n, at - s0, anchor.view(np.int64), seg.view(np.int64)), strict=True):
                     column.append(x)
             if out[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), type=f.type) for x, f in zip(out, schema, strict=True)], schema=schema)
 
-    return run, "d long, k long, s0 int, n int, anchor long, seg long"
+    return run, "d long, k long, s0 int, n short, off short, anchor long, seg long"
 
 
 def transform_order(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -114,23 +118,28 @@ def transform_order(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     m = len(parts)
     sizes = np.fromiter(map(len, parts), np.int64, m)
     starts = np.concatenate(([0], np.cumsum(sizes + 1)[:-1]))
-    text = np.zeros(int(sizes.sum()) + m, np.int16)
-    text[np.concatenate([np.arange(a, a + n) for a, n in zip(starts.tolist(), sizes.tolist(), strict=True)])] = np.frombuffer(b"".join(parts), np.uint8).astype(np.int16) + 1
-    symbol = text.astype(np.uint16)
+    raw = np.frombuffer(b"\0".join(parts) + b"\0", np.uint8)
+    used = np.zeros(256, bool)
+    inside = np.ones(raw.size, bool)
+    inside[starts + sizes] = False
+    used[raw[inside]] = True
+    dense = np.cumsum(used)  # 0 stays for the ends
+    symbol = dense.astype(np.uint8 if dense[-1] < 256 else np.uint16)[raw]
+    symbol[~inside] = 0
     place = starts + sizes  # where the suffix inserted last starts
-    bwt = np.where(sizes > 0, symbol[np.maximum(place - 1, 0)], 0).astype(np.uint16)
+    bwt = np.where(sizes > 0, symbol[np.maximum(place - 1, 0)], 0).astype(symbol.dtype)
     at = np.arange(m)  # its rank
     live = np.flatnonzero(sizes > 0)
+    count = np.arange(symbol.size, dtype=np.int32)
     while live.size:
-        ends = int((bwt == 0).sum())
-        rank = np.empty(bwt.size, np.int64)
-        rank[np.argsort(bwt, kind="stable")] = np.arange(bwt.size)
-        at[live] = m - ends + rank[at[live]]
+        rank = np.empty(bwt.size, np.int32)
+        rank[np.argsort(bwt, kind="stable")] = count[: bwt.size]
+        at[live] = live.size + rank[at[live]]  # the other m - live.size strings are complete and have end marks
         place[live] -= 1
         before = np.where(place[live] > starts[live], symbol[np.maximum(place[live] - 1, 0)], 0)
         kept = np.ones(bwt.size + live.size, bool)
         kept[at[live]] = False
-        grown = np.empty(kept.size, np.uint16)
+        grown = np.empty(kept.size, symbol.dtype)
         grown[kept] = bwt
         grown[at[live]] = before
         bwt = grown
@@ -177,30 +186,94 @@ def _runs(mask: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True))
 
 
+def shared_parts(group: list[tuple[int, int, bytes]], length: int = LENGTH) -> tuple[list[tuple[int, int, bytes]], list[tuple[int, int, int]]]:
+    """What of one minimizer's segments (key, offset of the minimizer, bytes) can hold a repeat, and what surely does.
+
+    The windows of a segment are taken in steps of STEP places relative to the minimizer. All windows of a step share
+    a core of length - STEP + 1 bytes, so two equal windows lie in segments with equal cores in that step. Parts
+    without a partner are left out, and of equal parts one stands for all. Gives the parts left to sort (index into
+    group, first window, bytes) and the windows already known to repeat (key, from, before)."""
+    core = length - STEP + 1
+
+    def steps(off: int, n: int) -> Iterator[tuple[int, int, int]]:
+        """(step, first window, last window) of a segment with n windows."""
+        for j in range((off - n + 1) // STEP, off // STEP + 1):
+            yield j, max(0, off - STEP * j - STEP + 1), min(n - 1, off - STEP * j)
+
+    def alone(items: list[tuple[int, bytes]]) -> set[tuple[int, bytes]]:
+        seen: dict[tuple[int, bytes], int] = {}
+        for off, x in items:
+            for j, _, _ in steps(off, len(x) - length + 1):
+                c = (j, x[off - STEP * j : off - STEP * j + core])
+                seen[c] = seen.get(c, 0) + 1
+        return {c for c, k in seen.items() if k == 1}
+
+    single = alone([(off, x) for _, off, x in group])
+    parts: dict[tuple[int, bytes], list[tuple[int, int]]] = {}
+    for i, (_, off, x) in enumerate(group):
+        first = last = None
+        for j, lo, hi in sorted(steps(off, len(x) - length + 1), key=lambda s: s[1]):
+            if (j, x[off - STEP * j : off - STEP * j + core]) in single:
+                if first is not None:
+                    parts.setdefault((off - first, x[first : last + length]), []).append((i, first))
+                first = None
+            else:
+                first, last = lo if first is None else first, hi
+        if first is not None:
+            parts.setdefault((off - first, x[first : last + length]), []).append((i, first))
+    known = [(group[i][0], first, first + len(x) - length + 1) for (_, x), owners in parts.items() if len(owners) > 1 for i, first in owners]
+    single = alone(list(parts))
+    left = []
+    for (off, x), owners in parts.items():
+        if any((j, x[off - STEP * j : off - STEP * j + core]) not in single for j, _, _ in steps(off, len(x) - length + 1)):
+            left += [(i, first, x) for i, first in owners[:1]]
+    return left, known
+
+
 _VERDICT = "anchor long, seg long, ranges array<struct<a:int,b:int>>"
 
 
 def _sorted_blocks(length: int, block: int):
+    """Rows (anchor, seg, off, bytes), sorted by anchor, to the repeated windows of their segments."""
     schema = pa.schema([("anchor", pa.int64()), ("seg", pa.int64()), ("ranges", pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())])))])
 
-    def judged(keys: list[tuple[int, int]], parts: list[bytes]) -> pa.RecordBatch:
-        rows = [(a, s, [{"a": x, "b": y} for x, y in _runs(mask)]) for (a, s), mask in zip(keys, repeated_windows(parts, length), strict=True)]
-        rows = [r for r in rows if r[2]]
+    def batch(rows: list[tuple[int, int, list]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], type=f.type) for i, f in enumerate(schema)], schema=schema)
 
+    def judged(keys: list[tuple[int, int, int]], parts: list[bytes]) -> list[tuple[int, int, list]]:
+        rows = [(a, s, [{"a": first + x, "b": first + y} for x, y in _runs(mask)]) for (a, s, first), mask in zip(keys, repeated_windows(parts, length), strict=True)]
+        return [r for r in rows if r[2]]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come sorted by anchor; a block ends only where the anchor changes."""
-        keys: list[tuple[int, int]] = []
+        keys: list[tuple[int, int, int]] = []
         parts: list[bytes] = []
-        for batch in batches:
-            for a, s, x in zip(batch.column("anchor").to_pylist(), batch.column("seg").to_pylist(), batch.column("bytes").to_pylist(), strict=True):
-                if len(parts) >= block and keys[-1][0] != a:
-                    yield judged(keys, parts)
-                    keys, parts = [], []
-                keys.append((a, s))
+        rows: list[tuple[int, int, list]] = []
+        group: list[tuple[int, int, bytes]] = []
+        anchor = None
+
+        def close() -> None:
+            nonlocal keys, parts, rows
+            left, known = shared_parts(group, length)
+            rows.extend((anchor, s, [{"a": a, "b": b}]) for s, a, b in known)
+            for i, first, x in left:
+                keys.append((anchor, group[i][0], first))
                 parts.append(x)
-        if parts:
-            yield judged(keys, parts)
+            group.clear()
+
+        for record in batches:
+            for a, s, off, x in zip(*(record.column(c).to_pylist() for c in ("anchor", "seg", "off", "bytes")), strict=True):
+                if a != anchor:
+                    if group:
+                        close()
+                    anchor = a
+                    if len(parts) >= ENOUGH or len(rows) >= block:
+                        yield batch(rows + (judged(keys, parts) if parts else []))
+                        keys, parts, rows = [], [], []
+                group.append((s, off, x))
+        if group:
+            close()
+        yield batch(rows + (judged(keys, parts) if parts else []))
 
     return run
 
@@ -219,14 +292,14 @@ def _window_hashes(length: int):
 
 
 def _cut(length: int):
-    schema = pa.schema([("anchor", pa.int64()), ("seg", pa.int64()), ("big", pa.bool_()), ("bytes", pa.binary())])
+    schema = pa.schema([("anchor", pa.int64()), ("seg", pa.int64()), ("big", pa.bool_()), ("off", pa.int16()), ("bytes", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for text, needs in zip(batch.column("t").to_pylist(), batch.column("needs").to_pylist(), strict=True):
                 raw = text.encode("utf-8", "surrogatepass")
-                rows += [(x["anchor"], x["seg"], x["big"], raw[x["s0"] : x["s0"] + x["n"] + length - 1]) for x in needs]
+                rows += [(x["anchor"], x["seg"], x["big"], x["off"], raw[x["s0"] : x["s0"] + x["n"] + length - 1]) for x in needs]
             for i in range(0, len(rows), 20_000):
                 yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows[i : i + 20_000]], type=f.type) for j, f in enumerate(schema)], schema=schema)
 
@@ -248,15 +321,15 @@ def repeats(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, block: int
     _release(spark)
     met = materialize(every.join(shared, "anchor"))
     _release(spark)
-    distinct = met.groupBy("anchor", "seg", "varied").agg(F.count("*").alias("c"), F.min(F.struct("d", "k", "s0", "n")).alias("rep"))
-    whole = distinct.where("c > 1").select("anchor", "seg", F.expr("array(named_struct('a', 0, 'b', rep.n))").alias("ranges"))
+    distinct = met.groupBy("anchor", "seg", "varied").agg(F.count("*").alias("c"), F.min(F.struct("d", "k", "s0", "n", "off")).alias("rep"))
+    whole = distinct.where("c > 1").select("anchor", "seg", F.expr("array(named_struct('a', 0, 'b', int(rep.n)))").alias("ranges"))
     varied = materialize(distinct.where("varied").select("anchor", "seg", "c", "rep.*"))
     sizes = varied.groupBy("anchor").agg(F.count("*").alias("m")).where(F.col("m") > block).select("anchor", F.lit(True).alias("big"))
-    needs = varied.join(materialize(sizes), "anchor", "left").groupBy("d", "k").agg(F.collect_list(F.struct("anchor", "seg", F.coalesce("big", F.lit(False)).alias("big"), "s0", "n")).alias("needs"))
-    cut = materialize(rows.join(needs, ["d", "k"]).select("t", "needs").mapInArrow(_cut(length), "anchor long, seg long, big boolean, bytes binary").dropDuplicates(["anchor", "seg"]))
+    needs = varied.join(materialize(sizes), "anchor", "left").groupBy("d", "k").agg(F.collect_list(F.struct("anchor", "seg", F.coalesce("big", F.lit(False)).alias("big"), "s0", "n", "off")).alias("needs"))
+    cut = materialize(rows.join(needs, ["d", "k"]).select("t", "needs").mapInArrow(_cut(length), "anchor long, seg long, big boolean, off short, bytes binary").dropDuplicates(["anchor", "seg"]))
     _release(spark)
     parts = max(1, -(-cut.count() // (2 * block)))
-    few = cut.where("NOT big").select("anchor", "seg", "bytes").repartition(parts, "anchor").sortWithinPartitions("anchor", "seg").mapInArrow(_sorted_blocks(length, block), _VERDICT)
+    few = cut.where("NOT big").select("anchor", "seg", "off", "bytes").repartition(parts, "anchor").sortWithinPartitions("anchor", "seg").mapInArrow(_sorted_blocks(length, block), _VERDICT)
     windows = materialize(cut.where("big").select("anchor", "seg", "bytes").mapInArrow(_window_hashes(length), "anchor long, seg long, i int, w binary"))
     twice = windows.groupBy("w").agg(F.min(F.struct("anchor", "seg", "i")).alias("x"), F.max(F.struct("anchor", "seg", "i")).alias("y")).where("x != y").select("w")
     many = windows.join(twice, "w", "left_semi").select("anchor", "seg", F.array(F.struct(F.col("i").alias("a"), (F.col("i") + 1).alias("b"))).alias("ranges"))
