@@ -21,10 +21,11 @@ from .common import connected_components, local_forest, map_texts, materialize,
 RADIUS = 4
 SHINGLE = 4
 SEED = 42
-#: Distinct fingerprints for which one salt is added; the fullest tile holds about a hundredth of them.
-PER_SALT = 400_000
-#: Salts of one neighbour tile that one group reads.
-SALTS_A_GROUP = 64
+#: Distinct fingerprints for which one salt is added; the fullest tile holds about a hundredth of them. Each salt sends
+#: every fingerprint to its neighbour tiles once more, so tiles are made as large as a task easily holds.
+PER_SALT = 4_000_000
+#: Salts of one neighbour tile that one group reads; a group has 21 neighbours at most.
+SALTS_A_GROUP = 8
 
 
 def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
