@@ -35,7 +35,7 @@ SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8":
 #: Cyrillic and Greek letters that look like Latin ones.
 HOMOGLYPHS = {"а": "a", "в": "b", "с": "c", "е": "e", "н": "h", "і": "i", "ј": "j", "к": "k", "м": "m", "о": "o", "р": "p", "ѕ": "s", "т": "t", "у": "y", "х": "x", "α": "a", "β": "b", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x"}
 
-_SIGNS = re.compile(r"(?<=[^\W_])[@$](?=[^\W_])")
+_SIGNS = re.compile(r"(?<=[^\W_])[@$](?=[^\W_])|(?<![\w@$])[@$](?=[^\W\d_]{2})")
 _DIGITS = re.compile(r"(?<=[a-z])[0134578]+(?=[a-z])|(?<![0-9a-z])[0134578](?=[a-z]{2})|(?<=[a-z]{2})[0134578](?![0-9a-z])")
 _HAS_DIGIT = re.compile(r"[0-9]")
 

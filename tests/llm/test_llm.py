@@ -198,7 +198,7 @@ def test_classifiers_without_labels(spark, docs, labels):
 
 
 def test_fold_and_matcher():
-    assert toxicity.fold("1d10t Mörön $cum а").split() == ["idiot", "moron", "scum", "a"] or toxicity.fold("id10t Mörön s¢").split()[1] == "moron"
+    assert toxicity.fold("1diot Mörön $cum l0s3r а 2024 the$$$ x@y").split() == ["idiot", "moron", "scum", "loser", "a", "2024", "the", "xay"]
     m = toxicity.Matcher({" trash ": 2.0, " lowei": 3.0})
     assert m.measures("the trash can")[0] == 0 and m.measures("the trash")[2] > 0 and m.measures("loweixyz slowei")[2] == pytest.approx(np.log1p(1))
 
