@@ -41,7 +41,8 @@ def batches(segments: DataFrame, key: str = "doc_id", order: str = "pos", budget
     rows = translatable(segments).select(key, F.struct(F.col(order).alias("ord"), F.col("seg_id").alias("id"), "text", "page_idx", "tokens").alias("s"))
     listed = rows.groupBy(key).agg(F.array_sort(F.collect_list("s")).alias("all"))
     listed = listed.withColumn("starts", batch_starts("transform(all, s -> s.tokens)", budget or DEFAULT_TOKEN_LIMIT, max_rows))
-    cut = listed.select(key, "all", "starts", F.posexplode("starts").alias("batch_no", "first"))
+    # every row has a start; the outer form keeps Catalyst from checking that by a second fold
+    cut = listed.select(key, "all", "starts", F.posexplode_outer("starts").alias("batch_no", "first"))
     size = F.coalesce(F.get("starts", F.col("batch_no") + 1), F.size("all")) - F.col("first")
     out = cut.select(key, "batch_no", F.slice("all", F.col("first") + 1, size).alias("segments"))
     return out.withColumn("n_segments", F.size("segments").cast("long")).withColumn("estimated_tokens", F.expr("aggregate(segments, 0L, (a, s) -> a + s.tokens)"))
