@@ -95,6 +95,13 @@ def test_wrapped_lines_hold_every_run(spark):
     assert "data-trans-id" not in got[0, 2] and 'data-trans-id="g-3"' in got[1, 0]
 
 
+def test_visual_order(spark):
+    lines = spark.createDataFrame([(1, 0, 0, ["t", "x1", "y1"]), (1, 0, 1, ["x0", "y2"]), (1, 0, 2, ["x0", "y1"]), (1, 1, 0, ["t"])], "doc_id int, page_idx int, line_no int, line_classes array<string>")
+    rules = css.style_rules(spark.createDataFrame([(1, ".x0{left:5px} .x1{left:9px} .y1{bottom:50px} .y2{bottom:70px}")], "doc_id int, css string"), ["doc_id"])
+    got = layout.visual_order(lines, rules).orderBy("page_idx", "visual_no").collect()
+    assert [(r.line_no, r.x, r.y) for r in got] == [(1, 5.0, 70.0), (2, 5.0, 50.0), (0, 9.0, 50.0), (0, 0.0, 0.0)]
+
+
 def test_malformed_pages_parse():
     rows = html.runs_of("<p>a <b>bold<br>more<p>second</i> x<script>var y</script></p><td>cell", plain=True)
     lines = {}
@@ -259,6 +266,8 @@ def test_landing_is_idempotent(spark, tmp_path):
     progress.land(stream(), out)  # nothing new
     assert sorted(r.translated for r in progress.landed(spark, out, ["doc_id", "seg_id"], ["translated"]).collect()) == ["A", "B"]
     assert spark.read.parquet(f"{out}/rows").count() == 4
+    assert progress.cancellable(spark, "t1", lambda: spark.range(3).count()) == 3
+    assert progress.clear(spark, out) and not progress.clear(spark, out)
 
 
 def test_engine_from_files_to_pages(spark, tmp_path):
