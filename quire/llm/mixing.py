@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ngrams
-from .common import map_texts, materialize, row_key, table
+from .common import map_texts, materialize, row_key, small, table
 from .rules import sample_vectors
 
 #: Target shares of the expected tokens. Domains that aren't listed keep their tokens.
@@ -51,6 +51,10 @@ def train(docs: DataFrame, labels: DataFrame, domain: str = "lang", per_domain:
 
     known = labels.where(F.col("doc_id").isNotNull()).select("doc_id").distinct()
     rows = docs.where(F.col(domain).isNotNull()).select("doc_id", F.col(domain).cast("string").alias("domain")).join(known, "doc_id").distinct()
+    # only the smallest hashes go to the ranking, four times as many as it needs, so a common domain is no hot key
+    counts = rows.groupBy("domain").agg(F.count("*").alias("n"))
+    share = F.xxhash64("doc_id") / F.lit(2.0**64) + 0.5
+    rows = rows.join(small(counts), "domain").where(share * F.col("n") <= 4 * per_domain + 100)
     order = Window.partitionBy("domain").orderBy(F.xxhash64("doc_id"), "doc_id")
     chosen = rows.withColumn("i", F.row_number().over(order)).where(F.col("i") <= per_domain).select("doc_id", "domain")
     names = sorted(r["domain"] for r in chosen.select("domain").distinct().collect())
