@@ -108,6 +108,8 @@ def test_malformed_pages_parse():
     for r in rows:
         lines.setdefault(r[1], []).append(r[5])
     assert ["".join(v).split() for v in lines.values()] == [["a", "boldmore"], ["second", "x"], ["cell"]]
+    assert [r[5] for r in html.runs_of("<p>1<b>2</b> 3 < 4 &lt; <b" + " <b" * 50_000, plain=True)][:2] == ["1", "2"]
+    assert [r[5] for r in html.runs_of("<p>a<!-- <b>x</b> -->b<!-- open", plain=True)] == ["ab"]
     assert html.runs_of(None) == [] and html.runs_of("<div class=t>no page</div>") == []
 
 
