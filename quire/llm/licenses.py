@@ -11,32 +11,67 @@ from .positional import folded, phrases_with_anchors, postings, words_of
 
 #: The base phrases and their labels.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
-#: Templates: label, wording, and the key phrase that has to stand in a file word by word.
-TEMPLATES = (
-    ("gpl-3", "this work is licensed under the gnu general public license version 3", "gnu general public license version 3"),
-    ("gpl-2", "this work is licensed under the gnu general public license version 2", "gnu general public license version 2"),
-    ("lgpl", "licensed under the gnu lesser general public license", "gnu lesser general public license"),
-    ("agpl", "licensed under the gnu affero general public license", "gnu affero general public license"),
-    ("apache-2", "licensed under the apache license version 2 0", "apache license version 2 0"),
-    ("cc-by-4", "licensed under cc by 4 0", "cc by 4 0"),
-    ("cc-by-sa-4", "licensed under cc by sa 4 0", "cc by sa 4 0"),
-    ("cc-by-nc-4", "licensed under cc by nc 4 0", "cc by nc 4 0"),
-    ("cc-by-nd-4", "licensed under cc by nd 4 0", "cc by nd 4 0"),
-    ("mit", "released under the mit license", "mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", "permission is hereby granted free of charge"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "redistribution and use in source and binary forms"),
-    ("mpl-2", "subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
-    ("unlicense", "this is free and unencumbered software released into the public domain", "free and unencumbered software"),
+#: Templates: label, wordings of real notices, and the key phrases of which one has to stand in a file word by word.
+#: A key phrase names the version where the label does; each makes a template with the first wording that holds it.
+NOTICES = (
+    ("gpl-3", (
+        "this work is licensed under the gnu general public license version 3",
+        "you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+        "redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation version 3 of the license",
+        "licensed under the gnu general public license gpl version 3", "licensed under the gnu general public license v3", "licensed under the gnu general public license v 3", "licensed under the gnu general public license 3 0", "under the terms of version 3 of the gnu general public license",
+        "licensed under the gnu gpl version 3", "licensed under the gnu gpl v3", "spdx license identifier gpl 3 0", "licensed under the gpl version 3", "licensed under the gpl v3", "licensed under the gplv3",
+    ), (
+        "gnu general public license version 3", "gnu general public license as published by the free software foundation either version 3", "gnu general public license as published by the free software foundation version 3",
+        "gnu general public license gpl version 3", "gnu general public license v3", "gnu general public license v 3", "gnu general public license 3 0", "version 3 of the gnu general public license",
+        "gnu gpl version 3", "gnu gpl v3", "gpl 3 0", "gpl version 3", "gpl v3", "gplv3",
+    )),
+    ("lgpl", (
+        "licensed under the gnu lesser general public license", "under the terms of the gnu library general public license as published by the free software foundation", "licensed under the gnu lgpl",
+        "spdx license identifier lgpl 2 1", "spdx license identifier lgpl 2 0", "spdx license identifier lgpl 3 0", "licensed under the lgpl version", "licensed under the lgpl v2", "licensed under the lgpl v3", "licensed under the lgplv2", "licensed under the lgplv3",
+    ), ("gnu lesser general public license", "gnu library general public license", "gnu lgpl", "lgpl 2 1", "lgpl 2 0", "lgpl 3 0", "lgpl version", "lgpl v2", "lgpl v3", "lgplv2", "lgplv3")),
+    ("agpl", (
+        "licensed under the gnu affero general public license", "licensed under the gnu agpl", "spdx license identifier agpl 3 0", "licensed under the agpl version", "licensed under the agpl v3", "licensed under the agplv3",
+    ), ("gnu affero general public license", "gnu agpl", "agpl 3 0", "agpl version", "agpl v3", "agplv3")),
+    ("apache-2", (
+        "licensed under the apache license version 2 0", "licensed under the apache license 2 0", "licensed under the apache license v2 0", "licensed under the apache license v 2 0", "licensed under the apache 2 0 license", "licensed under the apache 2 license",
+        "you may obtain a copy of the license at http www apache org licenses license 2 0", "licensed under apache 2 0", "spdx license identifier apache 2 0",
+    ), ("apache license version 2 0", "apache license 2 0", "apache license v2 0", "apache license v 2 0", "apache 2 0 license", "apache 2 license", "apache org licenses license 2 0", "under apache 2 0", "identifier apache 2 0")),
+    *((label, (
+        f"licensed under {short}", f"licensed under a creative commons {long[0]} international license", *(f"licensed under creative commons {name}" for name in long[1:]), f"to view a copy of this license visit http creativecommons org licenses {short[3:]}",
+    ), (short, *(f"creative commons {name}" for name in long), f"creativecommons org licenses {short[3:]}")) for label, short, long in (
+        ("cc-by-4", "cc by 4 0", ("attribution 4 0",)),
+        ("cc-by-sa-4", "cc by sa 4 0", ("attribution sharealike 4 0", "attribution share alike 4 0")),
+        ("cc-by-nc-4", "cc by nc 4 0", ("attribution noncommercial 4 0", "attribution non commercial 4 0")),
+        ("cc-by-nd-4", "cc by nd 4 0", ("attribution noderivatives 4 0", "attribution noderivs 4 0", "attribution no derivatives 4 0", "attribution no derivs 4 0")),
+    )),
+    ("mit", (
+        "released under the mit license", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction",
+        "permission is hereby granted free of charge to any person obtaining a copy of the software", "spdx license identifier mit", "licensed under mit", "released under mit", "this software is mit licensed",
+    ), ("mit license", "permission is hereby granted free of charge to any person obtaining a copy of this software", "permission is hereby granted free of charge to any person obtaining a copy of the software", "license identifier mit", "licensed under mit", "released under mit", "mit licensed")),
+    ("bsd", (
+        "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "use of this source code is governed by a bsd style license",
+        "released under the bsd license", "released under the bsd 2 clause license", "released under the bsd 3 clause license", "released under the 2 clause bsd license", "released under the 3 clause bsd license",
+    ), ("redistribution and use in source and binary forms", "bsd style license", "bsd license", "bsd 2 clause", "bsd 3 clause", "2 clause bsd", "3 clause bsd")),
+    ("mpl-2", (
+        "subject to the terms of the mozilla public license v 2 0", "licensed under the mozilla public license version 2 0", "licensed under the mozilla public license 2 0", "licensed under the mozilla public license v2 0", "licensed under the mozilla public license mpl version 2 0",
+        "if a copy of the mpl was not distributed with this file you can obtain one at http mozilla org mpl 2 0", "licensed under the mpl version 2 0", "licensed under the mpl v2", "licensed under the mplv2",
+    ), ("mozilla public license v 2 0", "mozilla public license version 2 0", "mozilla public license 2 0", "mozilla public license v2 0", "mozilla public license mpl version 2 0", "mpl 2 0", "mpl version 2 0", "mpl v2", "mplv2")),
+    ("unlicense", (
+        "this is free and unencumbered software released into the public domain", "released under the unlicense", "for more information please refer to http unlicense org", "spdx license identifier unlicense",
+    ), ("free and unencumbered software", "the unlicense", "unlicense org", "identifier unlicense")),
 )
-#: Share of a template's words that have to stand at their relative positions.
-COVERAGE = 0.6
-REACH = 16
+#: The GPL's notices of both versions read alike.
+_GPL_2 = ("gpl-2", *(tuple(t.replace("version 3", "version 2").replace("v3", "v2").replace("v 3", "v 2").replace(" 3 0", " 2 0") for t in ts) for ts in NOTICES[0][1:]))
+#: Templates: label, wording, key phrase.
+TEMPLATES = tuple((label, next(t for t in texts if f" {key} " in f" {t} "), key) for label, texts, keys in (*NOTICES, _GPL_2) for key in keys)
+#: Words around a posted word: no template reaches further.
+REACH = max(len(text.split()) for _, text, _ in TEMPLATES)
 
 
 def phrase_table(spark: SparkSession) -> DataFrame:
     """(phrase, key, label, base, template words, offset of the key phrase in the template)."""
     rows = [(key, label, True, key.split(), 0) for key, label in BASE.items()]
-    rows += [(key, label, False, text.split(), len(text[: text.index(key)].split())) for label, text, key in TEMPLATES]
+    rows += [(key, label, False, text.split(), len(f" {text} ".split(f" {key} ")[0].split())) for label, text, key in TEMPLATES]
     return spark.createDataFrame([(i, r[0].split(), *r[1:]) for i, r in enumerate(rows)], "phrase long, words array<string>, label string, base boolean, template array<string>, shift int")
 
 
@@ -47,12 +82,12 @@ def document_counts(docs: DataFrame, terms: list[str]) -> DataFrame:
     return known.join(F.broadcast(found), "term", "left").select("term", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def scan(docs: DataFrame, coverage: float = COVERAGE) -> DataFrame:
+def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, k, n_words, n_base, first_word, last_word, base_labels, labels, score) for every row of docs.
 
     A base place is where a base phrase's words stand consecutively. A template counts if its key phrase stands word
-    by word and at least `coverage` of its words stand at their positions relative to it; score is the best share, 0
-    without a key phrase. Null texts are empty; without base places first_word and last_word are null. Repeated rows
+    by word; score is the best share of a template's words that stand at their positions relative to it, 0 without a
+    key phrase. Null texts are empty; without base places first_word and last_word are null. Repeated rows
     come out repeated; an empty table gives no rows."""
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.coalesce("doc_id", F.lit(0)).alias("d"), row_key("doc_id", "text").alias("k"), "text")
@@ -72,7 +107,7 @@ def scan(docs: DataFrame, coverage: float = COVERAGE) -> DataFrame:
         placed.groupBy("d", "k").agg(
             F.sum(F.col("base").cast("long")).alias("n_base"), F.min(F.when(F.col("base"), F.col("start"))).cast("long").alias("first_word"), F.max(F.when(F.col("base"), F.col("start"))).cast("long").alias("last_word"),
             F.array_join(F.array_sort(F.collect_set(F.when(F.col("base"), F.col("label")))), ",").alias("base_labels"),
-            F.array_join(F.array_sort(F.collect_set(F.when(F.col("base") | (F.col("share") >= coverage), F.col("label")))), ",").alias("labels"), F.max("share").alias("score"),
+            F.array_join(F.array_sort(F.collect_set("label")), ",").alias("labels"), F.max("share").alias("score"),
         )
     )
     every = rows.select("doc_id", "d", "k", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("n_words"))

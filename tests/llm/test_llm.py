@@ -260,6 +260,22 @@ def test_licenses_are_exact(spark, docs):
     assert full and "apache-2" in full[0].labels and "cc-by-nc-4" in full[0].labels and 0 < full[0].score <= 1
 
 
+def test_licenses_of_usual_notices(spark):
+    notices = [
+        ("This program is under the terms of the GNU General Public License version 3", "gpl,gpl-3"), ("under the GNU General Public License,\n# version 2, as is", "gpl,gpl-2"),
+        ("modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or", "gpl,gpl-3"),
+        ("GNU General Public License as published by the Free Software Foundation; version 2 of the License", "gpl,gpl-2"), ("SPDX-License-Identifier: GPL-2.0-only", "gpl-2"),
+        ("licensed under the Mozilla Public License 2.0", "mpl-2"), ("Mozilla Public License, Version 2.0", "mpl-2"), ("subject to the terms of the Mozilla Public License Version 1.1", ""),
+        ("under the Apache 2.0 license", "apache-2"), ("a Creative Commons Attribution-NonCommercial 4.0 International License", "cc-by-nc-4"), ("the gpl is a license, version 3 of this text", ""),
+        ("MIT License", "mit"), ("CC-BY-ND-4.0", "cc-by,cc-by-nd-4"), ("the GNU Lesser General Public License", "lgpl"), ("the GNU Affero General Public License", "agpl"),
+        ("Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software", ""), ("see BSD-3-Clause", "bsd"),
+    ]
+    got = licenses.scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(notices)], "doc_id long, text string")).collect()
+    found = {r.doc_id: tuple(sorted(filter(None, r.labels.split(",")))) for r in got}
+    assert {notices[i][0]: ",".join(x) for i, x in found.items()} == dict(notices)
+    assert all((r.score > 0) == any(x not in ("gpl", "apache", "cc-by") for x in found[r.doc_id]) and r.score <= 1 for r in got)
+
+
 def slow_pii(t):
     def luhn(s):
         v = [int(c) for c in reversed(s)]
