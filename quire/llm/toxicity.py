@@ -1,7 +1,8 @@
 """Toxicity: a learnt, weighted lexicon matched by Aho-Corasick on folded text, with exception phrases.
 
-Folding lower-cases, strips accents, maps homoglyphs and in-word digit and sign substitutions to Latin letters, and
-turns everything else into one blank per character. Lexicon entries are whole words or word beginnings; both are
+Folding lower-cases, strips accents, maps homoglyphs to Latin letters and turns everything else into one blank per
+character. Digits and signs in a word that holds a letter are read both as letters and as they stand, and the reading
+that matches most counts. Lexicon entries are whole words or word beginnings; both are
 anchored at a word's start. The weights that a text collects, in sum and per length, give its probability."""
 
 from __future__ import annotations
@@ -10,6 +11,7 @@ import re
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +40,10 @@ HOMOGLYPHS = {"а": "a", "в": "b", "с": "c", "е": "e", "н": "h", "і": "i",
 _SIGNS = re.compile(r"(?<=[^\W_])[@$](?=[^\W_])|(?<![\w@$])[@$](?=[^\W\d_]{2})")
 _DIGITS = re.compile(r"(?<=[a-z])[0134578]+(?=[a-z])|(?<![0-9a-z])[0134578](?=[a-z]{2})|(?<=[a-z]{2})[0134578](?![0-9a-z])")
 _HAS_DIGIT = re.compile(r"[0-9]")
+_MARK, _LETTER = re.compile(r"[0134578@$]"), re.compile(r"[^\W\d_]")
+_DIGIT_LETTERS = str.maketrans({c: x for c, x in SUBSTITUTES.items() if c.isdigit()})
+_SIGN_LETTERS = str.maketrans({c: x for c, x in SUBSTITUTES.items() if not c.isdigit()})
+_SIGN_BLANKS = dict.fromkeys(_SIGN_LETTERS, " ")
 
 
 class _Fold(dict):
@@ -49,10 +55,11 @@ class _Fold(dict):
 
 
 _FOLD = _Fold()
+_FOLD_BUT_SIGNS = _Fold({c: chr(c) for c in _SIGN_LETTERS})
 
 
 def fold(text: str) -> str:
-    """The text as it is matched, between blanks."""
+    """The likeliest reading of a text, between blanks."""
     text = text.lower()
     if "@" in text or "$" in text:
         text = _SIGNS.sub(lambda m: SUBSTITUTES[m.group()], text)
@@ -62,9 +69,47 @@ def fold(text: str) -> str:
     return f" {text} "
 
 
+def _word_readings(word: str) -> list[str]:
+    """The readings of a word, as long as the word; the first has a letter for every digit and sign.
+
+    Signs in front, inside and at the end are each read as letters or as blanks, and digits as letters in every part
+    that holds a letter, or as they stand."""
+    if not _LETTER.search(word):
+        return [word.translate(_SIGN_BLANKS)]
+    lead = len(word) - len(word.lstrip("@$"))
+    trail = len(word.rstrip("@$"))
+    parts = [dict.fromkeys((x.translate(_SIGN_LETTERS), x.translate(_SIGN_BLANKS))) for x in (word[:lead], word[lead:trail], word[trail:])]
+    out: dict[str, None] = {}
+    for signs in map("".join, product(*parts)):
+        out[" ".join(x.translate(_DIGIT_LETTERS) if _LETTER.search(x) else x for x in signs.split(" "))] = None
+        out[signs] = None
+    return list(out)
+
+
+def readings(text: str) -> tuple[str, list[tuple[int, int, list[str]]]]:
+    """The text between blanks with the first reading of each word, and (start, end, other readings) of the words that have others.
+
+    That of fold() is always among them. Each word is looked at once, so time is in proportion to the text."""
+    kept = f" {text.lower().translate(_FOLD_BUT_SIGNS)} "
+    mark = _MARK.search(kept)
+    if not mark:
+        return kept, []
+    likely, parts, words, done = fold(text), [], [], 0
+    while mark:
+        start, end = max(done, kept.rfind(" ", done, mark.start()) + 1), kept.find(" ", mark.start())
+        first, *others = _word_readings(kept[start:end])
+        others = [x for x in dict.fromkeys([*others, likely[start:end]]) if x != first]
+        if others:
+            words.append((start, end, others))
+        parts += [kept[done:start], first]
+        done, mark = end, _MARK.search(kept, end)
+    return "".join([*parts, kept[done:]]), words
+
+
 def _entries(text: str) -> set[str]:
     found = set()
-    for word in set(fold(text).split()):
+    folded, words = readings(text)
+    for word in {*folded.split(), *(x for _, _, others in words for other in others for x in other.split())}:
         found.update(" " + word[:k] for k in BEGINNINGS if len(word) >= k)
         if len(word) > 2:
             found.add(f" {word[:64]} " if len(word) <= 64 else f" {word[:64]}")
@@ -122,6 +167,7 @@ class Matcher:
         import ahocorasick
 
         self.automaton = ahocorasick.Automaton()
+        self.reach = max([1, *(len(fold(phrase)) for phrase in exceptions)])
         for phrase in exceptions:
             folded = f" {' '.join(fold(phrase).split())} "
             self.automaton.add_word(folded, (len(folded), -1.0))
@@ -131,18 +177,36 @@ class Matcher:
         if not self.empty:
             self.automaton.make_automaton()
 
-    def measures(self, text: str) -> tuple[float, float, float]:
-        """log1p of the summed weights, of the sum per 1000 characters, and of the number of matched words."""
-        if self.empty or not text:
-            return 0.0, 0.0, 0.0
+    def _matches(self, folded: str) -> tuple[dict[int, float], list[tuple[int, int]]]:
         best: dict[int, float] = {}
         excused: list[tuple[int, int]] = []
-        for end, (size, weight) in self.automaton.iter(folded := fold(text)):
+        for end, (size, weight) in self.automaton.iter(folded):
             start = end - size + 1
             if weight < 0:
                 excused.append((start, end))
             elif weight > best.get(start, 0.0):
                 best[start] = weight
+        return best, excused
+
+    def measures(self, text: str) -> tuple[float, float, float]:
+        """log1p of the summed weights, of the sum per 1000 characters, and of the number of matched words.
+
+        A word with several readings counts by the one that collects most; whatever a phrase excuses in one reading is
+        excused in all."""
+        if self.empty or not text:
+            return 0.0, 0.0, 0.0
+        folded, words = readings(text)
+        best, excused = self._matches(folded)
+        for start, end, others in words:
+            first = max(0, start - self.reach)
+            chosen = {k: best.pop(k) for k in range(start - 1, end - 1) if k in best}
+            for other in others:
+                found, more = self._matches(folded[first:start] + other + folded[end : end + self.reach])
+                excused += [(a + first, b + first) for a, b in more]
+                mine = {k + first: w for k, w in found.items() if start - 1 <= k + first < end - 1}
+                if sum(mine.values()) > sum(chosen.values()):
+                    chosen = mine
+            best.update(chosen)
         if excused:
             best = {k: w for k, w in best.items() if not any(a <= k < b for a, b in excused)}
         total = sum(best.values())

@@ -203,6 +203,24 @@ def test_fold_and_matcher():
     assert m.measures("the trash can")[0] == 0 and m.measures("the trash")[2] > 0 and m.measures("loweixyz slowei")[2] == pytest.approx(np.log1p(1))
 
 
+def test_every_substitute_of_a_word_is_read_both_ways(spark):
+    words = {f" {w} ": 2.0 for w in ("idiot", "stupid", "trash", "worthless", "shit", "asshole", "covid19")}
+    m = toxicity.Matcher(words)
+    for w in ("1d10t", "57up1d", "7r45h", "w0r7hl355", "$h1t", "$7up1d", "@1d10t", "1d10t$", "1d10t@x.org", "x@1d10t", "a$$h0l3", "a$$hole$", "idi0t$", "covid19", "ÏD10T"):
+        assert m.measures(f"the {w} one")[2] == pytest.approx(np.log1p(1)), w
+    for w in ("7r45h c4n", "7r45h c4n5", "trash c4n", "1 d 10 t", "$455", "covid 19", "x1d10t"):
+        assert m.measures(f"the {w} one")[0] == 0, w
+    assert m.measures("1d10t@57up1d 1d10t")[2] == pytest.approx(np.log1p(3))
+    for t in ("", "a", "1@2", "the$$$ x@y m0r2024 ﬁ$h \u0301@a é1", "$" * 9, "a1" * 50):
+        folded, words = toxicity.readings(t)
+        assert len(folded) == len(toxicity.fold(t)) and all(len(o) == b - a for a, b, others in words for o in others)
+    r = random.Random(11)
+    data = [(i, prose(30, r) + (" 1d10t 57up1d " if i % 2 else " ") + prose(30, r), i % 2) for i in range(200)]
+    d = spark.createDataFrame([(i, t) for i, t, _ in data] + [(999, prose(30, r) + " idiot stupid")], "doc_id long, text string")
+    got = {x.doc_id: x.predicted for x in toxicity.score(d, spark.createDataFrame([(i, y) for i, _, y in data], "doc_id long, toxic int")).collect()}
+    assert all(got[i] == y for i, _, y in data) and got[999] == 1
+
+
 def split_words(t):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t))
 
