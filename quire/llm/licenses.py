@@ -1,4 +1,4 @@
-"""License scans on the positional index: a file's rarest licence words point at templates by relative position."""
+"""License scans on the positional index: the rarest word of each key phrase points at the places where its notice is compared."""
 
 from __future__ import annotations
 
