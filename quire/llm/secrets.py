@@ -15,9 +15,14 @@ ACCESS = r"AKIA[A-Z0-9]{16,}+"
 HEX = r"(?<![0-9a-f])[0-9a-f]{24,}+"
 #: Weak parts. None is reported by itself.
 IDENTIFIER = r"(?i:(?<![a-z0-9])(?:user(?:name)?|login|account|client_?id|access_?key(?:_?id)?))[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9_.@+-]{3,}+|(?<![A-Za-z0-9])(?:AKIA|ASIA|AIDA|AROA)[A-Z0-9]{8,15}+(?![A-Z0-9])"
-VALUE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z0-9+/_-]{0,63}[0-9])(?=[A-Za-z0-9+/_-]{0,63}[a-z])(?=[A-Za-z0-9+/_-]{0,63}[A-Z])[A-Za-z0-9+/_-]{16,}+={0,2}+|(?<![0-9a-f])(?=[a-f]{0,22}[0-9])[0-9a-f]{16,23}+(?![0-9a-zA-Z])"
+VALUE = (
+    r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_-]*+[0-9])(?=[A-Z0-9+/_-]*+[a-z])(?=[a-z0-9+/_-]*+[A-Z])[A-Za-z0-9+/_-]{16,}+={0,2}+"
+    r"|(?<![A-Za-z0-9])[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}(?![A-Za-z0-9])"
+    r"|(?<![A-Za-z0-9])(?=[a-z]*+[0-9])(?=[0-9]*+[a-z])[a-z0-9]{16,}+(?![A-Za-z0-9])"
+    r"|(?<![0-9a-f])(?=[a-f]{0,22}[0-9])[0-9a-f]{16,23}+(?![0-9a-zA-Z])"
+)
 ENDPOINT = r"(?<![A-Za-z0-9])(?:https?|s3|ftp|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\x00-\x20\"'<>]++"
-#: Code points between the starts of two parts of one credential, at most.
+#: Code points from the end of one part of a credential to the start of the next, at most.
 SCOPE = 200
 
 _SPAN = "array<struct<start:int,rank:int,end:int,kind:string>>"
@@ -49,14 +54,20 @@ def linked(found: DataFrame, scope: int = SCOPE) -> DataFrame:
 
     An interval join on buckets of the place: a weak value needs an identifier and a weak endpoint or identifier
     needs a value or base secret within `scope` code points; an endpoint also needs an identifier or value beside it.
-    A bucket of one row holds a bounded number of parts, so no key is hot."""
+    The gap counts, from the end of one part to the start of the other, so a long part links to what comes right after
+    it: parts behind meet by their start and parts in front by their end. A bucket of one row holds a bounded number
+    of parts, so no key is hot."""
     every = found.select("d", "k", F.explode(F.concat("base", "weak")).alias("x")).select("d", "k", "x.*").distinct()
     role = F.when(F.col("kind") == "identifier", "id").when(F.col("kind") == "access", "id").when(F.col("kind") == "endpoint", "at").otherwise("secret")
-    every = every.withColumn("role", role).withColumn("b", F.floor(F.col("start") / scope))
-    left = every.where(F.col("rank") >= 3).withColumn("b", F.explode(F.array(F.col("b") - 1, F.col("b"), F.col("b") + 1)))
-    other = every.select("d", "k", "b", F.col("start").alias("start2"), F.col("end").alias("end2"), F.col("role").alias("role2"))
-    apart = (F.col("role") != F.col("role2")) & (F.abs(F.col("start") - F.col("start2")) <= scope) & ((F.col("end2") <= F.col("start")) | (F.col("end") <= F.col("start2")))
-    met = left.join(other, ["d", "k", "b"]).where(apart).groupBy("d", "k", "start", "rank", "end", "kind", "role").agg(F.collect_set("role2").alias("roles"))
+    every = every.withColumn("role", role)
+    bucket = lambda place: F.floor(F.col(place) / scope)
+    at = lambda behind, b: F.struct(F.lit(behind).alias("behind"), b.alias("b"))
+    left = every.where(F.col("rank") >= 3).withColumn("at", F.explode(F.array(at(True, bucket("end")), at(True, bucket("end") + 1), at(False, bucket("start") - 1), at(False, bucket("start")))))
+    other = every.withColumn("at", F.explode(F.array(at(True, bucket("start")), at(False, bucket("end"))))).select("d", "k", "at.*", F.col("start").alias("start2"), F.col("end").alias("end2"), F.col("role").alias("role2"))
+    left = left.select("d", "k", "start", "rank", "end", "kind", "role", "at.*")
+    gap = F.when(F.col("behind"), F.col("start2") - F.col("end")).otherwise(F.col("start") - F.col("end2"))
+    apart = (F.col("role") != F.col("role2")) & gap.between(0, scope)
+    met = left.join(other, ["d", "k", "behind", "b"]).where(apart).groupBy("d", "k", "start", "rank", "end", "kind", "role").agg(F.collect_set("role2").alias("roles"))
     enough = F.when(F.col("role") == "secret", F.array_contains("roles", "id")).when(F.col("role") == "id", F.array_contains("roles", "secret")).otherwise(F.array_contains("roles", "secret") & F.array_contains("roles", "id"))
     return met.where(enough).select("d", "k", "start", "rank", "end", "kind")
 

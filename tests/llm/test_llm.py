@@ -314,6 +314,16 @@ def test_personal_data_base_is_exact(spark, docs):
     assert pii.detect(docs.limit(0)).count() == 0
 
 
+def test_long_and_lower_case_parts_link(spark):
+    late = "q" * 70 + "Q" * 70 + "7z" * 50
+    texts = [
+        f"https://x.example.com/{'p' * 400} user: bob_1 {late}", f"{late} user: bob_1", "user: bob_1 123e4567-e89b-12d3-a456-426614174000", "user: bob_1 zk3j5h2g7f9d1s4q6w8m",
+        f"user: bob_1 {'x ' * 99} {late}", f"user: bob_1 {'x ' * 101} {late}", "zk3j5h2g7f9d1s4q6w8m alone", "user: bob_1 onlylowercaseletters",
+    ]
+    got = {r.doc_id: sorted(x.kind for x in r.spans) for r in secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {0: ["endpoint", "identifier", "value"], **{i: ["identifier", "value"] for i in range(1, 5)}, 5: [], 6: [], 7: []}
+
+
 def test_redaction_leaves_nothing_of_the_base(spark, docs):
     out = pii.redact(docs)
     assert out.columns == docs.columns and out.count() == len(rows())
