@@ -10,9 +10,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Sides of a join are broadcast up to this many rows; larger ones are shuffled.
 BROADCAST_ROWS = 200_000
+#: A key is hot if it holds more than one in HOT_KEYS of all rows, and more than HOT_ROWS.
+HOT_KEYS, HOT_ROWS = 10_000, 1_000
+#: Classes that a classifier may have, and bins of hashes by which its labelled rows are chosen.
+CLASSES, BINS = 1_000, 1_024
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,11 +25,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the session names; one of this machine only where none is set (tests)."""
+    """The shared folder that the session names. Where none is set, a local session (tests) gets one of this machine;
+    a cluster has to name one."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="quire-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/quire"
@@ -47,9 +55,32 @@ def discard(*tables: DataFrame) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Marks df for broadcast if it has at most `limit` rows (counted now); else it stays for a shuffled join."""
-    return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df
+def hot_keys(counts: DataFrame, on: list[str], total: int) -> DataFrame:
+    """(on, __salts) of the keys of counts (on, n) that hold more than a HOT_KEYS-th of `total` rows, and HOT_ROWS at least.
+
+    There are HOT_KEYS at most whatever the data, so the result may be broadcast."""
+    limit = max(HOT_ROWS, total // HOT_KEYS)
+    return F.broadcast(counts.where(F.col("n") > limit).select(*on, F.ceil(F.col("n") * 4 / limit).cast("int").alias("__salts")))
+
+
+def spread_join(many: DataFrame, few: DataFrame, on: list[str], hot: DataFrame | None = None, by: list[str] | None = None) -> DataFrame:
+    """many.join(few, on) in which no key of `many` has to fit into one task.
+
+    The rows of a hot key are dealt to salts by the hash of `by` (all columns), and the key's rows of `few` go to every
+    salt. Hot keys come from hot_keys(), or are counted here by an aggregation that combines map-side."""
+    if hot is None:
+        counts = materialize(many.groupBy(*on).agg(F.count("*").alias("n")))
+        hot = hot_keys(counts, on, counts.agg(F.sum("n")).first()[0] or 0)
+    dealt = many.join(hot, on, "left").withColumn("__salt", F.when(F.col("__salts").isNull(), 0).otherwise(F.pmod(F.xxhash64(*(by or many.columns)), F.col("__salts"))).cast("int")).drop("__salts")
+    every = few.join(hot, on, "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__salts", F.lit(1)) - 1))).drop("__salts")
+    return dealt.join(every, [*on, "__salt"]).drop("__salt")
+
+
+def lookup(many: DataFrame, few: DataFrame, on: list[str], by: list[str] | None = None, limit: int | None = None) -> DataFrame:
+    """many.join(few, on): `few` is broadcast if it has at most `limit` (BROADCAST_ROWS) rows, counted now; else hot keys
+    of `many` are salted by the columns `by`."""
+    limit = BROADCAST_ROWS if limit is None else limit
+    return many.join(F.broadcast(few), on) if few.limit(limit + 1).count() <= limit else spread_join(many, few, on, by=by)
 
 
 def row_key(doc_id: str, text: str) -> Column:
@@ -63,22 +94,56 @@ def held_out(doc_id: str = "doc_id") -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int) -> DataFrame:
-    """(doc_id, text, y) of labelled training rows: at most `per_class` of each label, those of the smallest id hash.
+    """(doc_id, text, y) of labelled training rows: at most `per_class` rows of each label, those of the smallest id hash.
 
-    A written table, as training reads it more than once. Held-out ids, null ids and null labels are left out; of several labels of an id the largest counts."""
+    A written table, as training reads it more than once. Held-out ids, null ids and null labels are left out; of several
+    labels of an id the largest counts. Repeated rows are one row; rows that share an id but not a text count apart."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
-    chosen = None
-    for y in (0, 1):
-        part = known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
-        chosen = part if chosen is None else chosen.unionByName(part)
-    return materialize(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "y"))
-
-
-def map_texts(df: DataFrame, columns: list[str], schema: str, fn: Callable[[pa.RecordBatch], dict]) -> DataFrame:
+    return bounded_rows(docs, known, per_class)
+
+
+def least_hashes(rows: DataFrame, per_class: int, by: list[str]) -> DataFrame:
+    """rows (y, by; distinct) of the smallest hashes of each class y: all of a class of `per_class` or fewer, else whole
+    BINS of hashes up to `per_class` rows.
+
+    Only counts by class and bin go to the driver, BINS for each of at most CLASSES classes; rows are never ranked or
+    gathered. The result may be broadcast."""
+    sizes = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).limit(CLASSES + 1).collect()}
+    if len(sizes) > CLASSES:
+        raise ValueError(f"more than {CLASSES} classes to learn from")
+    if not sizes:
+        return rows
+    of_class = lambda values: F.create_map(*[F.lit(x) for y, v in values.items() for x in (y, v)])[F.col("y")]
+    share = F.xxhash64(*by) / F.lit(2.0**64) + 0.5
+    # bins are so narrow that about a quarter of them is kept
+    binned = rows.withColumn("__bin", F.floor(share * of_class({y: float(n) for y, n in sizes.items()}) * BINS / (4 * per_class + 100)).cast("long"))
+    cuts = {y: BINS for y in sizes}
+    seen: dict = {}
+    counts = binned.where(F.col("__bin") < BINS).groupBy("y", "__bin").agg(F.count("*").alias("n")).collect()
+    for y, k, n in sorted(map(tuple, counts)):
+        seen[y] = seen.get(y, 0) + n
+        if seen[y] > per_class:
+            cuts[y] = min(cuts[y], k)
+    whole = {y: n <= per_class for y, n in sizes.items()}
+    return binned.where(of_class(whole) | (F.col("__bin") < of_class(cuts))).drop("__bin")
+
+
+def bounded_rows(docs: DataFrame, known: DataFrame, per_class: int) -> DataFrame:
+    """(doc_id, text, y) of the rows of docs whose id `known` (doc_id, y; distinct ids) has: `per_class` of each class at most.
+
+    Ids are chosen first, by their hash, and then rows, as an id may stand on any number of them. A written table;
+    repeated rows are one row, null texts are empty."""
+    ids = least_hashes(known, per_class, ["doc_id"])
+    met = materialize(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "y").withColumn("key", row_key("doc_id", "text")))
+    keys = least_hashes(met.select("doc_id", "key", "y").distinct(), per_class, ["doc_id", "key"]).select("doc_id", "key")
+    return materialize(met.join(F.broadcast(keys), ["doc_id", "key"], "left_semi").groupBy("doc_id", "key").agg(F.first("text").alias("text"), F.first("y").alias("y")).drop("key"))
+
+
+def map_texts(df: DataFrame, columns: list[str], schema: str | StructType, fn: Callable[[pa.RecordBatch], dict]) -> DataFrame:
     """Runs fn on Arrow batches of the named columns; fn returns the output columns by name, in order."""
     from pyspark.sql.types import _parse_datatype_string
 
-    target = pa_schema(_parse_datatype_string(schema))
+    target = pa_schema(_parse_datatype_string(schema) if isinstance(schema, str) else schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -103,7 +168,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for the nodes of (u, v) edges: root is the smallest node reachable.
 
     Alternating large-star and small-star rounds; every round is two aggregations that combine map-side and two
-    joins, so no component is gathered in one task. Loops, repeated edges and both directions are fine."""
+    joins with salted hubs, so no component is gathered in one task. Loops, repeated edges and both directions are
+    fine. The tables of a round are deleted once the next one is written."""
     e = materialize(edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
 
     def state(df: DataFrame) -> tuple:
@@ -115,12 +181,13 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
     for _ in range(max_rounds):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(low, "u")
-        small_star = joined.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        e = materialize(small_star)
+        low = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")))
+        larger = spread_join(both.where("v > u"), low.select("u", "m"), ["u"], hot_keys(low, ["u"], 2 * before[0]))
+        large = materialize(larger.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct())
+        least = materialize(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")))
+        joined = spread_join(large, least.select("u", "m"), ["u"], hot_keys(least, ["u"], before[0])).where("v != m")
+        done, e = e, materialize(joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        discard(done, low, large, least)
         after = state(e)
         if after == before:
             break

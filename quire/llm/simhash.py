@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import connected_components, local_forest, map_texts, materialize, row_key, table
+from .common import connected_components, hot_keys, local_forest, map_texts, materialize, row_key, spread_join, table
 
 RADIUS = 4
 SHINGLE = 4
@@ -132,38 +132,43 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Fingerprints at `radius` or fewer differing bits are linked; component_id is the smallest id reachable. Null and
     empty texts have fingerprint 0 and are linked like any other. Repeated rows come out repeated; null ids belong to
-    the component of their text, and component_id is null only if no id of the component is known. An empty table
-    gives no rows."""
+    the component of their text, and component_id is null only if no id of the component is known. A text's length
+    doesn't matter: its shingles are counted in blocks. Other columns, whatever their names, are ignored. An empty
+    table gives no rows."""
     fps = materialize(fingerprints(docs, id_col, text_col, shingle, seed))
     component = connected_components(materialize(links(fps, radius)))
-    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("rep")).join(component.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "rep")
-    lowest = nodes.groupBy("root").agg(F.min("rep").alias("component_id"))
-    return fps.join(nodes.join(lowest, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    sized = fps.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
+    nodes = materialize(sized.join(component.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "rep", "n"))
+    lowest = materialize(nodes.groupBy("root").agg(F.min("rep").alias("component_id"), F.count("*").alias("n")))
+    named = spread_join(nodes.select("fp", "root"), lowest.drop("n"), ["root"], hot_keys(lowest, ["root"], nodes.count())).select("fp", "component_id")
+    return spread_join(fps, named, ["fp"], hot_keys(nodes, ["fp"], fps.count())).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, seed: int = SEED) -> DataFrame:
-    """One row of docs (doc_id, text, ...) of each component, with all its columns.
+    """One row of docs (doc_id, text, ...) of each component, with all its columns, whatever their names.
 
-    It is the row of the smallest id (null last) and, of rows that share that, of the smallest text hash; equal rows
-    are one. Only (id, key, fingerprint) is grouped, so a component never has to fit into one task."""
-    keyed = docs.select("doc_id", row_key("doc_id", "text").alias("key"), "text")
-    source = keyed.select(F.col("doc_id").cast("long").alias("doc_id"), "key", "text")
+    It is the row of the smallest id (null last) and, of rows that share that, of the smallest text hash; of rows equal
+    in id and text the one of the smallest hash over all columns. Null and wordless texts are one component. Only (id,
+    key, fingerprint) is grouped, so a component never has to fit into one task. An empty table gives no rows."""
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_key("doc_id", "text").alias("key"), "text")
 
     def run(batch: pa.RecordBatch) -> dict:
         fps = np.fromiter((fingerprint(t or "", shingle, seed) for t in batch.column("text").to_pylist()), np.uint64, batch.num_rows)
         return {"doc_id": batch.column("doc_id"), "key": batch.column("key"), "fp": pa.array(fps.view(np.int64))}
 
-    fps = materialize(map_texts(source, ["doc_id", "key", "text"], "doc_id long, key long, fp long", run))
+    fps = materialize(map_texts(keyed, ["doc_id", "key", "text"], "doc_id long, key long, fp long", run))
     component = connected_components(materialize(links(fps, radius))).withColumnRenamed("node", "fp")
-    lowest = fps.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first"))
+    rows = fps.groupBy("doc_id", "key").agg(F.first("fp").alias("fp"), F.count("*").alias("n"))  # equal rows have equal fingerprints
+    lowest = rows.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "n")).alias("first"))
     first = lowest.join(component, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
-    kept = materialize(first.select(F.col("first.doc_id").alias("__id"), F.col("first.key").alias("__key")))
-    chosen = docs.withColumn("__key0", row_key("doc_id", "text")).join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__key0") == F.col("__key")), "left_semi").drop("__key0")
-    return chosen.dropDuplicates(["doc_id", "text"]) if _has_repeats(fps) else chosen
-
-
-def _has_repeats(fps: DataFrame) -> bool:
-    return bool(fps.groupBy("doc_id", "key").agg(F.count("*").alias("n")).where("n > 1").limit(1).count())
+    kept = materialize(first.select("first.doc_id", "first.key", (F.col("first.n") > 1).alias("repeated")))
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id0"), row_key("doc_id", "text").alias("key0"))
+    chosen = packed.join(kept, F.col("id0").eqNullSafe(F.col("doc_id")) & (F.col("key0") == F.col("key")))
+    single = chosen.select("row")
+    if kept.where("repeated").limit(1).count():  # only rows that stand repeated are shuffled whole
+        one = chosen.where("repeated").groupBy("id0", "key0").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+        single = chosen.where("NOT repeated").select("row").unionByName(one.select("row"))
+    return single.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
