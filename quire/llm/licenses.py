@@ -1,13 +1,16 @@
-"""License scans on the positional index: the rarest word of each key phrase points at the places where its notice is compared."""
+"""License scans on the positional index: a file's rarest licence words are looked up in the postings of the templates.
+
+A key phrase can only stand in a file that holds all its words, so the file's words of the highest IDF that lead to it
+are the phrase's own two. Both are posted, in files that hold such a word only; their lists are intersected with the
+template postings by relative position, and where they meet the key phrase is verified word by word."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, row_key, small, table
-from .decontaminate import WORD
-from .positional import folded, phrases_with_anchors, postings, words_of
+from .common import materialize, row_key, table
+from .positional import aligned, anchor_terms, folded, phrases_with_anchors, postings, words_of
 
 #: The base phrases and their labels.
 BASE = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -69,17 +72,18 @@ REACH = max(len(text.split()) for _, text, _ in TEMPLATES)
 
 
 def phrase_table(spark: SparkSession) -> DataFrame:
-    """(phrase, key, label, base, template words, offset of the key phrase in the template)."""
-    rows = [(key, label, True, key.split(), 0) for key, label in BASE.items()]
-    rows += [(key, label, False, text.split(), len(f" {text} ".split(f" {key} ")[0].split())) for label, text, key in TEMPLATES]
-    return spark.createDataFrame([(i, r[0].split(), *r[1:]) for i, r in enumerate(rows)], "phrase long, words array<string>, label string, base boolean, template array<string>, shift int")
+    """(phrase, words, label, base, template, shift): key phrases, the words of their templates, and their offset in them.
+
+    Literals, so that no Python worker makes them."""
+    rows = [(key, label, True, key, 0) for key, label in BASE.items()]
+    rows += [(key, label, False, text, len(f" {text} ".split(f" {key} ")[0].split())) for label, text, key in TEMPLATES]
+    values = ", ".join(f"({i}L, '{key}', '{label}', {str(base).lower()}, '{text}', {shift})" for i, (key, label, base, text, shift) in enumerate(rows))
+    return spark.sql(f"SELECT phrase, split(key, ' ') AS words, label, base, split(template, ' ') AS template, shift FROM VALUES {values} AS t(phrase, key, label, base, template, shift)")
 
 
-def document_counts(docs: DataFrame, terms: list[str]) -> DataFrame:
-    """(term, n): the documents that hold each term, over all rows of docs (text); case doesn't count here."""
-    known = docs.sparkSession.createDataFrame([(t,) for t in terms], "term string")
-    found = docs.select(F.explode(F.array_intersect(words_of(F.lower("text")), F.array(*map(F.lit, terms)))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
-    return known.join(F.broadcast(found), "term", "left").select("term", F.coalesce("n", F.lit(0)).alias("n"))
+def holds(text: Column, terms: list[str]) -> Column:
+    """The distinct terms that a text holds as words; case doesn't count here."""
+    return F.array_intersect(words_of(F.lower(text)), F.array(*map(F.lit, terms)))
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -87,31 +91,35 @@ def scan(docs: DataFrame) -> DataFrame:
 
     A base place is where a base phrase's words stand consecutively. A template counts if its key phrase stands word
     by word; score is the best share of a template's words that stand at their positions relative to it, 0 without a
-    key phrase. Null texts are empty; without base places first_word and last_word are null. Repeated rows
-    come out repeated; an empty table gives no rows."""
+    key phrase. Null texts are empty; without base places first_word and last_word are null. Repeated rows come out
+    repeated; rows that share an id are scanned apart; texts of any length are scanned whole; ties in IDF go to the
+    phrase's earlier word; extra columns are ignored; an empty table gives no rows."""
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.coalesce("doc_id", F.lit(0)).alias("d"), row_key("doc_id", "text").alias("k"), "text")
-    words = rows.select("d", "k", words_of(F.col("text")).alias("words"))
     phrases = phrase_table(spark)
     terms = sorted({w for key in [*BASE, *(t[2] for t in TEMPLATES)] for w in key.split()})
-    counts = materialize(document_counts(rows, terms))
-    anchored = materialize(phrases_with_anchors(phrases.select("phrase", "words"), counts).join(phrases.select("phrase", "label", "base", "template", "shift"), "phrase"))
-    index = materialize(postings(words, anchored.select(F.col("t1").alias("term")).distinct(), REACH, REACH))
-    start = F.col("pos") - F.col("o1")
-    around = index.join(small(anchored), index["term"] == anchored["t1"]).withColumn("start", start).withColumn("at", F.col("start") - F.col("ctx_from")).where("at >= 0")
-    verified = around.where(folded(F.array_join(F.slice("ctx", F.col("at") + 1, F.col("size")), " ")) == F.col("text"))
-    seen = F.transform("ctx", lambda w: folded(w))
+    files = materialize(rows.select("doc_id", "d", "k", words_of(F.lower("text")).alias("w")).select("doc_id", "d", "k", F.size("w").cast("long").alias("n_words"), F.array_intersect("w", F.array(*map(F.lit, terms))).alias("terms")))
+    found = files.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    known = spark.sql("SELECT explode(split('" + " ".join(terms) + "', ' ')) AS term")
+    counts = materialize(known.join(found, "term", "left").select("term", F.coalesce("n", F.lit(0)).alias("n")))  # the documents of each term, over all rows
+    anchored = materialize(phrases_with_anchors(phrases.select("phrase", "words"), counts))
+    rare = sorted(r[0] for r in anchored.select("t1").distinct().collect())  # at most one for each key phrase
+    posted = materialize(anchor_terms(anchored))
+    held = rows.where(F.size(holds(F.col("text"), rare)) > 0).select("d", "k", words_of(F.col("text")).alias("words"))
+    index = materialize(postings(held, posted, REACH, REACH, wide=F.col("rare")))
+    met = aligned(index, anchored).join(F.broadcast(phrases.select("phrase", "label", "base", "template", "shift")), "phrase")
+    placed = met.withColumn("at", F.col("start") - F.col("ctx_from")).where("at >= 0").withColumn("seen", F.transform("ctx", lambda w: folded(w)))
+    verified = placed.where(F.array_join(F.slice("seen", F.col("at") + 1, F.col("size")), " ") == F.col("text")).dropDuplicates(["d", "k", "phrase", "start"])
     same = F.size(F.filter(F.transform("template", lambda w, i: F.get(F.col("seen"), F.col("at") - F.col("shift") + i) == w), lambda x: x))
-    placed = verified.dropDuplicates(["d", "k", "phrase", "start"]).withColumn("seen", seen).withColumn("share", F.when(F.col("base"), F.lit(0.0)).otherwise(same / F.size("template")))
+    shared = verified.withColumn("share", F.when(F.col("base"), F.lit(0.0)).otherwise(same / F.size("template")))
     found = (
-        placed.groupBy("d", "k").agg(
+        shared.groupBy("d", "k").agg(
             F.sum(F.col("base").cast("long")).alias("n_base"), F.min(F.when(F.col("base"), F.col("start"))).cast("long").alias("first_word"), F.max(F.when(F.col("base"), F.col("start"))).cast("long").alias("last_word"),
             F.array_join(F.array_sort(F.collect_set(F.when(F.col("base"), F.col("label")))), ",").alias("base_labels"),
             F.array_join(F.array_sort(F.collect_set("label")), ",").alias("labels"), F.max("share").alias("score"),
         )
     )
-    every = rows.select("doc_id", "d", "k", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("n_words"))
-    return every.join(found, ["d", "k"], "left").select(
+    return files.drop("terms").join(found, ["d", "k"], "left").select(
         "doc_id", "d", "k", "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), "first_word", "last_word", F.coalesce("base_labels", F.lit("")).alias("base_labels"),
         F.coalesce("labels", F.lit("")).alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"),
     )
