@@ -12,7 +12,6 @@ block holds has its windows compared by hash across blocks instead."""
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -21,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, row_key, table
+from .common import discard, hot_keys, materialize, row_key, spread_join, table
 
 LENGTH = 200
 GRAM = 40
@@ -306,40 +305,31 @@ def _cut(length: int):
     return run
 
 
-def _release(spark: SparkSession) -> None:
-    """Lets Spark drop the shuffle files of stages that are over."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def repeats(rows: DataFrame, length: int = LENGTH, gram: int = GRAM, block: int = BLOCK) -> DataFrame:
-    """(d, k, a, b): runs of repeated windows, from the first start to before b, of rows (d, k, t)."""
-    spark = rows.sparkSession
+    """(d, k, a, b): runs of repeated windows, from the first start to before b, of rows (d, k, t).
+
+    Segments are the same if minimizer and segment hash are, 128 bits together. Both joins that bring verdicts to the
+    segments salt the minimizers and segments of which there are many."""
     run, schema = _segment_rows(length, gram)
     every = materialize(rows.select("d", "k", "t").mapInArrow(run, schema))
-    shared = materialize(every.groupBy("anchor").agg(F.count("*").alias("c"), F.min("seg").alias("lo"), F.max("seg").alias("hi")).where("c > 1").select("anchor", (F.col("lo") != F.col("hi")).alias("varied")))
-    _release(spark)
-    met = materialize(every.join(shared, "anchor"))
+    shared = materialize(every.groupBy("anchor").agg(F.count("*").alias("n"), F.min("seg").alias("lo"), F.max("seg").alias("hi")).where("n > 1").select("anchor", "n", (F.col("lo") != F.col("hi")).alias("varied")))
+    met = materialize(spread_join(every, shared.drop("n"), ["anchor"], hot_keys(shared, ["anchor"], every.count())))
     discard(every, shared)
-    _release(spark)
-    distinct = met.groupBy("anchor", "seg", "varied").agg(F.count("*").alias("c"), F.min(F.struct("d", "k", "s0", "n", "off")).alias("rep"))
-    whole = distinct.where("c > 1").select("anchor", "seg", F.expr("array(named_struct('a', 0, 'b', int(rep.n)))").alias("ranges"))
-    varied = materialize(distinct.where("varied").select("anchor", "seg", "c", "rep.*"))
-    sizes = varied.groupBy("anchor").agg(F.count("*").alias("m")).where(F.col("m") > block).select("anchor", F.lit(True).alias("big"))
-    big = materialize(sizes)
+    distinct = materialize(met.groupBy("anchor", "seg", "varied").agg(F.count("*").alias("n"), F.min(F.struct("d", "k", "s0", "n", "off")).alias("rep")))
+    whole = distinct.where("n > 1").select("anchor", "seg", F.expr("array(named_struct('a', 0, 'b', int(rep.n)))").alias("ranges"))
+    varied = distinct.where("varied").select("anchor", "seg", "rep.*")
+    big = materialize(varied.groupBy("anchor").agg(F.count("*").alias("m")).where(F.col("m") > block).select("anchor", F.lit(True).alias("big")))
     needs = varied.join(big, "anchor", "left").groupBy("d", "k").agg(F.collect_list(F.struct("anchor", "seg", F.coalesce("big", F.lit(False)).alias("big"), "s0", "n", "off")).alias("needs"))
     cut = materialize(rows.join(needs, ["d", "k"]).select("t", "needs").mapInArrow(_cut(length), "anchor long, seg long, big boolean, off short, bytes binary").dropDuplicates(["anchor", "seg"]))
-    discard(varied, big)
-    _release(spark)
     parts = max(1, -(-cut.count() // (2 * block)))
     few = cut.where("NOT big").select("anchor", "seg", "off", "bytes").repartition(parts, "anchor").sortWithinPartitions("anchor", "seg").mapInArrow(_sorted_blocks(length, block), _VERDICT)
     windows = materialize(cut.where("big").select("anchor", "seg", "bytes").mapInArrow(_window_hashes(length), "anchor long, seg long, i int, w binary"))
     twice = windows.groupBy("w").agg(F.min(F.struct("anchor", "seg", "i")).alias("x"), F.max(F.struct("anchor", "seg", "i")).alias("y")).where("x != y").select("w")
     many = windows.join(twice, "w", "left_semi").select("anchor", "seg", F.array(F.struct(F.col("i").alias("a"), (F.col("i") + 1).alias("b"))).alias("ranges"))
     verdicts = materialize(few.unionByName(many).unionByName(whole).select("anchor", "seg", F.explode("ranges").alias("r")).select("anchor", "seg", "r.a", "r.b").distinct())
-    discard(cut, windows)
-    _release(spark)
-    return met.join(verdicts, ["anchor", "seg"]).select("d", "k", (F.col("s0") + F.col("a")).alias("a"), (F.col("s0") + F.col("b")).alias("b"))
+    discard(cut, windows, big)
+    told = spread_join(met, verdicts, ["anchor", "seg"], hot_keys(distinct.select("anchor", "seg", "n"), ["anchor", "seg"], met.count()))
+    return told.select("d", "k", (F.col("s0") + F.col("a")).alias("a"), (F.col("s0") + F.col("b")).alias("b"))
 
 
 def _removed(length: int):
@@ -370,10 +360,10 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block: int =
 
     A byte goes if it lies in a string of `length` bytes that also starts elsewhere in the input, in the same row or
     another; of several occurrences none stays. Null texts are empty. Repeated rows are repeats of each other. Matches
-    never cross rows, and texts shorter than `length` bytes stay. An empty table gives no rows."""
+    never cross rows, and texts shorter than `length` bytes stay. A text of any length is cut into segments whole; rows
+    that share an id but not a text are apart; extra columns are ignored. An empty table gives no rows."""
     rows = docs.select("doc_id", F.coalesce("doc_id", F.lit(0)).alias("d"), row_key("doc_id", "text").alias("k"), F.coalesce("text", F.lit("")).alias("t"))
     found = materialize(repeats(rows, length, gram, block).groupBy("d", "k").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("spans")))
-    _release(docs.sparkSession)
     out = rows.join(found, ["d", "k"], "left").select("doc_id", "t", "spans")
     return out.mapInArrow(_removed(length), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
