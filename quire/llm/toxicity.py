@@ -29,6 +29,10 @@ BEGINNINGS = range(4, 9)
 #: Log-likelihood ratio that an entry needs.
 EVIDENCE = 30.0
 CUT = 0.5
+#: Score of every text if nothing was learnt that could tell toxic texts.
+UNKNOWN = 0.02
+#: Characters of a word that an entry holds; a longer word is matched by its beginning of that length.
+LONGEST = 64
 #: Innocent phrases; a match inside one doesn't count.
 EXCEPTIONS = ("trash can", "trash cans", "trash bin", "clown fish", "idiot proof")
 
@@ -112,7 +116,7 @@ def _entries(text: str) -> set[str]:
     for word in {*folded.split(), *(x for _, _, others in words for other in others for x in other.split())}:
         found.update(" " + word[:k] for k in BEGINNINGS if len(word) >= k)
         if len(word) > 2:
-            found.add(f" {word[:64]} " if len(word) <= 64 else f" {word[:64]}")
+            found.add(f" {word} " if len(word) <= LONGEST else f" {word[:LONGEST]}")
     return found
 
 
@@ -220,17 +224,33 @@ class Model:
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_matcher": None}
 
-    def __call__(self, text: str) -> float:
+    def measures(self, text: str) -> tuple[float, float, float]:
         if self._matcher is None:
             self._matcher = Matcher(self.lexicon, self.exceptions)
-        z = self.theta[0] + sum(a * b for a, b in zip(self.theta[1:], self._matcher.measures(text), strict=True))
+        return self._matcher.measures(text)
+
+    def probability(self, measures: tuple[float, float, float]) -> float:
+        z = self.theta[0] + sum(a * b for a, b in zip(self.theta[1:], measures, strict=True))
         return float(1 / (1 + np.exp(-min(30.0, max(-30.0, z)))))
 
+    def __call__(self, text: str) -> float:
+        return self.probability(self.measures(text))
+
+    def rejects(self, text: str, cut: float = CUT) -> bool:
+        """A text is rejected for what it holds: without a match it stays, whatever the calibration says."""
+        found = self.measures(text)
+        return found[2] > 0 and self.probability(found) >= cut
+
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE, exceptions: tuple[str, ...] = EXCEPTIONS) -> Model:
-    """Lexicon and calibration from at most `per_class` labelled rows of each class, never from held-out ids."""
+    """Lexicon and calibration from at most `per_class` labelled rows of each class, never from held-out ids.
+
+    Without rows of both classes, or without an entry of enough evidence, there is no lexicon, and every text counts as
+    one that matches nothing: its score is UNKNOWN."""
     sample = labelled_sample(docs, labels, "toxic", per_class)
     lexicon = learn_lexicon(sample)
+    if not lexicon:
+        return Model({}, [float(np.log(UNKNOWN / (1 - UNKNOWN))), 0.0, 0.0, 0.0], exceptions)
     bare = Model(lexicon, [0.0] * 4, exceptions)
 
     def run(batch: pa.RecordBatch) -> dict:
@@ -269,8 +289,9 @@ def fit(x: np.ndarray, y: np.ndarray) -> list[float]:
 def score(docs: DataFrame, labels: DataFrame, cut: float = CUT, per_class: int = SAMPLE) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of docs.
 
-    Null and empty texts match nothing and get the score of such texts. Without labels of both classes the score is a
-    constant. Repeated rows come out repeated; an empty table gives no rows; a null id counts as the id ''."""
+    Null and empty texts match nothing and get the score of such texts. Without labels of both classes every score is
+    UNKNOWN. Repeated rows come out repeated; extra columns are ignored; an empty table gives no rows; a null id counts
+    as the id ''. Whole texts are matched, however long; equal sums of two readings go to the first."""
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, per_class))
 
     def run(batch: pa.RecordBatch) -> dict:
@@ -281,12 +302,15 @@ def score(docs: DataFrame, labels: DataFrame, cut: float = CUT, per_class: int =
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, cut: float = CUT, per_class: int = SAMPLE) -> DataFrame:
-    """The rows of docs below the cut, with all their columns; null texts stay. Like score(), in one pass."""
+    """The rows of docs that aren't rejected, with all their columns, whatever their names. Like score(), in one pass.
+
+    A row goes if its text holds a match and its score reaches the cut. Null, empty and unmatched texts stay, and
+    without a lexicon (see train()) all rows stay. Repeated rows share their fate; an empty table gives no rows."""
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, per_class))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array([shared.value(t or "") < cut for t in batch.column("text").to_pylist()], pa.bool_()))
+            yield batch.filter(pa.array([not t or not shared.value.rejects(t, cut) for t in batch.column("text").to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
