@@ -13,6 +13,13 @@ from .common import labelled_sample, map_texts, table
 SAMPLE = 1500
 #: Documents below this calibrated probability of quality are dropped.
 KEEP_AT = 0.5
+#: Fixed thresholds of the calibrated probability, and the bands that they part.
+THRESHOLDS = (0.2, KEEP_AT, 0.8)
+BANDS = ("junk", "poor", "fair", "good")
+
+
+def band(probability: float) -> str:
+    return BANDS[sum(probability >= t for t in THRESHOLDS)]
 
 
 def sample_vectors(sample: DataFrame) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
@@ -58,9 +65,10 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE) -> NgramQ
 
 
 def apply_rules(docs: DataFrame, labels: DataFrame, keep_at: float = KEEP_AT, per_class: int = SAMPLE) -> DataFrame:
-    """Counts, base_failed, probability and kept for every row of docs (doc_id, text).
+    """Counts, base_failed, kept, probability and band for every row of docs (doc_id, text).
 
-    Null texts have no words and fail. The regression learns from at most `per_class` labelled rows of each class,
+    A row is kept if it passes the base rules and its probability reaches keep_at; band says between which of the
+    THRESHOLDS the probability lies. Whole texts are counted and scored, however long. Null texts have no words and fail. The regression learns from at most `per_class` labelled rows of each class,
     never from held-out ids; an empty or one-sided label table leaves the base rules alone to decide. Repeated rows
     come out repeated; extra columns are ignored; an empty table gives no rows."""
     model = train(docs, labels, per_class)
@@ -74,11 +82,11 @@ def apply_rules(docs: DataFrame, labels: DataFrame, keep_at: float = KEEP_AT, pe
             text = text or ""
             c = stats.base_counts(text)[2]
             failed, p = stats.base_failed(c), score(text)
-            rows.append((c["n_words"], c["word_chars"], c["n_symbols"], c["n_dup_lines"], c["n_repeat_words"], failed, not failed and p >= keep_at, p))
-        columns = list(zip(*rows, strict=True)) or [()] * 8
+            rows.append((c["n_words"], c["word_chars"], c["n_symbols"], c["n_dup_lines"], c["n_repeat_words"], failed, not failed and p >= keep_at, p, band(p)))
+        columns = list(zip(*rows, strict=True)) or [()] * 9
         return {"doc_id": batch.column("doc_id"), **{f"c{i}": list(x) for i, x in enumerate(columns)}}
 
-    schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, probability double"
+    schema = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, probability double, band string"
     return map_texts(docs, ["doc_id", "text"], schema, run)
 
 
