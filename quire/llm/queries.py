@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate
+from . import base, decontaminate
 from .licenses import op7_license_scan
 from .mixing import op5_mixing
 from .pii import op8_personal_data
@@ -29,9 +29,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_personal_data": op8_personal_data,
     "op9_secret_scan": op9_secret_scan,
     "op10_toxicity": op10_toxicity,
+    **base.QUERIES,
 }
 
 ORACLES: dict[str, str] = {
     "op4_decontamination": decontaminate.ORACLE,
     "op6_suffix_dedup": SUFFIX_ORACLE,
+    **base.ORACLES,
 }

@@ -75,8 +75,9 @@ def linked(found: DataFrame, scope: int = SCOPE) -> DataFrame:
 def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """(doc_id, base, spans) for every row of docs (doc_id, text); arrays of structs by start, then kind.
 
-    Base spans always stay; linked weak parts are added where they don't overlap one. Null texts are empty. Repeated
-    rows come out repeated; an empty table gives no rows."""
+    Base spans always stay; linked weak parts are added where they don't overlap one. Null texts are empty. Whole texts
+    are searched, however long; spans of one start are listed by kind. Rows that share an id but not a text are linked
+    apart; repeated rows come out repeated; extra columns are ignored; an empty table gives no rows."""
     found = materialize(parts(docs))
     more = linked(found, scope).groupBy("d", "k").agg(F.array_sort(F.collect_list(F.struct("start", "rank", "end", "kind"))).alias("more"))
     clear = F.expr("filter(more, x -> NOT exists(base, y -> y.start < x.end AND x.start < y.end))")

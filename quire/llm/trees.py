@@ -109,7 +109,8 @@ def classify(docs: DataFrame, labels: DataFrame, cut: float = CUT, per_class: in
     """(doc_id, held_out, score, predicted) for every row of docs.
 
     Null and empty texts are scored on zero statistics. Without labels of both classes every score is the prior.
-    Repeated rows come out repeated; an empty table gives no rows; a null id counts as the id ''."""
+    Whole texts are read, however long; of equal gains the first statistic splits. Repeated rows come out repeated; extra
+    columns are ignored; an empty table gives no rows; a null id counts as the id ''."""
     shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, per_class))
 
     def run(batch: pa.RecordBatch) -> dict:
