@@ -8,7 +8,7 @@ import zlib
 import numpy as np
 import pytest
 
-from quire.llm import decontaminate, licenses, mixing, pii, rules, secrets, simhash, stats, suffix, toxicity, trees
+from quire.llm import common, decontaminate, licenses, mixing, pii, rules, secrets, simhash, stats, suffix, toxicity, trees
 from quire.llm.common import connected_components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, k string, d string, fp string, words string, base string, spans string, found string, row string, rate string"
@@ -252,17 +252,43 @@ def test_contamination_is_exact(spark, docs):
                     hit |= set(range(i, i + n))
                     items |= windows[tuple(w[i : i + n])]
         want.append((r[0], len(w), len(hit), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), bool(hit)))
-    same(tuples(decontaminate.contamination(docs, b).drop("k")), want)
+    same(tuples(decontaminate.contamination(docs, b).drop("k", "n_near", "n_near_items")), want)
     assert decontaminate.contamination(docs, b.limit(0)).where("contaminated").count() == 0
     assert decontaminate.contamination(docs.limit(0), b).count() == 0
 
 
-def test_proximity_takes_words_that_moved(spark):
-    d = spark.createDataFrame([(1, "zebra one quince two"), (2, "zebra one two three quince"), (3, "quince one zebra")], "doc_id long, text string")
-    b = spark.createDataFrame([(1, "zebra one quince")], "item_id long, text string")
-    search = decontaminate.Search(d, b)
-    assert {r.d for r in search.phrases().collect()} == {1}
-    assert {r.d for r in search.proximity(1).collect()} == {1, 2}
+def slow_near(texts, bench, size=10):
+    """(places, items) by text: windows with one other word put in between their words."""
+    windows = {}
+    for item, text in bench:
+        w = split_words(text)
+        for i in range(max(1, len(w) - size + 1)) if w and item is not None else ():
+            windows.setdefault(tuple(w[i : i + size]), set()).add(item)
+    out = []
+    for t in texts:
+        w, places, items = split_words(t), set(), set()
+        for n in {len(k) for k in windows if len(k) > 1}:
+            for s in range(len(w) - n):
+                for i in range(1, n):
+                    if (x := windows.get(tuple(w[s : s + i] + w[s + i + 1 : s + n + 1]))) is not None:
+                        places.add(s)
+                        items |= x
+        out.append((len(places), len(items)))
+    return out
+
+
+@pytest.mark.parametrize("limit", [200_000, 0])
+def test_proximity_takes_words_put_in(spark, monkeypatch, limit):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", limit)
+    monkeypatch.setattr(common, "HOT_ROWS", 1)
+    r = random.Random(23)
+    item = prose(30, r)
+    w = split_words(item)
+    texts = [item, " ".join(x + (" zzz" if i % 9 == 8 else "") for i, x in enumerate(w)), " ".join(w[:5] + ["zzz"] + w[5:10]), " ".join(["zzz"] + w[:10]), " ".join(w[:4] + ["y", "z"] + w[4:10]), None, "Zebra One, two QUINCE", "zebra quince one", "one one one one", "the the"] + [prose(60, r) for _ in range(5)]
+    items = [(1, item), (2, "zebra one quince"), (3, "one one one"), (4, "the"), (None, "zebra one")]
+    got = decontaminate.contamination(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    want = slow_near(texts, items)
+    assert {x.doc_id: (x.n_near, x.n_near_items) for x in got.collect()} == dict(enumerate(want)) and want[1][0] and want[2] == (1, 1) and want[3] == want[4] == want[5] == (0, 0)
 
 
 def test_licenses_are_exact(spark, docs):
