@@ -1,8 +1,10 @@
 """Documents to a training mix: toxicity, near-duplicates, decontamination, personal data, mixing.
 
 Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept and returns a DataFrame. All but
-the last return the columns of documents. Repeated rows are near-duplicates of each other, so one stays; null texts
-are empty texts: one row without words stays."""
+the last return the columns of documents, whatever their names. Repeated rows are near-duplicates of each other, so one
+stays, and null ids are the last choice; null texts are empty texts: one row without words stays, with its null. Texts
+of any length are read whole. An empty table of documents gives an empty result; without labels nothing counts as toxic
+and every rate is 1, and without a benchmark nothing is contaminated."""
 
 from __future__ import annotations
 
@@ -38,8 +40,8 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows with the rate and the number of copies that bring the languages to their target shares."""
-    return mixing.mix(docs, table(spark, sf_dir, "labels"))
+    """All rows, with the rate and the number of copies that bring the languages to their target shares; none goes."""
+    return mixing.mix(docs, table(spark, sf_dir, "labels"), least=1.0)
 
 
 STAGES = [
