@@ -1,24 +1,36 @@
-"""The engine in one object, and a command line: python -m quire.api IN OUT -l LANGUAGE -m MODEL."""
+"""The engine in one object, and a command line: python -m quire.api IN OUT -l LANGUAGE -m MODEL -k KEY."""
 
 from __future__ import annotations
 
 import argparse
 import importlib
+import re
+import shlex
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .conf import LANGUAGES, MODEL_TOKEN_LIMITS, DEFAULT_TOKEN_LIMIT, EngineConf
+from .conf import DEFAULT_TOKEN_LIMIT, LANGUAGES, MODEL_TOKEN_LIMITS, EngineConf, Settings, engine_conf
+from .functions.text import page_size_css
 from .operators import assemble, batching, layout, metrics, pages, translate
-from .operators.translate import Translator
-from .sources.tables import html_files
+from .operators.translate import ChatCompletions, Translator
+from .sources.sinks import print_documents
+from .sources.tables import compile_documents, html_files, is_pdf, pdf_properties, pdf_structure, pending
 
 
 class Engine:
-    """Laid-out documents (key, html) to translated ones. Steps are DataFrames, so each can be written and resumed."""
+    """Laid-out documents (key, html) to translated ones. Steps are DataFrames, so each can be written and resumed.
 
-    def __init__(self, translator: Translator, conf: EngineConf | None = None, key: str = "doc_id", on_status: Callable[[str], None] = lambda message: None):
-        self.translator, self.conf, self.key, self.on_status = translator, conf or EngineConf(), key, on_status
+    on_status gets the name of each step, on_progress the segments done and in all once replies have landed, and
+    cancelled is asked inside the tasks before each attempt."""
+
+    def __init__(
+        self, translator: Translator | None = None, conf: EngineConf | None = None, key: str = "doc_id", on_status: Callable[[str], None] = lambda message: None,
+        on_progress: Callable[[int, int], None] = lambda done, total: None, cancelled: Callable[[], bool] = lambda: False,
+    ):
+        self.conf, self.key, self.on_status, self.on_progress, self.cancelled = conf or EngineConf(), key, on_status, on_progress, cancelled
+        self.translator = translator or ChatCompletions(self.conf.base_url, self.conf.temperature, key=self.conf.keys.get("", ""))
 
     def segments(self, docs: DataFrame) -> DataFrame:
         return layout.segments(docs, self.key, threshold=self.conf.threshold_px, word_space=self.conf.word_space_px)
@@ -34,46 +46,96 @@ class Engine:
 
     def replies(self, batched: DataFrame, with_context: bool = False) -> DataFrame:
         """One row for each batch, failed ones with an error. Write it: reading it twice would ask twice."""
-        return translate.translate_batches(batched, self.translator, self.conf, self.key, with_context)
+        return translate.translate_batches(batched, self.translator, self.conf, self.key, with_context, cancelled=self.cancelled)
 
     def assemble(self, segments: DataFrame, replies: DataFrame) -> DataFrame:
         return assemble.assemble(segments, assemble.last_items(assemble.items(replies, self.key), self.key), self.key)
 
-    def render(self, docs: DataFrame, assembled: DataFrame, size_css: Column | None = None) -> DataFrame:
-        return assemble.render(docs, assembled, self.key, size_css=size_css)
+    def render(self, docs: DataFrame, assembled: DataFrame, sizes: DataFrame | None = None, bilingual: bool = False) -> DataFrame:
+        """(key, html): the documents with their translations in place; bilingual keeps the originals as titles."""
+        lines = layout.wrapped_lines(docs, self.key, threshold=self.conf.threshold_px, word_space=self.conf.word_space_px, rows=assembled, bilingual=bilingual)
+        return assemble.render(docs, lines, self.key, sizes=sizes)
+
+    def instrument(self, docs: DataFrame) -> DataFrame:
+        """(key, html): the documents with addressable segments and every page waiting; nothing is translated yet."""
+        lines = layout.wrapped_lines(docs, self.key, threshold=self.conf.threshold_px, word_space=self.conf.word_space_px)
+        return assemble.render(docs, lines, self.key, waiting=lines.select(self.key, "page_idx"))
 
     def properties(self, segments: DataFrame, assembled: DataFrame) -> DataFrame:
         return metrics.document_properties(segments, assembled.where("status IN ('ok', 'duplicate')"), self.key)
 
-    def translate(self, docs: DataFrame, work: str, with_context: bool = False) -> DataFrame:
-        """(key, html) of docs, with the steps as tables under the folder `work`."""
-        spark = docs.sparkSession
+    def translate(self, docs: DataFrame, work: str, with_context: bool = False, sizes: DataFrame | None = None, resume: bool = False) -> DataFrame:
+        """(key, html) of docs, with the steps as tables under the folder `work`; replies lie under the target language.
 
-        def step(name: str, df: DataFrame) -> DataFrame:
-            self.on_status(name)
-            df.write.mode("overwrite").parquet(f"{work}/{name}")
-            return spark.read.schema(df.schema).parquet(f"{work}/{name}")
-
-        segments = step("segments", self.segments(docs))
-        replies = step("replies", self.replies(self.batches(segments), with_context))
-        return self.render(docs, step("assembled", self.assemble(segments, replies)))
+        With resume, segments that earlier replies in the same language have translated aren't asked for again."""
+        spark = docs.sparkSession
+        here = f"{work}/{re.sub('[^A-Za-z]+', '-', self.conf.target_language).lower()}"
+
+        def step(path: str, df: DataFrame, mode: str = "overwrite") -> DataFrame:
+            self.on_status(path.rpartition("/")[2])
+            df.write.mode(mode).parquet(path)
+            return spark.read.schema(df.schema).parquet(path)
+
+        segments = step(f"{work}/segments", self.segments(docs))
+        done = None
+        if resume and exists(spark, f"{here}/replies"):
+            done = assemble.last_items(assemble.items(spark.read.parquet(f"{here}/replies"), self.key), self.key)
+        replies = step(f"{here}/replies", self.replies(self.batches(segments, done), with_context), "append" if resume else "overwrite")
+        assembled = step(f"{here}/assembled", self.assemble(segments, replies))
+        counted = assembled.agg(F.count_if(F.col("status") != "missing"), F.count("*")).first()
+        self.on_progress(int(counted[0]), int(counted[1]))
+        return self.render(docs, assembled, sizes)
+
+    def translate_files(self, files: DataFrame, work: str, compiler: list[str], printer: list[str] | None = None, with_context: bool = False, timeout: float | None = None, resume: bool = False) -> DataFrame:
+        """(path, html) of PDF files (path, content), or with a printer (path, content, error); key has to be path.
+
+        Files that `work` holds compiled already aren't compiled again. Page sizes come from the files."""
+        spark = files.sparkSession
+        files = files.where(is_pdf(F.col("path"))).select("path", "content")
+        compiled = f"{work}/compiled"
+        todo = pending(files, spark.read.parquet(compiled)) if exists(spark, compiled) else files
+        self.on_status("compiled")
+        compile_documents(todo, compiler, timeout).where("html IS NOT NULL").write.mode("append").parquet(compiled)
+        docs = spark.read.parquet(compiled).select("path", "html").join(files.select("path"), "path", "left_semi")
+        sizes = pdf_properties(files, pdf_structure(files)).select("path", page_size_css(F.col("page_size")).alias("size_css"))
+        pages = self.translate(docs, work, with_context, sizes, resume)
+        return print_documents(pages, printer, "path", timeout=timeout) if printer else pages
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
 
 def main(args: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(description=__doc__)
-    parser.add_argument("input", help="positioned HTML files, as a path that Spark reads")
+    parser.add_argument("input", help="positioned HTML or PDF files, as a path that Spark reads")
     parser.add_argument("output", help="folder for the tables")
-    parser.add_argument("-l", "--language", default="fr", help="language code or name")
+    parser.add_argument("-l", "--language", help="language code or name")
     parser.add_argument("-m", "--model", default=EngineConf.model)
-    parser.add_argument("-t", "--temperature", type=float, default=EngineConf.temperature)
-    parser.add_argument("--translator", default="quire.operators.translate:Echo", help="module:callable that makes the transformer")
+    parser.add_argument("-k", "--key", default="", help="key of the service; else the model's environment variable")
+    parser.add_argument("-t", "--temperature", type=float)
+    parser.add_argument("--settings", help="a settings file; options given here win")
+    parser.add_argument("--base-url", help="a service of the usual chat form")
+    parser.add_argument("--translator", default="quire.operators.translate:Echo", help="module:callable that makes the transformer, unless there is a base URL")
+    parser.add_argument("--compiler", help="command with {in} and {out} that turns a PDF into positioned HTML")
+    parser.add_argument("--printer", help="command with {in} and {out} that prints a page")
     parser.add_argument("--context", action="store_true", help="give each batch the last translations before it")
+    parser.add_argument("--resume", action="store_true", help="don't ask again for what earlier runs have translated")
     a = parser.parse_args(args)
+    given = {"model": a.model, "target_language": a.language and LANGUAGES.get(a.language, a.language), "temperature": a.temperature, "base_url": a.base_url, "keys": {"": a.key} if a.key else None}
+    given = {k: v for k, v in given.items() if v is not None}
+    conf = engine_conf(Settings(a.settings), **given) if a.settings else EngineConf(**given)
     module, _, name = a.translator.partition(":")
-    conf = EngineConf(model=a.model, target_language=LANGUAGES.get(a.language, a.language), temperature=a.temperature)
     spark = SparkSession.builder.getOrCreate()
-    engine = Engine(getattr(importlib.import_module(module), name)(), conf, key="path", on_status=print)
-    engine.translate(html_files(spark, a.input), f"{a.output}/work", a.context).write.mode("overwrite").parquet(f"{a.output}/html")
+    engine = Engine(None if conf.base_url else getattr(importlib.import_module(module), name)(), conf, key="path", on_status=print)
+    work = f"{a.output}/work"
+    if a.compiler:
+        files = spark.read.format("binaryFile").load(a.input)
+        out = engine.translate_files(files, work, shlex.split(a.compiler), shlex.split(a.printer) if a.printer else None, a.context, resume=a.resume)
+        out.write.mode("overwrite").parquet(f"{a.output}/{'pdf' if a.printer else 'html'}")
+    else:
+        engine.translate(html_files(spark, a.input), work, a.context, resume=a.resume).write.mode("overwrite").parquet(f"{a.output}/html")
     return 0
 
 

@@ -91,6 +91,19 @@ class EngineConf:
     keys: dict = field(default_factory=dict)
 
 
+def engine_conf(settings: Settings, **given) -> EngineConf:
+    """The tunables that a settings file holds; what it lacks or can't be read is the default, and `given` wins."""
+    n = lambda name, default, kind=float: settings.number("TranslationConfig", name, default, kind)
+    d = EngineConf()
+    keys = settings.get("APIConfig", "api_keys_by_provider", {})
+    found = {
+        "temperature": n("temperature", d.temperature), "context_size": n("sliding_context_size", d.context_size, int), "max_segments": n("max_segments_per_batch", d.max_segments, int), "threshold_px": n("threshold_px", d.threshold_px),
+        "max_retries": n("max_retries", d.max_retries, int), "glossary": str(settings.get("TranslationConfig", "custom_glossary", d.glossary)).strip(), "target_language": str(settings.get("SystemConfig", "target_lang", d.target_language)).strip(),
+        "base_url": str(settings.get("APIConfig", "custom_base_url", "")).strip() if settings.get("APIConfig", "use_custom_base", False) else "", "keys": keys if isinstance(keys, dict) else {},
+    }
+    return EngineConf(**found | given)
+
+
 def token_limits(spark: SparkSession) -> DataFrame:
     """(model, token_limit): a fixed, small dimension."""
     return spark.createDataFrame(list(MODEL_TOKEN_LIMITS.items()), "model string, token_limit int")
@@ -122,6 +135,12 @@ class Settings:
         with open(self.path, "w", encoding="utf-8") as f:
             json.dump(self.values, f, indent=4, ensure_ascii=False)
 
+    def clear(self) -> None:
+        """Back to the defaults."""
+        self.values = {}
+        with open(self.path, "w", encoding="utf-8") as f:
+            json.dump(self.values, f)
+
     def number(self, section: str, key: str, default, kind=float):
         """A setting as a number; what can't be read as one counts as the default."""
         try:

@@ -15,10 +15,12 @@ def strip(text: Column) -> Column:
 
 
 def noise_reason(text: Column) -> Column:
-    """Why a text isn't prose: empty, numeric, bracket or symbol; null for prose. Null texts count as empty."""
+    """Why a text isn't prose: empty, numeric, bracket or symbol; null for prose. Null texts count as empty.
+
+    None of the reasons allows a letter, so one look for a letter settles most texts; only the others are stripped."""
     t = strip(F.coalesce(text, F.lit("")))
     return (
-        F.when(F.length(t) == 0, "empty")
+        F.when(text.rlike(r"\p{L}"), F.lit(None).cast("string")).when(F.length(t) == 0, "empty")
         .when(t.rlike(r"(?U)^[\d\s,.\-+]+$") | t.rlike(r"(?U)^[\d\p{No}]+$"), "numeric")
         .when(t.rlike(r"(?U)^(\[\d+\]|\(\d+\))$"), "bracket")
         .when((F.length(t) == 1) & ~t.rlike(r"^\p{L}$"), "symbol")
@@ -55,10 +57,20 @@ def color_tag(text: Column, color: Column) -> Column:
 
 
 def color_html(text: Column) -> Column:
-    """Colour tags of six hex digits as styled spans."""
+    """Colour tags of six hex digits as styled spans. The forms of the tags are fixed."""
     return F.regexp_replace(text, r"(?s)<color_([0-9a-fA-F]{6})>(.*?)</color(?:_\w+)?>", '<span style="color: #$1;">$2</span>')
 
 
+def escaped(text: Column) -> Column:
+    return F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+
+
+def translated_html(text: Column) -> Column:
+    """A translation as HTML: colour tags become styled spans, plain <b> <i> <sup> <sub> stay, anything else is text."""
+    safe = F.regexp_replace(escaped(text), r"&lt;(/?(?:b|i|sup|sub|color_[0-9a-fA-F]{6}))&gt;", "<$1>")
+    return color_html(F.regexp_replace(safe, r"&lt;(/color(?:_\w+)?)&gt;", "<$1>"))
+
+
 def strip_tags(text: Column) -> Column:
     return F.regexp_replace(text, "<[^>]*>", "")
 
@@ -74,6 +86,7 @@ def page_size_text(width_pt: Column, height_pt: Column) -> Column:
     return F.format_string("[%.2f x %.2f cm]", width_pt * 0.0352778, height_pt * 0.0352778)
 
 
+#: Fixed value: how a page size is written.
 _SIZE = r"\[([0-9.]+)\s*x\s*([0-9.]+)\s*cm\]"
 
 
@@ -143,3 +156,19 @@ RATE_LIMIT = ("rate_limit", "rate limit", "429", "overloaded", "resource_exhaust
 
 def is_rate_limit(message: Column) -> Column:
     return F.lower(F.coalesce(message, F.lit(""))).rlike("|".join(RATE_LIMIT))
+
+
+def changed(text: Column, translated: Column) -> Column:
+    """Whether applying a translation would change anything."""
+    return F.trim(text) != F.trim(translated)
+
+
+def text_width(text: Column) -> Column:
+    """A width model in tenths of an em: narrow letters 3, capitals and wide letters 7, ideographs 10, others 5."""
+    narrow, wide, full = (F.regexp_count(text, F.lit(r)) for r in (r"[iljtfrI.,;:!|' ]", r"[A-HJ-Zmw]", r"[\x{2e80}-\x{9fff}\x{ac00}-\x{d7ff}\x{ff00}-\x{ffef}]"))
+    return (F.length(text) * 5 - narrow * 2 + wide * 2 + full * 5).cast("double")
+
+
+def fit_scale(sx: Column, old_width: Column, new_width: Column) -> Column:
+    """The horizontal scale at which new text takes no more room than the old; never wider than before."""
+    return F.when((old_width > 0) & (new_width > 0), F.least(sx, sx * old_width / new_width)).otherwise(sx)

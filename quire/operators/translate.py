@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import time
 from collections.abc import Callable, Iterator
 from typing import Protocol
@@ -11,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..conf import PROVIDERS, RETRY_DELAYS, EngineConf, providers
+from ..conf import PROVIDERS, RESPONSE_TOKENS, RETRY_DELAYS, EngineConf, key_variable, providers
 from ..functions.text import RATE_LIMIT, drop_fences
 
 FAILED = "[TRANSLATION FAILED] "
@@ -23,6 +24,30 @@ class Translator(Protocol):
     def __call__(self, system: str, message: str, model: str) -> str: ...
 
 
+class ChatCompletions:
+    """A transformer behind an HTTP service of the usual chat form: POST base_url/chat/completions.
+
+    Sends temperature and max_tokens; the key comes from the environment variable that key_variable() names for the
+    model, on the machine that sends, or is given. Raises on any answer but a completed one."""
+
+    def __init__(self, base_url: str, temperature: float = 1.0, max_tokens: int = RESPONSE_TOKENS, key: str = "", timeout: float = 120.0):
+        self.url, self.temperature, self.max_tokens, self.key, self.timeout = base_url.rstrip("/") + "/chat/completions", temperature, max_tokens, key, timeout
+
+    def __call__(self, system: str, message: str, model: str) -> str:
+        import os
+        import urllib.error
+        import urllib.request
+
+        key = self.key or os.environ.get(key_variable(model) or "", "")
+        body = {"model": model, "messages": [{"role": "system", "content": system}, {"role": "user", "content": message}], "temperature": self.temperature, "max_tokens": self.max_tokens}
+        request = urllib.request.Request(self.url, json.dumps(body).encode(), {"Content-Type": "application/json", **({"Authorization": f"Bearer {key}"} if key else {})})
+        try:
+            with urllib.request.urlopen(request, timeout=self.timeout) as reply:
+                return json.load(reply)["choices"][0]["message"]["content"]
+        except urllib.error.HTTPError as e:
+            raise RuntimeError(f"HTTP {e.code}: {e.read(500).decode(errors='replace')}") from e
+
+
 class Echo:
     """A deterministic transformer for tests: answers every segment with a mark before its text."""
 
@@ -85,9 +110,10 @@ def parse_reply(raw: Column) -> Column:
 
 
 def repair_json(raw: str) -> list[dict] | None:
-    """Best effort on what the parser refuses: trailing commas and an unfinished end; null if no list comes out."""
-    import re
+    """The parser of the run: what parse_reply() reads, and besides it mends what models get wrong in JSON.
 
+    Trailing and missing commas, single quotes around names and values, raw line ends inside strings and an unfinished
+    end are mended. Null if no list comes out, or if the reply is a valid document that isn't a list."""
     text = "\n".join(x for x in raw.split("\n") if not x.strip().startswith("```")).strip() if "```" in raw else raw.strip()
     start, end = text.find("["), text.rfind("]")
     tries = [text]
@@ -97,15 +123,24 @@ def repair_json(raw: str) -> list[dict] | None:
         if cut >= 0:
             tries.append(text[start : start + cut + 1] + "]")
     for t in tries:
-        for u in (t, re.sub(r",\s*([\]}])", r"\1", t)):
+        for mend in (lambda x: x, _commas, lambda x: _commas(_quotes(x))):
             try:
-                got = json.loads(u)
+                got = json.loads(mend(t), strict=False)
             except ValueError:
                 continue
             return got if isinstance(got, list) else None
     return None
 
 
+def _commas(text: str) -> str:
+    return re.sub(r"\}(\s*)\{", r"},\1{", re.sub(r",\s*([\]}])", r"\1", text))
+
+
+def _quotes(text: str) -> str:
+    """Single quotes that stand where JSON has double ones."""
+    return re.sub(r"(?<=[{,:\[])(\s*)'((?:[^'\\]|\\.)*)'(?=\s*[:,}\]])", lambda m: m[1] + json.dumps(m[2].replace("\\'", "'"), ensure_ascii=False), text)
+
+
 def provider_of(models: DataFrame) -> DataFrame:
     """models (model) with provider: the first of the catalogue whose prefix the model has. The catalogue is fixed and small."""
     p = F.broadcast(providers(models.sparkSession))
@@ -141,7 +176,10 @@ def next_model(model: str, keys: dict, key: str = "") -> str | None:
 
 
 def call(translator: Translator, system: str, message: str, conf: EngineConf, sleep: Callable[[float], None] = time.sleep, cancelled: Callable[[], bool] = lambda: False) -> tuple[list[dict] | None, int, str, str]:
-    """(items, attempts, model, error). From the third attempt on the provider's next model is tried, step by step."""
+    """(items, attempts, model, error). From the third attempt on the provider's next model is tried, step by step.
+
+    After each failure the attempt's delay is waited; cancelled() is asked before and after. An error that means that the
+    rate is limited says so."""
     model, error = conf.model, ""
     for attempt in range(conf.max_retries):
         if cancelled():
@@ -155,21 +193,26 @@ def call(translator: Translator, system: str, message: str, conf: EngineConf, sl
             error = "reply without a list"
         except Exception as e:  # a transformer may raise anything; the row reports it
             error = f"{type(e).__name__}: {e}"
+        if any(x in error.lower() for x in RATE_LIMIT):
+            error = f"rate limited: {error}"
         if attempt + 1 < conf.max_retries:
-            limited = any(x in error.lower() for x in RATE_LIMIT)
-            sleep(RETRY_DELAYS[min(attempt, len(RETRY_DELAYS) - 1)] * (attempt + 1) if limited or error else 0)
+            sleep(RETRY_DELAYS[min(attempt, len(RETRY_DELAYS) - 1)] * (attempt + 1))
+            if cancelled():
+                return None, attempt + 1, model, "cancelled"
     return None, conf.max_retries, model, error
 
 
 RESULT = "batch_no int, items array<struct<id:string,translated:string>>, attempts int, model string, error string"
 
 
-def translate_batches(batched: DataFrame, translator: Translator, conf: EngineConf | None = None, key: str = "doc_id", with_context: bool = False, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+def translate_batches(batched: DataFrame, translator: Translator, conf: EngineConf | None = None, key: str = "doc_id", with_context: bool = False, sleep: Callable[[float], None] = time.sleep, cancelled: Callable[[], bool] = lambda: False) -> DataFrame:
     """(key, batch_no, items, attempts, model, error) of batches (key, batch_no, segments).
 
     Without context every batch is independent. With context a document's batches run one after another in one task,
     each with the last translations before it; documents run in parallel. Retries stay inside the task, so that a
-    failing batch isn't paid for again with its partition. Write the result before using it twice."""
+    failing batch isn't paid for again with its partition. Write the result before using it twice. cancelled() is asked
+    inside the tasks before each attempt, so it has to look at something that they see, such as a file in a shared folder;
+    batches that come after it say "cancelled" in their error."""
     conf = conf or EngineConf()
     system = system_prompt(conf.target_language, conf.glossary)
     key_type = batched.schema[key].dataType.simpleString()
@@ -180,7 +223,7 @@ def translate_batches(batched: DataFrame, translator: Translator, conf: EngineCo
         return head + json.dumps([{"id": s["id"], "text": s["text"]} for s in segments], ensure_ascii=False)
 
     def one(k, batch_no, segments, context: list[str]) -> tuple:
-        items, attempts, model, error = call(translator, system, message(segments, context), conf, sleep)
+        items, attempts, model, error = call(translator, system, message(segments, context), conf, sleep, cancelled)
         clean = None if items is None else [{"id": i.get("id"), "translated": i.get("translated")} for i in items if isinstance(i, dict)]
         return k, int(batch_no), clean, attempts, model, error or None
 

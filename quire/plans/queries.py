@@ -150,7 +150,7 @@ def token_totals(spark, sf_dir):
 @query(f"WITH {TOKW} SELECT doc_id, 'g-' || pos AS seg_id, word AS text FROM tokw WHERE ({sql_reason('word')}) IS NOT NULL")
 def bypass_rows(spark, sf_dir):
     w = word_segments(spark, sf_dir)
-    return assemble.bypassed(w, batching.members(batching.batches(w))).select("doc_id", "seg_id", "text")
+    return assemble.bypassed(w).select("doc_id", "seg_id", "text")
 
 
 @query(f"WITH {SEG} SELECT doc_id, seg_id, page_idx FROM seg WHERE pos % 3 <> 0")
@@ -275,24 +275,88 @@ def segment_ids(spark, sf_dir):
 
 
 def laid_out(spark, sf_dir):
-    """The same geometry as positioned HTML, one page for every 20 lines."""
-    rules = ".m0{transform:matrix(0.5,0,0,0.25,0,0);}" + "".join(f"._{i}{{width:{i - 6}px;}}" for i in range(29))
+    """The same geometry as positioned HTML, one page for every 20 lines; words of 5, 10, ... letters have a colour."""
+    rules = ".m0{transform:matrix(0.5,0,0,0.25,0,0);}.fc0{color:#000000;}.fc1{color:#0066cc;}" + "".join(f"._{i}{{width:{i - 6}px;}}" for i in range(29))
     safe = lambda c: f"replace(replace(replace({c}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
     width = WIDTH.format(w="w", r="i")
-    line = f"concat('<div class=\"t m0\">', array_join(transform(split(l, ' '), (w, i) -> concat('<span class=\"ff1\">', {safe('w')}, '</span><span class=\"_ _', cast({width} + 6 AS string), '\"> </span>')), ''), '</div>')"
+    line = f"concat('<div class=\"t m0\">', array_join(transform(split(l, ' '), (w, i) -> concat('<span class=\"ff1 ', CASE WHEN length(w) % 5 = 0 THEN 'fc1' ELSE 'fc0' END, '\">', {safe('w')}, '</span><span class=\"_ _', cast({width} + 6 AS string), '\"> </span>')), ''), '</div>')"
     opening, closing = "'<div class=\"pf\">'", "'</div>'"
     body = f"array_join(transform(split(text, '\\n'), (l, p) -> concat(CASE WHEN p % 20 = 0 THEN {opening} ELSE '' END, {line}, CASE WHEN p % 20 = 19 THEN {closing} ELSE '' END)), '')"
     return table(spark, sf_dir, "documents").select("doc_id", F.expr(f"concat('<html><head><style>{rules}</style></head><body>', {body}, '</body></html>')").alias("html"))
 
 
-@query(NUMBERED.replace("line_no, text FROM", "(line_no % 20)::INT AS line_no, 0.5::DOUBLE AS sx, 0.25::DOUBLE AS sy, text FROM"))
+TAGGED = "CASE WHEN length(word) % 5 = 0 AND regexp_matches(word, '\\S') THEN '<color_0066cc>' || {0} || '</color_0066cc>' ELSE {0} END".format("translate(word, 'ðÞ¼þ', '()=+')")
+COLORED = NUMBERED.replace("word || CASE", f"{TAGGED} || CASE")
+
+
+@query(COLORED.replace("line_no, text FROM", "(line_no % 20)::INT AS line_no, 0.5::DOUBLE AS sx, 0.25::DOUBLE AS sy, text FROM"))
 def layout_segments(spark, sf_dir):
     return layout.segments(laid_out(spark, sf_dir), threshold=6.0).select("doc_id", "seg_id", "page_idx", "line_no", "sx", "sy", "text")
 
 
-@query()
+def sql_esc(t: str) -> str:
+    return f"replace(replace(replace({t}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+
+
+def sql_width(t: str) -> str:
+    plain = f"regexp_replace({t}, '<[^>]*>', '', 'g')"
+    n = lambda r: f"length(regexp_replace({plain}, '[^{r}]', '', 'g'))"
+    return f"(length({plain}) * 5 - {n('iljtfrI.,;:!|' + chr(39) * 2 + ' ')} * 2 + {n('A-HJ-Zmw')} * 2 + {n(r'\x{{2e80}}-\x{{9fff}}\x{{ac00}}-\x{{d7ff}}\x{{ff00}}-\x{{ffef}}'.replace('{{', '{').replace('}}', '}'))} * 5)"
+
+
+def sql_lines(translated: str) -> str:
+    """CTEs up to `lines` (doc_id, page_idx, line_no, html_fragment, fit) of laid_out, with a translation of each text."""
+    new = f"CASE WHEN trim({translated}) <> trim(text) THEN {translated} END"
+    shown = sql_esc("new")
+    for tag in ("color_0066cc", "/color_0066cc"):
+        shown = f"replace({shown}, '&lt;{tag}&gt;', '<{tag}>')"
+    shown = f"regexp_replace({shown}, '(?s)<color_([0-9a-fA-F]{{6}})>(.*?)</color(?:_\\w+)?>', '<span style=\"color: #\\1;\">\\2</span>', 'g')"
+    word = f"CASE WHEN word = '' THEN '' WHEN NOT regexp_matches(word, '\\S') THEN word ELSE '<span class=\"ff1 ' || CASE WHEN length(word) % 5 = 0 THEN 'fc1' ELSE 'fc0' END || '\">' || {sql_esc('word')} || '</span>' END"
+    spacer = "'<span class=\"_ _' || ((length(word) * 7 + run_no * 5) % 29) || '\"></span>'"
+    return f"""{GEOMETRY.replace("word || CASE", f"{TAGGED} || CASE")},
+parts AS (SELECT doc_id, page_idx, line_no, grp, string_agg({word} || CASE WHEN abs(x) >= 6 THEN '' ELSE {spacer} END, '' ORDER BY run_no) AS inside, string_agg(CASE WHEN abs(x) >= 6 THEN {spacer} ELSE '' END, '' ORDER BY run_no) AS after FROM g GROUP BY ALL),
+numbered AS (SELECT *, sum((text <> '')::INT) OVER (PARTITION BY doc_id ORDER BY line_no, grp) - 1 AS seg_no FROM joined JOIN parts USING (doc_id, page_idx, line_no, grp)),
+news AS (SELECT *, CASE WHEN text <> '' THEN {new} END AS new FROM numbered),
+lines AS (SELECT doc_id, page_idx, line_no, string_agg(CASE WHEN text = '' THEN inside ELSE '<span class="trans-span' || CASE WHEN new IS NULL THEN '' ELSE ' translated' END || ' ff1" data-trans-id="g-' || seg_no || '" data-sx="0.5" data-sy="0.25">' || CASE WHEN new IS NULL THEN inside ELSE {shown} END || '</span>' END || after, '' ORDER BY grp) AS html_fragment,
+  CASE WHEN count(new) > 0 THEN least(0.5::DOUBLE, 0.5::DOUBLE * sum({sql_width('text')}) / sum({sql_width('coalesce(new, text)')})) END AS fit FROM news GROUP BY doc_id, page_idx, line_no)"""
+
+
+@query(f"WITH {sql_lines('text')} SELECT doc_id, page_idx, (line_no % 20)::INT AS line_no, md5(html_fragment) AS m FROM lines")
 def layout_wrapped_lines(spark, sf_dir):
-    return layout.wrapped_lines(laid_out(spark, sf_dir), threshold=6.0)
+    return layout.wrapped_lines(laid_out(spark, sf_dir), threshold=6.0).select("doc_id", "page_idx", "line_no", F.md5("html_fragment").alias("m"))
+
+
+def echoed(spark, sf_dir):
+    """The laid-out documents, and their segments with a mark before what is prose."""
+    docs = laid_out(spark, sf_dir)
+    found = layout.segments(docs, threshold=6.0)
+    return docs, found.withColumn("translated", F.when(text.should_translate(F.col("text")), F.concat(F.lit("[x] "), F.col("text"))).otherwise(F.col("text")))
+
+
+ECHOED = sql_lines(f"CASE WHEN ({sql_reason('text')}) IS NULL THEN '[x] ' || text ELSE text END")
+
+
+@query(f"WITH {ECHOED} SELECT doc_id, page_idx, (line_no % 20)::INT AS line_no, md5(html_fragment) AS m, round(fit, 6) AS fit FROM lines")
+def rendered_lines(spark, sf_dir):
+    docs, rows = echoed(spark, sf_dir)
+    return layout.wrapped_lines(docs, threshold=6.0, rows=rows).select("doc_id", "page_idx", "line_no", F.md5("html_fragment").alias("m"), F.round("fit", 6).alias("fit"))
+
+
+LAID_RULES = ".m0{transform:matrix(0.5,0,0,0.25,0,0);}.fc0{color:#000000;}.fc1{color:#0066cc;}" + "".join(f"._{i}{{width:{i - 6}px;}}" for i in range(29))
+
+
+@query(f"""WITH {ECHOED} SELECT doc_id, md5('<html><head><style>{LAID_RULES}</style><style>@page{{size:A4;margin:0}}body{{margin:0;padding:0}}{assemble.STYLE}</style>' || chr(10) || '</head><body>' ||
+  string_agg(CASE WHEN line_no % 20 = 0 THEN '<div class="pf">' ELSE '' END || '<div class="t m0"' || CASE WHEN fit IS NULL THEN '' ELSE ' style="transform:matrix(' || (floor(fit * 1e6::DOUBLE) / 1e6::DOUBLE)::DOUBLE || ',0,0,0.25,0,0)"' END || '>' || html_fragment || '</div>'
+    || CASE WHEN line_no % 20 = 19 THEN '</div>' ELSE '' END, '' ORDER BY line_no) || '</body></html>') AS html FROM lines GROUP BY doc_id""")
+def rendered(spark, sf_dir):
+    docs, rows = echoed(spark, sf_dir)
+    return assemble.render(docs, layout.wrapped_lines(docs, threshold=6.0, rows=rows)).select("doc_id", F.md5("html").alias("html"))
+
+
+@query(f"WITH {SEG} SELECT doc_id, seg_id, page_idx, text, '[x] ' || text AS translated FROM seg")
+def bilingual_rows(spark, sf_dir):
+    rows = seg(spark, sf_dir).withColumn("translated", F.concat(F.lit("[x] "), F.col("text")))
+    return assemble.bilingual(rows)
 
 
 CSS = [
@@ -308,9 +372,22 @@ RULES = [
 ]
 
 
-@query(f'SELECT id, kind, "class", round(v1::DOUBLE, 6) AS v1, v2::DOUBLE AS v2, hex::VARCHAR AS hex FROM {values(RULES, "id, kind, class, v1, v2, hex")}')
+def sheets(spark, sf_dir):
+    """A style sheet for each document, made from its id and length; m0 has two rules, and some rules say nothing."""
+    n, sheet = "n_chars", "concat('@media print{.m0{x:1;transform:matrix(', {n} % 97 - 48, ',0,0,0.5,0,0)}} .m0 { -webkit-transform : matrix( ', {n} % 31, '.25 , 1, 0, ', {n} % 13 - 6, ' , 0,0);}\n._1{color:red; margin-left: ', {n} % 29 - 14, element_at(array('px', 'pt', 'em', '%', ' rem'), int({n} % 5) + 1), ';width:7px} ._2{height:3px}\n.fc1{background-color:#', lpad(hex({n}), 6, '0'), ';color:#fff;} .fc2{color:rgb(', {n} % 256, ', 7,', doc_id % 256, ')} .fc3{color:transparent} .x', doc_id % 3, '{left:', {n}, 'px;} .y1{color:red;bottom:5px} .y2{\ntop:-', {n}, '.5px}')"
+    return table(spark, sf_dir, "documents").select("doc_id", F.expr(sheet.replace("{n}", n)).alias("css"))
+
+
+@query("""WITH d AS (SELECT doc_id, n_chars AS n FROM documents), r AS (
+  SELECT doc_id, 'matrix' AS kind, 'm0' AS class, (n % 31) + 0.25::DOUBLE AS v1, (n % 13 - 6)::DOUBLE AS v2, NULL::VARCHAR AS hex FROM d
+  UNION ALL SELECT doc_id, 'spacer', '1', (n % 29 - 14) * [1::DOUBLE, 1.333333::DOUBLE, 16::DOUBLE, 1::DOUBLE, 16::DOUBLE][n % 5 + 1], NULL, NULL FROM d
+  UNION ALL SELECT doc_id, 'color', 'fc1', NULL, NULL, lpad(upper(to_hex(n)), 6, '0') FROM d
+  UNION ALL SELECT doc_id, 'color', 'fc2', NULL, NULL, lpad(lower(to_hex(n % 256)), 2, '0') || '07' || lpad(lower(to_hex(doc_id % 256)), 2, '0') FROM d
+  UNION ALL SELECT doc_id, 'left', 'x' || doc_id % 3, n::DOUBLE, NULL, NULL FROM d
+  UNION ALL SELECT doc_id, 'bottom', 'y2', -n - 0.5::DOUBLE, NULL, NULL FROM d)
+SELECT doc_id, kind, class, round(v1, 6) AS v1, v2, hex FROM r""")
 def css_rules(spark, sf_dir):
-    return css.style_rules(literals(spark, CSS, "id int, css string"), ["id"]).withColumn("v1", F.round("v1", 6))
+    return css.style_rules(sheets(spark, sf_dir), ["doc_id"]).withColumn("v1", F.round("v1", 6))
 
 
 @query("SELECT doc_id, md5(translate(text, 'ðÞ¼þ', '()=+')) AS m FROM documents")
@@ -373,16 +450,28 @@ def unexpected_ids(spark, sf_dir):
     return assemble.unexpected(seg(spark, sf_dir), wrong).select("doc_id", "seg_id", "page_idx")
 
 
-@query(f"WITH {SEG}, noise AS (SELECT * FROM seg WHERE pos % 4 = 1), landed AS (SELECT DISTINCT doc_id, page_idx FROM seg WHERE pos % 3 = 0 AND page_idx % 2 = 0) SELECT doc_id, seg_id, page_idx FROM noise SEMI JOIN landed USING (doc_id, page_idx)")
+COMMITS = f"""WITH {TOKW}, s AS (SELECT doc_id, 'g-' || pos AS seg_id, (pos // 50)::INT AS page_idx, word, ({sql_reason('word')}) IS NULL AS prose FROM tokw)
+SELECT doc_id, seg_id, page_idx FROM s WHERE NOT prose AND (doc_id, page_idx) IN (SELECT (doc_id, page_idx) FROM s WHERE prose AND length(word) > 14)"""
+
+
+def paged_words(spark, sf_dir):
+    """Words as segments, and those whose translations have landed: the long ones."""
+    w = word_segments(spark, sf_dir).withColumn("page_idx", F.expr("pos div 50").cast("int"))
+    return w, w.where(text.should_translate(F.col("text")) & (F.length("text") > 14))
+
+
+@query(COMMITS)
 def committed_bypass(spark, sf_dir):
-    s = seg(spark, sf_dir)
-    return assemble.committed_bypass(s.where("pos % 4 = 1"), done_segments(spark, sf_dir).where("page_idx % 2 = 0")).select("doc_id", "seg_id", "page_idx")
+    w, landed = paged_words(spark, sf_dir)
+    return assemble.committed_bypass(assemble.bypassed(w), landed).select("doc_id", "seg_id", "page_idx")
 
 
-@query(f"WITH {SEG} SELECT doc_id, page_idx, seg_id, CASE WHEN pos % 2 = 0 THEN 'new ' ELSE '[x] ' END || text AS translated FROM seg WHERE pos % 3 = 0 OR pos % 2 = 0")
+@query(f"WITH {SEG} SELECT doc_id, page_idx, seg_id, CASE WHEN ({sql_reason('text')}) IS NULL THEN 'new ' ELSE '[x] ' END || text AS translated FROM seg")
 def upsert_results(spark, sf_dir):
-    new = seg(spark, sf_dir).where("pos % 2 = 0").withColumn("translated", F.concat(F.lit("new "), F.col("text")))
-    return assemble.upsert(done_segments(spark, sf_dir), new)
+    s = seg(spark, sf_dir)
+    old = s.withColumn("translated", F.concat(F.lit("[x] "), F.col("text")))
+    new = s.where(text.should_translate(F.col("text"))).withColumn("translated", F.concat(F.lit("new "), F.col("text")))
+    return assemble.upsert(old, new)
 
 
 @query(f"WITH {SEG} SELECT doc_id, seg_id, page_idx FROM seg WHERE pos % 3 = 0 AND page_idx <> 1")
@@ -473,6 +562,21 @@ def page_size_text(spark, sf_dir):
     return table(spark, sf_dir, "supplier").select("s_suppkey", text.page_size_text(F.col("s_suppkey") % 700, F.col("s_suppkey") % 900).alias("size"))
 
 
+@query("""SELECT doc_id || '.pdf' AS path, '0.00 MB' AS file_size, CASE WHEN doc_id % 4 = 0 THEN 'PDF-1.4' ELSE 'PDF-1.' || doc_id % 8 END AS pdf_version, CASE WHEN doc_id % 3 = 0 THEN 'Yes' ELSE 'No' END AS linearized,
+  CASE WHEN doc_id % 5 = 0 THEN 'Yes' ELSE 'No' END AS tagged, '[' || printf('%.2f', (200 + n_chars % 500) * 0.0352778::DOUBLE) || ' x ' || printf('%.2f', (300 + doc_id % 500) * 0.0352778::DOUBLE) || ' cm]' AS page_size, (doc_id % 6)::INT AS pages_count,
+  CASE WHEN doc_id % 2 = 0 THEN source || ' (of ' || lang || ')' ELSE doc_id::VARCHAR END AS title, 'Unknown' AS subject, lang AS creator, 'Unknown' AS author, 'Unknown' AS producer, 'None' AS keywords,
+  '2024-01-' || lpad((doc_id % 28 + 1)::VARCHAR, 2, '0') || ' 10:20:30' AS created_date, 'Unknown' AS mod_date FROM documents""")
+def pdf_properties(spark, sf_dir):
+    """Small PDF files made from the documents' columns."""
+    parts = [
+        "CASE WHEN doc_id % 4 = 0 THEN 'no header' ELSE concat('%PDF-1.', doc_id % 8) END", "CASE WHEN doc_id % 3 = 0 THEN ' /Linearized 1' ELSE '' END", "CASE WHEN doc_id % 5 = 0 THEN ' /MarkInfo <<>>' ELSE '' END", "' /Type /Pages'",
+        "repeat(' << /Type /Page >> ', int(doc_id % 6))", "concat('/MediaBox [0 0 ', 200 + n_chars % 500, ' ', 300 + doc_id % 500, ']')", "CASE WHEN doc_id % 2 = 0 THEN concat(' /Title (', source, ' \\\\(of ', lang, '\\\\))') ELSE '' END",
+        "concat(' /Creator (', lang, ') /CreationDate (D:202401', lpad(doc_id % 28 + 1, 2, '0'), '102030Z)')",
+    ]
+    files = table(spark, sf_dir, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".pdf")).alias("path"), F.expr(f"encode(concat({', '.join(parts)}), 'ISO-8859-1')").alias("content"))
+    return tables.pdf_properties(files)
+
+
 @query("SELECT 1 AS id, '1.7' AS version, true AS linearized UNION ALL SELECT 2, NULL, false")
 def pdf_header(spark, sf_dir):
     rows = literals(spark, [(1, bytearray(b"%PDF-1.7\n\xe2\xe3 /Linearized 1")), (2, bytearray(b"no header"))], "id int, content binary")
@@ -493,24 +597,14 @@ def most_visible_page(spark, sf_dir):
 @query(f"WITH {SEG} SELECT doc_id, seg_id, round(CASE WHEN pos % 3 = 0 THEN least(0.5, 0.5 * (1 + length(text)) / (2 + length(text) * 2)) ELSE 0.5 END::DOUBLE, 6) AS sx FROM seg")
 def fit_scale(spark, sf_dir):
     n = F.length("text")
-    sx = F.when(F.col("pos") % 3 == 0, assemble.fit_scale(F.lit(0.5), (n + 1).cast("double"), (n * 2 + 2).cast("double"))).otherwise(F.lit(0.5))
+    sx = F.when(F.col("pos") % 3 == 0, text.fit_scale(F.lit(0.5), (n + 1).cast("double"), (n * 2 + 2).cast("double"))).otherwise(F.lit(0.5))
     return seg(spark, sf_dir).select("doc_id", "seg_id", F.round(sx, 6).alias("sx"))
 
 
 @query(f"WITH {SEG} SELECT doc_id, count(*) FILTER (trim(text) <> trim(CASE WHEN pos % 2 = 0 THEN ' ' || text || ' ' ELSE text || '.' END)) AS n_changed FROM seg GROUP BY doc_id")
 def changed_segments(spark, sf_dir):
     other = F.when(F.col("pos") % 2 == 0, F.concat(F.lit(" "), F.col("text"), F.lit(" "))).otherwise(F.concat(F.col("text"), F.lit(".")))
-    return seg(spark, sf_dir).groupBy("doc_id").agg(F.count(F.when(assemble.changed(F.col("text"), other), 1)).alias("n_changed"))
-
-
-_HOOK = assemble._HOOK.replace("'", "''")
-
-
-@query(f"""WITH {SEG}, j AS (SELECT doc_id, '{{' || string_agg(to_json(seg_id) || ':' || to_json('[x] ' || text), ',' ORDER BY seg_id) || '}}' AS payload FROM seg WHERE pos % 3 = 0 GROUP BY doc_id)
-SELECT doc_id, md5('<html><head><style>@page{{size:A4;margin:0}}body{{margin:0;padding:0}}</style>' || chr(10) || '</head><body><script>var quirePayload=' || payload || ';{_HOOK}</script>' || chr(10) || '</body></html>') AS html FROM j""")
-def rendered(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.lit("<html><head></head><body></body></html>").alias("html"))
-    return assemble.render(docs, done_segments(spark, sf_dir)).select("doc_id", F.md5("html").alias("html"))
+    return seg(spark, sf_dir).groupBy("doc_id").agg(F.count(F.when(text.changed(F.col("text"), other), 1)).alias("n_changed"))
 
 
 TEXTS = [("en", "hello", "Hello"), ("fr", "hello", "Bonjour"), ("en", "bye", "Bye {n} {n}")]
@@ -576,3 +670,10 @@ def stream_once(spark, sf_dir):
 @query("""SELECT conv_id, count(*) AS n, array_to_string(list(text ORDER BY turn)[-5:], chr(10)) AS context FROM conversations WHERE role = 'assistant' GROUP BY conv_id""")
 def stream_context(spark, sf_dir):
     return streaming.stream_context(spark, sf_dir)
+
+
+@query(COMMITS)
+def stream_commits(spark, sf_dir):
+    path, (w, landed) = streaming.scratch(spark), paged_words(spark, sf_dir)
+    stream = streaming.delivered(landed.select("doc_id", "page_idx"), f"{path}/in", "doc_id", 3)
+    return streaming.bypass_commits(assemble.bypassed(w), stream, path).drop("epoch")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import base_name, page_size_text, pdf_date
+
 LINES_A_PAGE = 20
 
 
@@ -84,14 +86,56 @@ def compile_documents(files: DataFrame, command: list[str], timeout: float | Non
     return files.select("path", "content").mapInPandas(run, "path string, html string, error string")
 
 
+#: Text properties of a document's info, the entry that holds them, and what stands for nothing.
+INFO = {"title": ("Title", "Unknown"), "subject": ("Subject", "Unknown"), "creator": ("Creator", "Unknown"), "author": ("Author", "Unknown"), "producer": ("Producer", "Unknown"), "keywords": ("Keywords", "None"), "created_date": ("CreationDate", "Unknown"), "mod_date": ("ModDate", "Unknown")}
+
+
+def scanned_structure(content: Column) -> dict[str, Column]:
+    """What the plain objects of a PDF say, found by built-in expressions on its bytes; null where they say nothing.
+
+    Objects inside compressed streams aren't seen; pdf_structure() reads those where the optional package is there."""
+    text = F.decode(content, "ISO-8859-1")
+    number = r"\s*(-?[0-9.]+)"
+    box = rf"/MediaBox\s*\[{number}{number}{number}{number}"
+    side = lambda a, b: F.regexp_extract(text, box, b).try_cast("double") - F.regexp_extract(text, box, a).try_cast("double")
+    plain = lambda raw: F.regexp_replace(raw, r"\\([()\\])", "$1")
+    info = {name: plain(F.nullif(F.regexp_extract(text, rf"/{entry}\s*\(((?:\\.|[^\\()])*+)\)", 1), F.lit(""))) for name, (entry, _) in INFO.items()}
+    pages = F.regexp_count(text, F.lit(r"/Type\s*/Page(?![A-Za-z])"))
+    return {"pages": F.when(pages > 0, pages), "width_pt": side(1, 3), "height_pt": side(2, 4), "tagged": F.when(text.rlike("/MarkInfo|/StructTreeRoot"), True), **info}
+
+
+def pdf_properties(files: DataFrame, parsed: DataFrame | None = None) -> DataFrame:
+    """(path, file_size, pdf_version, linearized, tagged, page_size, pages_count, title ... mod_date) of rows (path, content).
+
+    From the first 1024 bytes and the plain objects; parsed, a frame of pdf_structure(), goes before where it knows more.
+    Nothing known gives Unknown (None for keywords), a version that isn't told is 1.4, an untitled document with an info
+    is called by its file."""
+    head = header_fields(F.substring("content", 1, 1024))
+    seen = scanned_structure(F.col("content"))
+    rows = files.select("path", F.length("content").alias("size"), *head, *[c.alias(n) for n, c in seen.items()])
+    if parsed is not None:
+        known = parsed.select("path", *[F.col(n).alias(f"__{n}") for n in seen])
+        rows = rows.join(known, "path", "left").select("path", "size", "version", "linearized", *[F.coalesce(f"__{n}", n).alias(n) for n in seen])
+    size = F.when(F.col("width_pt").isNotNull(), page_size_text(F.col("width_pt"), F.col("height_pt"))).otherwise("Unknown")
+    any_info = F.coalesce(*[F.col(n) for n in INFO]).isNotNull()
+    stem = F.regexp_replace(base_name(F.col("path")), r"\.[^.]*$", "")
+    told = {n: F.coalesce(n, F.lit(nothing)) for n, (_, nothing) in INFO.items()} | {"title": F.coalesce("title", F.when(any_info, stem), F.lit("Unknown")), "created_date": pdf_date(F.col("created_date")), "mod_date": pdf_date(F.col("mod_date"))}
+    yes = lambda c: F.when(c, "Yes").otherwise("No")
+    return rows.select(
+        "path", F.concat(F.format_number(F.col("size") / 1048576, 2), F.lit(" MB")).alias("file_size"), F.concat(F.lit("PDF-"), F.coalesce("version", F.lit("1.4"))).alias("pdf_version"), yes(F.col("linearized")).alias("linearized"),
+        yes(F.col("tagged")).alias("tagged"), size.alias("page_size"), F.coalesce("pages", F.lit(0)).alias("pages_count"), *[c.alias(n) for n, c in told.items()],
+    )
+
+
 def pdf_structure(files: DataFrame) -> DataFrame:
-    """(path, pages, size, tagged, created, error) of binary rows (path, content).
+    """(path, pages, width_pt, height_pt, tagged, title ... mod_date, error) of binary rows (path, content).
 
     Needs the optional pypdf package on the executors; without it, or for a file that it can't read, everything but
     the path is null and error says why."""
     import pandas as pd
 
-    names = ["path", "pages", "width_pt", "height_pt", "tagged", "created", "error"]
+    entries = [e for e, _ in INFO.values()]
+    names = ["path", "pages", "width_pt", "height_pt", "tagged", *INFO, "error"]
 
     def read(path, content) -> tuple:
         import io
@@ -100,17 +144,13 @@ def pdf_structure(files: DataFrame) -> DataFrame:
             from pypdf import PdfReader
 
             pdf = PdfReader(io.BytesIO(content))
-            root, box = pdf.trailer["/Root"], pdf.pages[0].mediabox
-            return path, len(pdf.pages), float(box.width), float(box.height), "/MarkInfo" in root or "/StructTreeRoot" in root, (pdf.metadata or {}).get("/CreationDate"), None
+            root, box, info = pdf.trailer["/Root"], pdf.pages[0].mediabox, pdf.metadata or {}
+            return path, len(pdf.pages), float(box.width), float(box.height), "/MarkInfo" in root or "/StructTreeRoot" in root, *(None if (v := info.get("/" + e)) is None else str(v) for e in entries), None
         except Exception as e:  # damaged files raise all sorts; the row reports it
-            return path, None, None, None, None, None, type(e).__name__
+            return path, None, None, None, None, *[None] * len(entries), type(e).__name__
 
     def run(batches):
         for pdf in batches:
             yield pd.DataFrame([read(p, c) for p, c in zip(pdf["path"], pdf["content"], strict=True)], columns=names)
 
-    raw = files.select("path", "content").mapInPandas(run, "path string, pages int, width_pt double, height_pt double, tagged boolean, created string, error string")
-    from ..functions.text import page_size_text, pdf_date
-
-    size = F.when(F.col("width_pt").isNotNull(), page_size_text(F.col("width_pt"), F.col("height_pt"))).otherwise("Unknown")
-    return raw.select("path", "pages", size.alias("size"), "tagged", pdf_date(F.col("created")).alias("created"), "error")
+    return files.select("path", "content").mapInPandas(run, "path string, pages int, width_pt double, height_pt double, tagged boolean, " + "".join(f"{n} string, " for n in INFO) + "error string")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from quire.conf import EngineConf, Settings, key_variable, load_settings
 from quire.functions import css, text
 from quire.operators import assemble, batching, history, layout, metrics, pages, translate
-from quire.plans.queries import DATES, PATHS, RANGES, REPLIES, RULES, SIZES
+from quire.plans.queries import DATES, PATHS, RANGES, REPLIES, SIZES
 from quire.sources import html, tables
 from quire.streaming import progress
 
@@ -66,9 +66,21 @@ def test_fences_templates_and_scalars(spark):
     assert one(spark, ["é", None], "t string", text.nfc(t)) == ["é", None]
 
 
-def test_style_rules(spark):
-    from quire.plans.queries import CSS
+CSS = [
+    (1, ".m0{transform:matrix(0.125,0,0,0.25,0,0);} .m1 { x:1; transform : matrix( -1.5 , 0, 0, 2 , 0,0)} .m0{transform:matrix(0.5,0,0,0.75,1,1)} .m2{transform:none} .m3{transform:matrix(1,2)}"),
+    (2, "._0{margin-left:2px;} ._1{width:1.5em} ._2{left:-4.077908pt} ._a{width:50%} ._0{right:3rem} ._b{color:red;width:auto;left:1px} ._c{height:9px}"),
+    (3, ".fc0{color:#abc;} .fc1{color:#1A2b3C} .fc2{color:rgb(255,50,50);} .fc3{color:rgba(0,0,0,0.5)} .fc4{color:transparent} .fc5{color:#12345678} .fc6{background-color:red;color:#fff} .fc1{color: #ffffff }"),
+    (4, ".x0{left:85px;} .x1{margin-left:-2.5px} .y0{bottom:234px} .y1{margin-top:7px} .x2{left:3pt} @media print{.y2{bottom:1px}} .x3{top:1px} }{ junk"),
+    (5, ""), (6, None),
+]
+RULES = [
+    (1, "matrix", "m0", 0.5, 0.75, None), (1, "matrix", "m1", -1.5, 2.0, None), (2, "spacer", "0", 48.0, None, None), (2, "spacer", "1", 24.0, None, None), (2, "spacer", "2", round(-4.077908 * 1.333333, 6), None, None), (2, "spacer", "a", 50.0, None, None), (2, "spacer", "b", 1.0, None, None),
+    (3, "color", "fc0", None, None, "aabbcc"), (3, "color", "fc1", None, None, "ffffff"), (3, "color", "fc2", None, None, "ff3232"), (3, "color", "fc3", None, None, "000000"), (3, "color", "fc5", None, None, "12345678"),
+    (4, "left", "x0", 85.0, None, None), (4, "left", "x1", -2.5, None, None), (4, "bottom", "y0", 234.0, None, None), (4, "bottom", "y1", 7.0, None, None), (4, "bottom", "y2", 1.0, None, None),
+]
+
 
+def test_style_rules(spark):
     got = css.style_rules(spark.createDataFrame(CSS, "id int, css string"), ["id"])
     assert sorted(map(str, [(r.id, r.kind, r["class"], None if r.v1 is None else round(r.v1, 6), r.v2, r.hex) for r in got.collect()])) == sorted(map(str, RULES))
 
@@ -167,7 +179,9 @@ def test_retry_and_fallback():
     assert (items[0]["translated"], attempts, model, error) == ("mistral/mistral-small-latest", 3, "mistral/mistral-small-latest", "") and waits == [2.0, 6.0]
     items, attempts, model, error = translate.call(Flaky(9), "s", "m", conf, waits.append)
     assert items is None and attempts == 4 and "429" in error and model == "mistral/mistral-large-latest"
-    assert translate.call(Flaky(0), "s", "m", conf, cancelled=lambda: True)[3] == "cancelled"
+    assert translate.call(Flaky(0), "s", "m", conf, cancelled=lambda: True)[3] == "cancelled" and error.startswith("rate limited: RuntimeError")
+    asked = iter([False, True])
+    assert translate.call(Flaky(9), "s", "m", conf, waits.append, cancelled=lambda: next(asked))[1:] == (1, conf.model, "cancelled")
     assert translate.translate_text(Flaky(9), "x", conf, waits.append) == translate.FAILED + "x"
     assert translate.next_model("openai/o4-mini", {"OpenAI": "k"}) is None and translate.next_model("openai/unknown", {"OpenAI": "k"}) == "openai/gpt-5" and translate.next_model("ollama/llama3", {}, "k") is None
 
@@ -175,6 +189,9 @@ def test_retry_and_fallback():
 def test_repair():
     assert translate.repair_json('```\n[{"id": "a", "translated": "b"},]\n```') == [{"id": "a", "translated": "b"}]
     assert translate.repair_json('ok [{"id": "a"}, {"id": "b", "tra') == [{"id": "a"}]
+    assert translate.repair_json('[{"id": "a", "translated": "b"} {"id": "c", "translated": "d"}]') == [{"id": "a", "translated": "b"}, {"id": "c", "translated": "d"}]
+    assert translate.repair_json("[{'id': 'a', 'translated': 'it\\'s \"b\"'}]") == [{"id": "a", "translated": 'it\'s "b"'}]
+    assert translate.repair_json('[{"id": "a", "translated": "two\nlines"}]') == [{"id": "a", "translated": "two\nlines"}]
     assert translate.repair_json('{"id": 1}') is None and translate.repair_json("no") is None
 
 
@@ -221,7 +238,7 @@ def test_properties(spark):
 
 
 def test_fit_and_visibility(spark):
-    r = spark.range(1).select(assemble.fit_scale(F.lit(0.5), F.lit(10.0), F.lit(20.0)).alias("a"), assemble.fit_scale(F.lit(0.5), F.lit(20.0), F.lit(10.0)).alias("b"), assemble.fit_scale(F.lit(0.5), F.lit(0.0), F.lit(1.0)).alias("c"), assemble.text_width(F.lit("iiM漢")).alias("w")).first()
+    r = spark.range(1).select(text.fit_scale(F.lit(0.5), F.lit(10.0), F.lit(20.0)).alias("a"), text.fit_scale(F.lit(0.5), F.lit(20.0), F.lit(10.0)).alias("b"), text.fit_scale(F.lit(0.5), F.lit(0.0), F.lit(1.0)).alias("c"), text.text_width(F.lit("iiM漢")).alias("w")).first()
     assert (r.a, r.b, r.c, r.w) == (0.25, 0.5, 0.5, 3 + 3 + 7 + 10)
     boxes = spark.createDataFrame([(1, 0, -50.0, 50.0), (1, 1, 50.0, 100.0), (1, 2, 100.0, 300.0)], "k int, page_idx int, top double, bottom double")
     assert pages.most_visible(boxes, 100.0, "k").first().page_idx == 0
@@ -279,8 +296,128 @@ def test_engine_from_files_to_pages(spark, tmp_path):
     (tmp_path / "in" / "a.html").write_text(PAGE, encoding="utf-8")
     assert main([str(tmp_path / "in"), str(tmp_path / "out"), "-l", "de"]) == 0
     page = spark.read.parquet(str(tmp_path / "out" / "html")).first().html
-    assert '"g-0":"[x] Two words"' in page and page.index("@page{size:A4") < page.index("</head>") and page.index("quirePayload") < page.index("</body>")
-    assert {r.status for r in spark.read.parquet(str(tmp_path / "out" / "work" / "assembled")).collect()} == {"ok"}
+    assert 'data-trans-id="g-0" data-sx="0.5" data-sy="0.25">[x] Two words</span>' in page and page.index("@page{size:A4") < page.index("</head>") and "<script" not in page
+    assert '[x] Next <span style="color: #ff0000;">red</span>' in page and 'style="transform:matrix(0.' in page and page.count("</div>") == PAGE.count("</div>")
+    (done,) = (tmp_path / "out" / "work").glob("*/assembled")
+    assert {r.status for r in spark.read.parquet(str(done)).collect()} == {"ok"}
+
+
+class Odd:
+    """Answers that repeat ids and hold markup."""
+
+    def __call__(self, system, message, model):
+        import json
+
+        ids = [s["id"] for s in json.loads(message)]
+        return json.dumps([{"id": i, "translated": t} for i in ids for t in ("first", "<b>last</b> </script><i onclick=x>")])
+
+
+def test_pages_hold_translations_as_text(spark, tmp_path):
+    from quire.api import Engine
+
+    docs = spark.createDataFrame([(1, PAGE), (2, None), (3, "<p>no page</p></head>")], "doc_id long, html string")
+    seen = []
+    engine = Engine(Odd(), on_progress=lambda done, total: seen.append((done, total)))
+    got = {r.doc_id: r.html for r in engine.translate(docs, str(tmp_path)).collect()}
+    assert got[1].count("<b>last</b> &lt;/script&gt;&lt;i onclick=x&gt;</span>") == 4 and "first" not in got[1] and "</script>" not in got[1] and seen == [(4, 4)]
+    assert got[2] == "" and got[3].startswith("<p>no page</p><style>@page")
+    twice = spark.createDataFrame([(1, "g-0", "Two words", "a"), (1, "g-0", "Two words", "b")], "doc_id long, seg_id string, text string, translated string")
+    assert ">b</span>" in engine.render(docs, twice, bilingual=True).where("doc_id = 1").first().html
+    assert 'title="Two words"' in engine.render(docs, twice, bilingual=True).where("doc_id = 1").first().html
+    waiting = engine.instrument(docs).where("doc_id = 1").first().html
+    assert waiting.count('class="waiting"') == 2 and '<div class="pf"><div class="waiting" id="waiting-0"></div><div class="t m0 x1"' in waiting
+    sizes = spark.createDataFrame([(1, "21cm 29cm")], "doc_id long, size_css string")
+    assert "@page{size:21cm 29cm" in engine.render(docs, twice, sizes).where("doc_id = 1").first().html
+
+
+def test_resume_and_languages(spark, tmp_path):
+    from quire.api import Engine
+
+    docs = spark.createDataFrame([(1, PAGE)], "doc_id long, html string")
+    first = Engine(translate.Echo("[1] "), EngineConf(max_segments=2))
+    first.translate(docs, str(tmp_path)).collect()
+    again = Engine(translate.Echo("[2] "), EngineConf(max_segments=2)).translate(docs, str(tmp_path), resume=True).first().html
+    assert "[1] Two words" in again and "[2]" not in again
+    other = Engine(translate.Echo("[3] "), EngineConf(target_language="German")).translate(docs, str(tmp_path), resume=True).first().html
+    assert "[3] Two words" in other and len(list(tmp_path.glob("*/replies"))) == 2
+    stop = Engine(translate.Echo(), cancelled=lambda: True)
+    assert {r.error for r in stop.replies(stop.batches(stop.segments(docs))).collect()} == {"cancelled"}
+
+
+def test_pdf_to_pdf(spark, tmp_path):
+    from quire.api import main
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.pdf").write_text(PAGE.replace("<html>", "<!-- %PDF-1.5 /Type /Page /MediaBox [0 0 595 842] --><html>"), encoding="utf-8")
+    (tmp_path / "in" / "b.txt").write_text("no")
+    args = [str(tmp_path / "in"), str(tmp_path / "out"), "--compiler", "cp {in} {out}", "--printer", "cp {in} {out}", "-k", "secret", "--resume"]
+    for _ in range(2):
+        assert main(args) == 0
+        (printed,) = spark.read.parquet(str(tmp_path / "out" / "pdf")).collect()
+        assert b"[x] Two words" in bytes(printed.content) and b"@page{size:20.99cm 29.70cm" in bytes(printed.content)
+    assert spark.read.parquet(str(tmp_path / "out" / "work" / "compiled")).count() == 1
+
+
+def test_service(spark):
+    import http.server
+    import json
+    import threading
+
+    asked = []
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            asked.append((self.path, self.headers["Authorization"], body))
+            broken = len(asked) == 1
+            content = json.dumps([{"id": s["id"], "translated": s["text"].upper()} for s in json.loads(body["messages"][1]["content"])])
+            data = b"slow down" if broken else json.dumps({"choices": [{"message": {"content": content}}]}).encode()
+            self.send_response(429 if broken else 200)
+            self.end_headers()
+            self.wfile.write(data)
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        service = translate.ChatCompletions(f"http://127.0.0.1:{server.server_port}/v1/", 0.3, 99, "k1")
+        waits = []
+        items, attempts, _, error = translate.call(service, "s", '[{"id": "g-0", "text": "abc"}]', EngineConf(model="openai/gpt-5"), waits.append)
+        assert items == [{"id": "g-0", "translated": "ABC"}] and attempts == 2 and error == "" and waits == [2.0]
+        path, key, body = asked[1]
+        assert path == "/v1/chat/completions" and key == "Bearer k1" and (body["temperature"], body["max_tokens"], body["model"], body["messages"][0]["content"]) == (0.3, 99, "openai/gpt-5", "s")
+        from quire.api import Engine
+
+        engine = Engine(conf=EngineConf(base_url=f"http://127.0.0.1:{server.server_port}/v1", temperature=0.5))
+        d = spark.createDataFrame([(1, PAGE)], "doc_id long, html string")
+        assert ">TWO WORDS</span>" in engine.render(d, engine.assemble(engine.segments(d), engine.replies(engine.batches(engine.segments(d))))).first().html
+        assert asked[-1][2]["temperature"] == 0.5
+    finally:
+        server.shutdown()
+
+
+def test_settings_to_conf(tmp_path):
+    from quire.conf import engine_conf
+
+    s = Settings(str(tmp_path / "s.json"))
+    for name, value in (("temperature", "0.2"), ("sliding_context_size", 0), ("max_segments_per_batch", "x"), ("custom_glossary", " g ")):
+        s.set("TranslationConfig", name, value)
+    s.set("APIConfig", "use_custom_base", True)
+    s.set("APIConfig", "custom_base_url", " http://h/v1 ")
+    s.set("APIConfig", "api_keys_by_provider", {"OpenAI": "k"})
+    c = engine_conf(s, model="m")
+    assert (c.temperature, c.context_size, c.max_segments, c.glossary, c.base_url, c.keys, c.model) == (0.2, 0, 60, "g", "http://h/v1", {"OpenAI": "k"}, "m")
+    s.clear()
+    assert engine_conf(Settings(str(tmp_path / "s.json"))) == EngineConf()
+
+
+def test_commits_wait_for_their_page(spark, tmp_path):
+    noise = spark.createDataFrame([(1, "g-1", 0), (1, "g-5", 1), (2, "g-0", 0)], "doc_id long, seg_id string, page_idx int")
+    rows = spark.createDataFrame([(1, 1, 1), (1, 0, 2), (1, 1, 3)], "doc_id long, page_idx int, n int")
+    stream = progress.delivered(rows, str(tmp_path / "in"), "n", 3).select("doc_id", "page_idx")
+    assert sorted(map(tuple, progress.bypass_commits(noise, stream, str(tmp_path / "out")).collect())) == [(1, "g-1", 0, 1), (1, "g-5", 1, 0)]
 
 
 def test_sinks_and_structure(spark, tmp_path):
@@ -293,7 +430,11 @@ def test_sinks_and_structure(spark, tmp_path):
     assert {r.error for r in sinks.print_documents(docs, ["false"]).collect()} == {"exit 1"}
     (tmp_path / "x.pdf").write_bytes(b"junk")
     got = tables.pdf_structure(spark.read.format("binaryFile").load(str(tmp_path / "x.pdf"))).first()
-    assert got.pages is None and got.error and got.size == got.created == "Unknown"
+    assert got.pages is None and got.error and got.title is None
+    whole = tables.pdf_properties(spark.read.format("binaryFile").load(str(tmp_path / "x.pdf"))).first()
+    assert (whole.file_size, whole.pdf_version, whole.linearized, whole.tagged, whole.page_size, whole.pages_count, whole.title, whole.keywords, whole.mod_date) == ("0.00 MB", "PDF-1.4", "No", "No", "Unknown", 0, "Unknown", "None", "Unknown")
+    better = tables.pdf_properties(spark.read.format("binaryFile").load(str(tmp_path / "x.pdf")), spark.createDataFrame([(got.path, 7, 595.0, 842.0, True, None, "s", None, None, None, None, "D:2024", None)], "path string, pages int, width_pt double, height_pt double, tagged boolean, " + ", ".join(f"{n} string" for n in tables.INFO))).first()
+    assert (better.pages_count, better.page_size, better.tagged, better.title, better.subject, better.created_date) == (7, "[20.99 x 29.70 cm]", "Yes", "x", "s", "2024")
 
 
 def test_registry(spark):
