@@ -53,7 +53,8 @@ def members(batched: DataFrame, key: str = "doc_id") -> DataFrame:
     return batched.select(key, "batch_no", F.posexplode("segments").alias("pos_in_batch", "s")).select(key, "batch_no", "pos_in_batch", F.col("s.id").alias("seg_id"), "s.page_idx", "s.text", "s.tokens")
 
 
-def batch_ids(batched: DataFrame) -> Column:
+def batch_ids() -> Column:
+    """The ids of a batch, in order."""
     return F.transform("segments", lambda s: s["id"])
 
 

@@ -9,11 +9,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def write_table(docs: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """(key, html, ...) as Parquet."""
-    docs.write.mode(mode).parquet(path)
-
-
 def write_text(docs: DataFrame, path: str, key: str = "doc_id", html: str = "html", mode: str = "overwrite") -> None:
     """One folder for each document with its page as UTF-8 text; for exports of few documents."""
     docs.select(key, F.col(html).alias("value")).write.mode(mode).partitionBy(key).option("lineSep", "\n").text(path)
