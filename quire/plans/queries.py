@@ -487,10 +487,19 @@ def restore_pages(spark, sf_dir):
     return assemble.restore_pages(rows, page).select("doc_id", "seg_id", "translated")
 
 
+HEAD, TAIL = (x.replace("\n", "' || chr(10) || '") for x in (translate.CONTEXT_HEAD, translate.CONTEXT_TAIL))
+
+
 @query(f"""WITH RECURSIVE {SEG}, {sql_batches('seg', 'text', 1000, 60)}
-SELECT doc_id, batch_no, md5('[' || string_agg('{{"id": ' || to_json(seg_id) || ', "text": ' || to_json(text) || '}}', ', ' ORDER BY pos) || ']') AS message FROM p JOIN b USING (doc_id, rn) GROUP BY doc_id, batch_no""")
+SELECT doc_id, batch_no, md5(CASE WHEN doc_id % 2 = 0 THEN '{HEAD}' || 'line ' || doc_id || chr(10) || 'next' || '{TAIL}' ELSE '' END || '[' || string_agg('{{"id": ' || to_json(seg_id) || ', "text": ' || to_json(text) || '}}', ', ' ORDER BY pos) || ']') AS message FROM p JOIN b USING (doc_id, rn) GROUP BY doc_id, batch_no""")
 def user_message(spark, sf_dir):
-    return batching.batches(seg(spark, sf_dir)).select("doc_id", "batch_no", F.md5(translate.user_message(F.col("segments"), F.lit(None).cast("string"))).alias("message"))
+    context = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("line "), F.col("doc_id").cast("string"), F.lit("\nnext")))
+    return batching.batches(seg(spark, sf_dir)).select("doc_id", "batch_no", F.md5(translate.user_message(F.col("segments"), context)).alias("message"))
+
+
+@query(f"WITH RECURSIVE {SEG}, {sql_batches('seg', 'text', 1000, 60)} SELECT doc_id, batch_no, list(seg_id ORDER BY pos) AS ids FROM p JOIN b USING (doc_id, rn) GROUP BY doc_id, batch_no")
+def batch_ids(spark, sf_dir):
+    return batching.batches(seg(spark, sf_dir)).select("doc_id", "batch_no", batching.batch_ids().alias("ids"))
 
 
 REPLIES = [
