@@ -23,9 +23,9 @@ TARGETS = {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}
 SAMPLE, SAMPLE_OF_ALL = 600, 6000
 #: Posteriors are rounded to this many decimals, so that documents of one profile share a rate.
 DECIMALS = 3
-ROUNDS, CLOSE = 60, 1e-5
+ROUNDS, CLOSE = 60, 1e-3
 #: The steps end where PATIENCE of them don't bring the squared distance below this share of what it was.
-PATIENCE, GAIN = 5, 0.99
+PATIENCE, GAIN = 5, 0.9
 #: The targets count as met if no domain misses its tokens by more than this share of the largest target.
 MET = 0.01
 WHOLE = 0.95
@@ -41,12 +41,13 @@ class DomainModel:
         self.weights, self.bias = np.zeros((ngrams.SIZE, len(self.domains)), np.float32), np.zeros(len(self.domains), np.float32)
         if len(self.domains) > 1:
             at = {d: i for i, d in enumerate(self.domains)}
-            x, y = ngrams.dense(vectors), np.array([at[d] for d in domains])
+            y = np.array([at[d] for d in domains])
             rest = np.arange(len(y)) % 5 == 0
             if len(set(y[~rest].tolist())) < len(self.domains):
                 rest[:] = False
-            w, b = ngrams.fit_softmax(x[~rest], y[~rest], len(self.domains), rounds=80)
-            sharp = ngrams.temperature(x[rest] @ w + b, y[rest])
+            w, b = ngrams.fit_softmax(ngrams.dense([vectors[i] for i in np.flatnonzero(~rest)]), y[~rest], len(self.domains), rounds=80)
+            logits = [vectors[i][1] @ w[vectors[i][0]] + b for i in np.flatnonzero(rest)]
+            sharp = ngrams.temperature(np.array(logits).reshape(-1, len(self.domains)), y[rest])
             self.weights, self.bias = w * np.float32(sharp), b * np.float32(sharp)
 
     def __call__(self, text: str) -> np.ndarray:
@@ -76,27 +77,31 @@ def train(docs: DataFrame, labels: DataFrame, domain: str = "lang", per_domain:
     return DomainModel(vectors, [names[i] for i in y])
 
 
-def with_posteriors(docs: DataFrame, model: DomainModel, keep: list[str]) -> DataFrame:
+def with_posteriors(docs: DataFrame, model: DomainModel, keep: list[str], text: str = "text") -> DataFrame:
     """keep columns of docs, n_tokens (words between ASCII blanks) and posterior (array, in the order of model.domains)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = StructType([*docs.select(*keep).schema.fields, StructField("n_tokens", LongType()), StructField("posterior", ArrayType(DoubleType()))])
 
     def run(batch: pa.RecordBatch) -> dict:
-        texts = [t or "" for t in batch.column("text").to_pylist()]
+        texts = [t or "" for t in batch.column(text).to_pylist()]
         return {
             **{f"k{i}": batch.column(c) for i, c in enumerate(keep)}, "n_tokens": [len(t.encode("utf-8", "surrogatepass").split()) for t in texts],
             "posterior": [shared.value(t).astype(float).tolist() for t in texts],
         }
 
-    return map_texts(docs, list(dict.fromkeys([*keep, "text"])), schema, run)
+    return map_texts(docs, list(dict.fromkeys([*keep, text])), schema, run)
 
 
 class Plan:
     """The steps that lead from rate 1 to the target tokens; rate() gives a document's rate from its posterior."""
 
-    def __init__(self, scored: DataFrame, domains: list[str], targets: dict[str, float], rounds: int = ROUNDS, close: float = CLOSE, least: float = 0.0):
+    def __init__(self, scored: DataFrame, domains: list[str], targets: dict[str, float], rounds: int = ROUNDS, close: float | None = None, least: float = 0.0):
         """scored: (posterior, n_tokens). A domain that has tokens and a target of 0 gets rates of 0, as far as its
-        documents belong to it alone; `met` says whether the targets were reached. No rate is below `least`."""
+        documents belong to it alone; `met` says whether the targets were reached. No rate is below `least`.
+
+        Steps end once every domain is within `close` of its tokens, as a share of the largest target: CLOSE, or with a
+        bound MET, as the bound leaves no exact solution to go on to."""
+        close = close if close is not None else MET if least else CLOSE
         self.domains, self.steps, self.least = domains, [], least
         profiles = materialize(scored.groupBy("posterior").agg(F.sum("n_tokens").alias("n")).where("n > 0"))
         now = np.array(self._totals(profiles))[: len(domains)]
@@ -161,11 +166,12 @@ def mix(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = N
     docs named n_tokens, rate or copies are replaced; all others come through, whatever their names."""
     keep = [c for c in docs.columns if c not in ("n_tokens", "rate", "copies")]
     model = train(docs, labels, domain)
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), row_key("doc_id", "text").alias("key"), "text")
-    scored = materialize(with_posteriors(packed, model, ["row", "key"]))
+    plain = [f"c{i}" for i in range(len(keep))]  # whatever the columns are called
+    named = docs.select(*[F.col(f"`{c}`").alias(p) for c, p in zip(keep, plain, strict=True)], row_key("doc_id", "text").alias("key"))
+    scored = materialize(with_posteriors(named, model, [*plain, "key"], plain[keep.index("text")]))
     plan = Plan(scored.select("posterior", "n_tokens"), model.domains, targets or TARGETS, least=least)
     out = scored.withColumn("rate", plan.rate()).withColumn("copies", copies(F.col("rate"), F.col("key")))
-    return out.where("copies > 0").select(*[F.col("row")[c].alias(c) for c in keep], "n_tokens", "rate", "copies")
+    return out.where("copies > 0").select(*[F.col(p).alias(c) for c, p in zip(keep, plain, strict=True)], "n_tokens", "rate", "copies")
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

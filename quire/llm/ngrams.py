@@ -72,7 +72,7 @@ def fit_softmax(x: np.ndarray, y: np.ndarray, classes: int, rounds: int = 120, l
     w = np.zeros((x.shape[1], classes), np.float32)
     b = np.zeros(classes, np.float32)
     pw, pb = w.copy(), b.copy()
-    step = np.float32(4.0 / max(1e-6, float((x**2).sum(axis=1).max()) + 1))
+    step = np.float32(4.0 / max(1e-6, float(np.einsum("ij,ij->i", x, x).max()) + 1))
     for t in range(rounds):
         m = t / (t + 3)
         vw, vb = w + m * (w - pw), b + m * (b - pb)

@@ -45,14 +45,13 @@ class NgramQuality:
         if len(set(y.tolist())) < 2:
             self.shift = 3.0 if not y.size or y[0] else -3.0
             return
-        x = ngrams.dense(vectors)
         fold = np.arange(len(y)) % 5 == 0
         if len(set(y[fold].tolist())) < 2 or len(set(y[~fold].tolist())) < 2:
             fold = np.zeros(len(y), bool)
-        w, b = ngrams.fit_softmax(x[~fold], y[~fold], 2)
+        w, _ = ngrams.fit_softmax(ngrams.dense([vectors[i] for i in np.flatnonzero(~fold)]), y[~fold], 2)
         self.weights = (w[:, 1] - w[:, 0]).astype(np.float64)
-        held = fold if fold.any() else ~fold
-        self.scale, self.shift = ngrams.platt(x[held].astype(np.float64) @ self.weights, y[held])
+        held = np.flatnonzero(fold if fold.any() else ~fold)
+        self.scale, self.shift = ngrams.platt(np.array([vectors[i][1] @ self.weights[vectors[i][0]] for i in held]), y[held])
 
     def __call__(self, text: str) -> float:
         ids, values = ngrams.vector(text)
