@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..conf import PROVIDERS, RESPONSE_TOKENS, RETRY_DELAYS, EngineConf, key_variable, providers
+from ..conf import PROVIDERS, RESPONSE_TOKENS, RETRY_DELAYS, EngineConf, key_variable
 from ..functions.text import RATE_LIMIT, drop_fences
 
 FAILED = "[TRANSLATION FAILED] "
@@ -141,11 +141,21 @@ def _quotes(text: str) -> str:
     return re.sub(r"(?<=[{,:\[])(\s*)'((?:[^'\\]|\\.)*)'(?=\s*[:,}\]])", lambda m: m[1] + json.dumps(m[2].replace("\\'", "'"), ensure_ascii=False), text)
 
 
+def catalogue() -> Column:
+    """The providers as an array of structs; fixed and small, so that a look-up needs no join."""
+    one = lambda name, prefix, models: F.struct(F.lit(name).alias("provider"), F.lit(prefix).alias("prefix"), F.array(*map(F.lit, models)).cast("array<string>").alias("models"))
+    return F.array(*(one(p[0], p[1], p[3]) for p in PROVIDERS))
+
+
+def provider_at(place: Column) -> Column:
+    """The provider at a place of the catalogue, from 0, as a struct."""
+    return F.get(catalogue(), place)
+
+
 def provider_of(models: DataFrame) -> DataFrame:
-    """models (model) with provider: the first of the catalogue whose prefix the model has. The catalogue is fixed and small."""
-    p = F.broadcast(providers(models.sparkSession))
-    found = models.select("model").distinct().join(p, F.startswith(F.col("model"), F.col("prefix"))).groupBy("model").agg(F.min_by(F.struct("provider", "prefix", "models"), "ord").alias("p"))
-    return models.join(found, "model", "left").select(*models.columns, F.col("p.provider").alias("provider"), F.col("p.prefix").alias("prefix"), F.col("p.models").alias("models"))
+    """models (model) with provider, prefix and models: the first of the catalogue whose prefix the model has, else null."""
+    found = models.withColumn("__p", F.get(F.filter(catalogue(), lambda p: F.startswith(F.col("model"), p["prefix"])), F.lit(0)))
+    return found.select(*(found[c] for c in models.columns), *(F.col("__p")[c].alias(c) for c in ("provider", "prefix", "models")))
 
 
 def qualified(model: Column, prefix: Column) -> Column:

@@ -158,12 +158,16 @@ def incremental_remaining(spark, sf_dir):
     return assemble.remaining(seg(spark, sf_dir), done_segments(spark, sf_dir)).select("doc_id", "seg_id", "page_idx")
 
 
-RANGES = [("1-3, 5", [0, 1, 2, 4]), ("3-1", [0, 1, 2]), ("6-9", []), ("-3", []), ("1-2-3", []), ("a,2", [1]), ("0", []), ("5,5,5-5", [4]), ("", []), (None, []), (" 2 - 4 ,7", [1, 2, 3, 6])]
+#: A page range for each document, with parts that are reversed, out of bounds or no pages at all.
+RANGE = """CASE WHEN doc_id % 10 = 9 THEN NULL WHEN doc_id % 10 = 8 THEN '' ELSE concat(n_chars % 9, '-', doc_id % 8, ', ', doc_id % 11, ', ', n_chars % 5, ' - ', n_chars % 7, ',x', doc_id, ',3-,1-2-', n_chars % 4) END"""
 
 
-@query(f"SELECT t, p::INT[] AS pages FROM {values(RANGES, 't, p')}")
+@query(f"""WITH d AS (SELECT doc_id, doc_id % 7 + 1 AS total, {RANGE} AS t FROM documents),
+e AS (SELECT doc_id, total, list_transform(string_split(x, '-'), lambda y: CASE WHEN regexp_full_match(trim(y), '[0-9]+') THEN trim(y)::INT END) AS e FROM (SELECT doc_id, total, unnest(string_split(t, ',')) AS x FROM d)),
+r AS (SELECT DISTINCT doc_id, unnest(range(least(e[1], e[-1]) - 1, greatest(e[1], e[-1])))::INT AS page FROM e WHERE len(e) <= 2 AND e[1] BETWEEN 1 AND total AND e[-1] BETWEEN 1 AND total)
+SELECT doc_id, any_value(t) AS t, coalesce(list(page ORDER BY page) FILTER (page IS NOT NULL), []) AS pages FROM d LEFT JOIN r USING (doc_id) GROUP BY doc_id""")
 def page_range(spark, sf_dir):
-    return literals(spark, [(r[0],) for r in RANGES], "t string").select("t", pages.page_range(F.col("t"), F.lit(7)).alias("pages"))
+    return table(spark, sf_dir, "documents").withColumn("t", F.expr(RANGE)).select("doc_id", "t", pages.page_range(F.col("t"), F.col("doc_id") % 7 + 1).alias("pages"))
 
 
 def targets(spark, sf_dir):
@@ -196,42 +200,51 @@ MODELS = ["gemini/gemini-2.5-pro", "gemini/gemini-3.5-flash", "ollama/llama3", "
 SQL_CATALOGUE = values([(i, *r) for i, r in enumerate(PROVIDERS)], "ord, provider, prefix, env, models")
 
 
-@query(f"SELECT model, coalesce(token_limit, 1000)::INT AS token_limit FROM {values([(m,) for m in MODELS], 'model')} LEFT JOIN (SELECT * FROM {values(list(MODEL_TOKEN_LIMITS.items()), 'model, token_limit')}) USING (model)")
-def model_budget(spark, sf_dir):
-    return batching.model_budget(literals(spark, [(m,) for m in MODELS], "model string"))
+def models(spark, sf_dir):
+    """A model for each document."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.element_at(F.array(*map(F.lit, MODELS)), (F.col("doc_id") % len(MODELS) + 1).cast("int")).alias("model"), (F.col("n_chars") % 4 > 0).alias("has_key"))
 
 
-@query(f"SELECT model, (SELECT arg_min(provider, ord) FROM (SELECT * FROM {SQL_CATALOGUE}) c WHERE starts_with(v.model, prefix)) AS provider FROM {values([(m,) for m in MODELS], 'model')}")
-def provider_by_prefix(spark, sf_dir):
-    return translate.provider_of(literals(spark, [(m,) for m in MODELS], "model string")).select("model", "provider")
+SQL_MODELS = f"(SELECT doc_id, {MODELS}[doc_id % {len(MODELS)} + 1] AS model, n_chars % 4 > 0 AS has_key FROM documents)"
 
 
-KEYED = [(m, True) for m in MODELS] + [("openai/gpt-5", False)]
+@query(f"SELECT doc_id, model, coalesce(token_limit, 1000)::INT AS token_limit FROM {SQL_MODELS} LEFT JOIN (SELECT * FROM {values(list(MODEL_TOKEN_LIMITS.items()), 'model, token_limit')}) USING (model)")
+def model_budget(spark, sf_dir):
+    return batching.model_budget(models(spark, sf_dir)).select("doc_id", "model", "token_limit")
+
+
+@query(f"SELECT doc_id, model, (SELECT arg_min(provider, ord) FROM (SELECT * FROM {SQL_CATALOGUE}) c WHERE starts_with(m.model, prefix)) AS provider FROM {SQL_MODELS} m")
+def provider_by_prefix(spark, sf_dir):
+    return translate.provider_of(models(spark, sf_dir)).select("doc_id", "model", "provider")
 
 
 @query(f"""WITH c AS (SELECT ord, provider, prefix, list_transform(models, lambda m: CASE WHEN starts_with(m, prefix) THEN m ELSE prefix || m END) AS full_names FROM {SQL_CATALOGUE}),
-m AS (SELECT * FROM {values(KEYED, 'model, has_key')})
-SELECT model, has_key, CASE WHEN has_key THEN (SELECT full_names[coalesce(list_position(full_names, model), 0) + 1] FROM c WHERE starts_with(model, prefix) ORDER BY ord LIMIT 1) END AS fallback_model FROM m""")
+m AS {SQL_MODELS}
+SELECT doc_id, model, has_key, CASE WHEN has_key THEN (SELECT full_names[coalesce(list_position(full_names, model), 0) + 1] FROM c WHERE starts_with(model, prefix) ORDER BY ord LIMIT 1) END AS fallback_model FROM m""")
 def fallback_model(spark, sf_dir):
-    return translate.fallback(literals(spark, KEYED, "model string, has_key boolean"))
+    return translate.fallback(models(spark, sf_dir))
 
 
-@query("SELECT model, prefix, CASE WHEN starts_with(model, prefix) THEN model ELSE prefix || model END AS qualified FROM (VALUES ('gpt-5', 'openai/'), ('openai/gpt-5', 'openai/')) v(model, prefix)")
+@query(f"SELECT doc_id, model, provider, CASE WHEN starts_with(model, prefix) THEN model ELSE prefix || model END AS qualified FROM {SQL_MODELS} JOIN (SELECT * FROM {SQL_CATALOGUE}) ON ord = doc_id % 4")
 def qualified_model(spark, sf_dir):
-    return literals(spark, [("gpt-5", "openai/"), ("openai/gpt-5", "openai/")], "model string, prefix string").withColumn("qualified", translate.qualified(F.col("model"), F.col("prefix")))
+    at = translate.provider_at((F.col("doc_id") % 4).cast("int"))
+    return models(spark, sf_dir).select("doc_id", "model", at["provider"].alias("provider"), translate.qualified(F.col("model"), at["prefix"]).alias("qualified"))
 
 
-@query("SELECT a::INT AS attempt, d::DOUBLE AS delay FROM (VALUES (0, 2), (1, 6), (2, 18), (3, 24)) v(a, d)")
+@query("SELECT l_orderkey, l_linenumber, ([2, 3, 6][least(l_linenumber, 3)] * l_linenumber)::DOUBLE AS delay FROM lineitem")
 def retry_schedule(spark, sf_dir):
-    return spark.range(4).select(F.col("id").cast("int").alias("attempt"), translate.retry_delay(F.col("id").cast("int")).alias("delay"))
+    """Lines of an order as attempts."""
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", translate.retry_delay(F.col("l_linenumber").cast("int") - 1).alias("delay"))
 
 
-MESSAGES = [("HTTP 429", True), ("RESOURCE_EXHAUSTED now", True), ("bad key", False), ("Timed Out", True), (None, False), ("model overloaded", True)]
+ERRORS = [" HTTP 429", " RESOURCE_EXHAUSTED", " bad key", " Timed Out", " model Overloaded", " Quota", " Rate-Limit", " status 503", " time out", " Connection Error", " rate_LIMIT"]
 
 
-@query(f"SELECT m, r AS limited FROM {values(MESSAGES, 'm, r')}")
+@query(f"SELECT doc_id, list_bool_or(list_transform({list(text.RATE_LIMIT)}, lambda x: contains(lower(m), x))) IS TRUE AS limited FROM (SELECT doc_id, CASE WHEN n_chars % 7 > 0 THEN text || {ERRORS}[doc_id % {len(ERRORS)} + 1] END AS m FROM documents)")
 def rate_limited(spark, sf_dir):
-    return literals(spark, [(m,) for m, _ in MESSAGES], "m string").withColumn("limited", text.is_rate_limit(F.col("m")))
+    """Texts with an error at their end."""
+    message = F.when(F.col("n_chars") % 7 > 0, F.concat("text", F.element_at(F.array(*map(F.lit, ERRORS)), (F.col("doc_id") % len(ERRORS) + 1).cast("int"))))
+    return table(spark, sf_dir, "documents").select("doc_id", text.is_rate_limit(message).alias("limited"))
 
 
 @query(f"""WITH {SEG}, s AS (SELECT *, CASE WHEN pos % 3 = 0 THEN '[x] ' || text END AS tr FROM seg),
@@ -502,16 +515,16 @@ def batch_ids(spark, sf_dir):
     return batching.batches(seg(spark, sf_dir)).select("doc_id", "batch_no", batching.batch_ids().alias("ids"))
 
 
-REPLIES = [
-    (1, '[{"id": "g-0", "translated": "a"}, {"id": "g-1", "translated": "b"}]', ["g-0=a", "g-1=b"]), (2, '```json\n[{"id": "g-0", "translated": "a"}]\n```', ["g-0=a"]), (3, '{"id": "g-0", "translated": "a"}', None),
-    (4, 'Here: [{"id": "g-2", "translated": "c"}] done', ["g-2=c"]), (5, "nothing", None), (6, "[]", []),
-]
-
-
-@query(f"SELECT id, items::VARCHAR[] AS items FROM {values(REPLIES, 'id, raw, items')}")
+@query(f"""WITH {SEG}, g AS (SELECT doc_id, count(*)::INT AS n, string_agg(seg_id || '=[x] ' || text, chr(10) ORDER BY pos) AS items FROM seg GROUP BY doc_id)
+SELECT doc_id, CASE WHEN doc_id % 6 IN (0, 1, 3) THEN n WHEN doc_id % 6 = 5 THEN 0 END AS n_items, md5(CASE WHEN doc_id % 6 IN (0, 1, 3) THEN items WHEN doc_id % 6 = 5 THEN '' END) AS items FROM g""")
 def parsed_replies(spark, sf_dir):
-    got = translate.parse_reply(F.col("raw"))
-    return literals(spark, [r[:2] for r in REPLIES], "id int, raw string").select("id", F.transform(got, lambda i: F.concat(i["id"], F.lit("="), i["translated"])).alias("items"))
+    """Replies for all lines of a document: plain, fenced, one object, among chatter, without JSON, or empty."""
+    answer = F.expr("to_json(transform(split(text, '\\n'), (l, i) -> named_struct('id', concat('g-', i), 'translated', concat('[x] ', l))))")
+    kind, single = F.col("doc_id") % 6, F.expr("to_json(named_struct('id', 'g-0', 'translated', text))")
+    raw = F.when(kind == 0, answer).when(kind == 1, F.concat(F.lit("```json\n"), answer, F.lit("\n```"))).when(kind == 2, single).when(kind == 3, F.concat(F.lit("Here: "), answer, F.lit(" done"))).when(kind == 4, F.col("source")).otherwise("[]")
+    got = table(spark, sf_dir, "documents").select("doc_id", translate.parse_reply(raw).alias("got"))
+    items = F.array_join(F.transform("got", lambda i: F.concat(i["id"], F.lit("="), i["translated"])), "\n")
+    return got.select("doc_id", F.when(F.col("got").isNotNull(), F.size("got")).alias("n_items"), F.md5(items).alias("items"))
 
 
 @query("""WITH t AS (SELECT conv_id, turn, list(text) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS l FROM conversations WHERE role = 'assistant')
@@ -550,20 +563,20 @@ def existing_files(spark, sf_dir):
     return history.existing(docs.select(name).distinct(), docs.where("doc_id % 7 = 0").select(name))
 
 
-DATES = [("D:20240131235959+01'00'", "2024-01-31 23:59:59"), ("D:2024", "2024"), (None, "Unknown"), ("", "Unknown"), ("20240131235959", "2024-01-31 23:59:59"), ("D:x", "x")]
-
-
-@query(f"SELECT d, r AS parsed FROM {values(DATES, 'd, r')}")
+@query("""SELECT event_id, CASE event_id % 6 WHEN 1 THEN strftime(ts, '%Y') WHEN 2 THEN 'Unknown' WHEN 4 THEN event_type WHEN 5 THEN 'Unknown' ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS parsed FROM events""")
 def pdf_date(spark, sf_dir):
-    return literals(spark, [(d,) for d, _ in DATES], "d string").withColumn("parsed", text.pdf_date(F.col("d")))
-
-
-SIZES = [("[21.00 x 29.70 cm]", "21.00cm 29.70cm", "21.0cm 29.7cm"), ("Unknown", "A4", "A4"), ("[5x6 cm]", "5cm 6cm", "5.0cm 6.0cm")]
+    """Times of events as a file may give them: whole, year only, none, without its mark, no date, empty."""
+    kind, stamp, mark = F.col("event_id") % 6, F.date_format("ts", "yyyyMMddHHmmss"), F.lit("D:")
+    raw = F.when(kind == 0, F.concat(mark, stamp, F.lit("+01'00'"))).when(kind == 1, F.concat(mark, F.date_format("ts", "yyyy"))).when(kind == 3, stamp).when(kind == 4, F.concat(mark, "event_type")).when(kind == 5, "")
+    return table(spark, sf_dir, "events").select("event_id", text.pdf_date(raw).alias("parsed"))
 
 
-@query(f"SELECT s, a AS css, b AS css_numbers FROM {values(SIZES, 's, a, b')}")
+@query("""WITH d AS (SELECT doc_id, doc_id % 3 AS kind, CASE doc_id % 3 WHEN 0 THEN printf('%.2f', (n_chars % 700) * 0.0352778::DOUBLE) WHEN 1 THEN doc_id::VARCHAR END AS w, CASE doc_id % 3 WHEN 0 THEN printf('%.2f', (n_chars % 900) * 0.0352778::DOUBLE) WHEN 1 THEN n_chars::VARCHAR END AS h FROM documents)
+SELECT doc_id, coalesce(w || 'cm ' || h || 'cm', 'A4') AS css, coalesce(w::DOUBLE || 'cm ' || h::DOUBLE || 'cm', 'A4') AS css_numbers FROM d""")
 def page_size_css(spark, sf_dir):
-    return literals(spark, [(s[0],) for s in SIZES], "s string").select("s", text.page_size_css(F.col("s")).alias("css"), text.page_size_css(F.col("s"), True).alias("css_numbers"))
+    n, kind = F.col("n_chars"), F.col("doc_id") % 3
+    size = F.when(kind == 0, text.page_size_text(n % 700, n % 900)).when(kind == 1, F.format_string("[%dx%d cm]", "doc_id", n)).otherwise(F.col("source"))
+    return table(spark, sf_dir, "documents").select("doc_id", text.page_size_css(size).alias("css"), text.page_size_css(size, True).alias("css_numbers"))
 
 
 @query("SELECT s_suppkey, '[' || printf('%.2f', (s_suppkey % 700) * 0.0352778::DOUBLE) || ' x ' || printf('%.2f', (s_suppkey % 900) * 0.0352778::DOUBLE) || ' cm]' AS size FROM supplier")
@@ -586,15 +599,20 @@ def pdf_properties(spark, sf_dir):
     return tables.pdf_properties(files)
 
 
-@query("SELECT 1 AS id, '1.7' AS version, true AS linearized UNION ALL SELECT 2, NULL, false")
+@query("""SELECT doc_id, CASE WHEN doc_id % 4 > 0 THEN '1.' || doc_id % 8 END AS version, doc_id % 3 = 0 AND (CASE WHEN doc_id % 4 > 0 THEN 9 ELSE 0 END) + strlen(text) + 11 <= 1024 AS linearized FROM documents""")
 def pdf_header(spark, sf_dir):
-    rows = literals(spark, [(1, bytearray(b"%PDF-1.7\n\xe2\xe3 /Linearized 1")), (2, bytearray(b"no header"))], "id int, content binary")
-    return rows.select("id", *tables.header_fields(F.substring("content", 1, 1024)))
+    """Whole texts as files, some with a header in front, some with a mark at the end that counts within 1024 bytes."""
+    head = F.when(F.col("doc_id") % 4 > 0, F.concat(F.lit("%PDF-1."), (F.col("doc_id") % 8).cast("string"), F.lit("\n"))).otherwise("")
+    files = table(spark, sf_dir, "documents").select("doc_id", F.encode(F.concat(head, "text", F.when(F.col("doc_id") % 3 == 0, "/Linearized 1").otherwise("")), "UTF-8").alias("content"))
+    return files.select("doc_id", *tables.header_fields(F.substring("content", 1, 1024)))
 
 
-@query("SELECT 3 AS current, 7 AS total UNION ALL SELECT 12, 12")
+@query(f"WITH {SEG} SELECT pos AS current, (doc_id + pos)::INT AS total FROM seg WHERE pos % 3 > 0")
 def compile_progress(spark, sf_dir):
-    return tables.compile_progress(literals(spark, [("Working: 3/7",), ("noise",), ("x Working:  12/12 y",)], "value string"))
+    """Lines as a log in which two of three report."""
+    at = F.format_string("Working:%s%d/%d", F.when(F.col("pos") % 3 == 1, " ").otherwise("  "), "pos", F.col("doc_id") + F.col("pos"))
+    log = F.when(F.col("pos") % 3 == 1, at).when(F.col("pos") % 3 == 2, F.concat("text", at, F.lit(" s"))).otherwise(F.col("text"))
+    return tables.compile_progress(seg(spark, sf_dir).select(log.alias("value")))
 
 
 @query("SELECT user_id, arg_max(page_idx, (h, -page_idx))::INT AS page_idx FROM (SELECT user_id, (event_id % 5)::INT AS page_idx, greatest(0, least(value + 300, 500) - greatest(value - 100, 0)) AS h FROM events) GROUP BY user_id")
@@ -616,24 +634,31 @@ def changed_segments(spark, sf_dir):
     return seg(spark, sf_dir).groupBy("doc_id").agg(F.count(F.when(text.changed(F.col("text"), other), 1)).alias("n_changed"))
 
 
-TEXTS = [("en", "hello", "Hello"), ("fr", "hello", "Bonjour"), ("en", "bye", "Bye {n} {n}")]
-
-
-@query("SELECT * FROM (VALUES ('fr', 'hello', 'Bonjour'), ('fr', 'bye', 'Bye 3 {n}'), ('fr', 'none', 'none'), ('de', 'hello', 'Hello')) v(locale, key, text)")
+@query("""WITH t AS (SELECT lang, source FROM documents GROUP BY lang, source HAVING count(*) % 2 = 0)
+SELECT d.lang AS locale, d.source AS key, CASE WHEN t.lang IS NOT NULL THEN d.lang || ' says 3 {n}' WHEN e.lang IS NOT NULL THEN 'en says 3 {n}' ELSE d.source END AS text
+FROM documents d LEFT JOIN t ON t.lang = d.lang AND t.source = d.source LEFT JOIN t e ON e.lang = 'en' AND e.source = d.source""")
 def localized_texts(spark, sf_dir):
-    keys = literals(spark, [("fr", "hello"), ("fr", "bye"), ("fr", "none"), ("de", "hello")], "locale string, key string")
-    return history.localized(keys, literals(spark, TEXTS, "locale string, key string, text string")).withColumn("text", text.fill_first(F.col("text"), "n", F.lit("3")))
+    """Sources as keys; every second pair of language and source, by its count, has a text."""
+    keys = table(spark, sf_dir, "documents").select(F.col("lang").alias("locale"), F.col("source").alias("key"))
+    texts = keys.groupBy("locale", "key").count().where("count % 2 = 0").select("locale", "key", F.concat("locale", F.lit(" says {n} {n}")).alias("text"))
+    return history.localized(keys, texts).withColumn("text", text.fill_first(F.col("text"), "n", F.lit("3")))
 
 
-@query("SELECT 'x' AS have, 'd' AS no_key, 'd' AS no_section")
+@query("""SELECT doc_id, CASE WHEN doc_id % 7 > 0 AND doc_id % 3 = 0 AND n_chars % 2 = 0 THEN source ELSE 'd' END AS have, CASE WHEN doc_id % 7 > 0 AND doc_id % 3 = 0 AND n_chars % 2 = 1 THEN source ELSE 'd' END AS other_key,
+  CASE WHEN doc_id % 7 > 0 AND doc_id % 3 > 0 AND n_chars % 2 = 0 THEN source ELSE 'd' END AS other_section FROM documents""")
 def settings_lookup(spark, sf_dir):
-    rows = spark.createDataFrame([({"a": {"k": "x"}},)], "s map<string,map<string,string>>")
-    return rows.select(history.setting(F.col("s"), "a", "k", "d").alias("have"), history.setting(F.col("s"), "a", "z", "d").alias("no_key"), history.setting(F.col("s"), "b", "k", "d").alias("no_section"))
+    """Settings of one section and key for each document, or none."""
+    s = F.expr("CASE WHEN doc_id % 7 > 0 THEN map(CASE WHEN doc_id % 3 = 0 THEN 'a' ELSE 'b' END, map(CASE WHEN n_chars % 2 = 0 THEN 'k' ELSE 'z' END, source)) END")
+    return table(spark, sf_dir, "documents").select("doc_id", *(history.setting(s, a, k, "d").alias(name) for name, a, k in (("have", "a", "k"), ("other_key", "a", "z"), ("other_section", "b", "k"))))
 
 
-@query("SELECT * FROM (VALUES ('OpenAI', 'k', true), ('OpenAI', ' ', false), ('Ollama (Local)', NULL, true)) v(provider, k, ready)")
+@query(f"""SELECT s_suppkey, provider, coalesce(CASE s_suppkey % 3 WHEN 0 THEN s_name WHEN 1 THEN '  ' END, '') NOT SIMILAR TO ' *' OR provider ILIKE '%ollama%' AS ready
+FROM supplier JOIN (SELECT * FROM {SQL_CATALOGUE}) ON ord = s_suppkey % {len(PROVIDERS)}""")
 def provider_status(spark, sf_dir):
-    return literals(spark, [("OpenAI", "k"), ("OpenAI", " "), ("Ollama (Local)", None)], "provider string, k string").withColumn("ready", history.provider_ready(F.col("provider"), F.col("k")))
+    """A provider for each supplier, with its name, blanks or nothing as the key."""
+    provider = translate.provider_at((F.col("s_suppkey") % len(PROVIDERS)).cast("int"))["provider"]
+    key = F.when(F.col("s_suppkey") % 3 == 0, F.col("s_name")).when(F.col("s_suppkey") % 3 == 1, "  ")
+    return table(spark, sf_dir, "supplier").select("s_suppkey", provider.alias("provider"), history.provider_ready(provider, key).alias("ready"))
 
 
 @query("""SELECT o_orderkey, 'pf' || lower(to_hex(o_orderkey % 300 + 1)) AS page_id, (o_orderkey % 300)::INT AS page, format('{:,}', o_orderkey) AS thousands,
@@ -646,19 +671,21 @@ def scalar_formats(spark, sf_dir):
     )
 
 
-PATHS = [("/a//b/./c.pdf", "/a/b/c.pdf", "c.pdf", "/a//b/./c_translated.pdf", True), ("/a/b/", "/a/b", "", "/a/b/_translated", False), ("x.PDF", "x.PDF", "x.PDF", "x_translated.PDF", True)]
-
-
-@query(f"SELECT p AS path, k, n AS name, o AS out, i AS is_pdf FROM {values(PATHS, 'p, k, n, o, i')}")
+@query("""WITH d AS (SELECT doc_id, doc_id % 5 AS kind, source AS s, lang AS l, doc_id::VARCHAR AS i FROM documents)
+SELECT doc_id, CASE kind WHEN 0 THEN '/data/' || s || '/' || i || '.pdf' WHEN 1 THEN 'a/b' || i WHEN 2 THEN s || i || '.PDF' WHEN 3 THEN l || '/' || s || '.x.tar' ELSE '/' END AS k,
+  CASE kind WHEN 0 THEN i || '.pdf' WHEN 2 THEN s || i || '.PDF' WHEN 3 THEN s || '.x.tar' ELSE '' END AS name,
+  CASE kind WHEN 0 THEN '/data//' || s || '/./' || i || '_translated.pdf' WHEN 1 THEN 'a/b' || i || '/_translated' WHEN 2 THEN s || i || '_translated.PDF' WHEN 3 THEN './' || l || '//' || s || '.x_translated.tar' ELSE '/_translated' END AS out, kind IN (0, 2) AS is_pdf FROM d""")
 def path_names(spark, sf_dir):
+    path = "CASE doc_id % 5 WHEN 0 THEN concat('/data//', source, '/./', doc_id, '.pdf') WHEN 1 THEN concat('a/b', doc_id, '/') WHEN 2 THEN concat(source, doc_id, '.PDF') WHEN 3 THEN concat('./', lang, '//', source, '.x.tar') ELSE '/' END"
     p = F.col("path")
-    return literals(spark, [(r[0],) for r in PATHS], "path string").select("path", text.path_key(p).alias("k"), text.base_name(p).alias("name"), text.output_name(p).alias("out"), tables.is_pdf(p).alias("is_pdf"))
+    return table(spark, sf_dir, "documents").withColumn("path", F.expr(path)).select("doc_id", text.path_key(p).alias("k"), text.base_name(p).alias("name"), text.output_name(p).alias("out"), tables.is_pdf(p).alias("is_pdf"))
 
 
-@query("SELECT * FROM (VALUES (1, 1), (3, 2), (9, 4), (2, 2)) v(page, step)")
+@query("SELECT event_id, (CASE WHEN list_contains(t, page - 1) THEN list_position(t, page - 1) ELSE least(page, total) END)::INT AS step FROM (SELECT event_id, event_id % 10 + 1 AS page, [0, 2, 4 + user_id % 3] AS t, 3 + user_id % 5 AS total FROM events)")
 def range_position(spark, sf_dir):
-    at = pages.range_position(F.col("page"), F.array(F.lit(0), F.lit(2), F.lit(5)), F.lit(4))
-    return literals(spark, [(1,), (3,), (9,), (2,)], "page int").withColumn("step", at)
+    page, user = (F.col("event_id") % 10 + 1).cast("int"), (F.col("user_id") % 15).cast("int")
+    at = pages.range_position(page, F.array(F.lit(0), F.lit(2), user % 3 + 4), user % 5 + 3)
+    return table(spark, sf_dir, "events").select("event_id", at.alias("step"))
 
 
 @query("SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL")

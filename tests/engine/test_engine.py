@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from quire.conf import EngineConf, Settings, key_variable, load_settings
 from quire.functions import css, text
 from quire.operators import assemble, batching, history, layout, metrics, pages, translate
-from quire.plans.queries import DATES, PATHS, RANGES, REPLIES, SIZES
 from quire.sources import html, tables
 from quire.streaming import progress
 
@@ -34,7 +33,18 @@ def test_tokens(spark):
     assert one(spark, list(cases), "t string", text.estimate_tokens(F.col("t"))) == list(cases.values())
 
 
-@pytest.mark.parametrize("name", ["dates", "sizes", "paths", "ranges", "replies"])
+RANGES = [("1-3, 5", [0, 1, 2, 4]), ("3-1", [0, 1, 2]), ("6-9", []), ("-3", []), ("1-2-3", []), ("a,2", [1]), ("0", []), ("5,5,5-5", [4]), ("", []), (None, []), (" 2 - 4 ,7", [1, 2, 3, 6])]
+REPLIES = [
+    (1, '[{"id": "g-0", "translated": "a"}, {"id": "g-1", "translated": "b"}]', ["g-0=a", "g-1=b"]), (2, '```json\n[{"id": "g-0", "translated": "a"}]\n```', ["g-0=a"]), (3, '{"id": "g-0", "translated": "a"}', None),
+    (4, 'Here: [{"id": "g-2", "translated": "c"}] done', ["g-2=c"]), (5, "nothing", None), (6, "[]", []),
+]
+DATES = [("D:20240131235959+01'00'", "2024-01-31 23:59:59"), ("D:2024", "2024"), (None, "Unknown"), ("", "Unknown"), ("20240131235959", "2024-01-31 23:59:59"), ("D:x", "x")]
+SIZES = [("[21.00 x 29.70 cm]", "21.00cm 29.70cm", "21.0cm 29.7cm"), ("Unknown", "A4", "A4"), ("[5x6 cm]", "5cm 6cm", "5.0cm 6.0cm")]
+PATHS = [("/a//b/./c.pdf", "/a/b/c.pdf", "c.pdf", "/a//b/./c_translated.pdf", True), ("/a/b/", "/a/b", "", "/a/b/_translated", False), ("x.PDF", "x.PDF", "x.PDF", "x_translated.PDF", True)]
+MESSAGES = [("HTTP 429", True), ("RESOURCE_EXHAUSTED now", True), ("bad key", False), ("Timed Out", True), (None, False), ("model overloaded", True)]
+
+
+@pytest.mark.parametrize("name", ["dates", "sizes", "paths", "ranges", "replies", "errors", "names", "lookups"])
 def test_literal_tables(spark, name):
     t = F.col("t")
     if name == "dates":
@@ -43,7 +53,19 @@ def test_literal_tables(spark, name):
         assert one(spark, [s[0] for s in SIZES], "t string", text.page_size_css(t)) == [s[1] for s in SIZES]
         assert one(spark, [s[0] for s in SIZES], "t string", text.page_size_css(t, True)) == [s[2] for s in SIZES]
     elif name == "paths":
-        assert one(spark, [p[0] for p in PATHS], "t string", text.path_key(t)) == [p[1] for p in PATHS]
+        for i, f in enumerate((text.path_key, text.base_name, text.output_name, tables.is_pdf), 1):
+            assert one(spark, [p[0] for p in PATHS], "t string", f(t)) == [p[i] for p in PATHS]
+    elif name == "errors":
+        assert one(spark, [m for m, _ in MESSAGES], "t string", text.is_rate_limit(t)) == [limited for _, limited in MESSAGES]
+        assert one(spark, [0, 1, 2, 3], "t int", translate.retry_delay(t)) == [2.0, 6.0, 18.0, 24.0]
+    elif name == "names":
+        names = ["openai/gpt-5", "gemini/x", "gpt-5", None]
+        assert [r.provider for r in translate.provider_of(spark.createDataFrame([(n,) for n in names], "model string")).collect()] == ["OpenAI", "Google Gemini", None, None]
+        assert one(spark, names, "t string", translate.qualified(t, F.lit("openai/"))) == ["openai/gpt-5", "openai/gemini/x", "openai/gpt-5", None]
+    elif name == "lookups":
+        rows = [("OpenAI", "k", True), ("OpenAI", " ", False), ("Ollama (Local)", None, True)]
+        assert [r.ready for r in spark.createDataFrame(rows, "p string, k string, w boolean").select(history.provider_ready(F.col("p"), F.col("k")).alias("ready")).collect()] == [r[2] for r in rows]
+        assert one(spark, [1, 3, 9, 2], "t int", pages.range_position(t, F.array(F.lit(0), F.lit(2), F.lit(5)), F.lit(4))) == [1, 2, 4, 2]
     elif name == "ranges":
         assert one(spark, [r[0] for r in RANGES], "t string", pages.page_range(t, F.lit(7))) == [r[1] for r in RANGES]
     else:
