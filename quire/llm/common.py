@@ -76,11 +76,15 @@ def spread_join(many: DataFrame, few: DataFrame, on: list[str], hot: DataFrame |
     return dealt.join(every, [*on, "__salt"]).drop("__salt")
 
 
-def lookup(many: DataFrame, few: DataFrame, on: list[str], by: list[str] | None = None, limit: int | None = None) -> DataFrame:
-    """many.join(few, on): `few` is broadcast if it has at most `limit` (BROADCAST_ROWS) rows, counted now; else hot keys
-    of `many` are salted by the columns `by`."""
+def fits(few: DataFrame, limit: int | None = None) -> bool:
+    """Whether a side has at most `limit` (BROADCAST_ROWS) rows, counted now, so that it may be broadcast."""
     limit = BROADCAST_ROWS if limit is None else limit
-    return many.join(F.broadcast(few), on) if few.limit(limit + 1).count() <= limit else spread_join(many, few, on, by=by)
+    return few.limit(limit + 1).count() <= limit
+
+
+def lookup(many: DataFrame, few: DataFrame, on: list[str], by: list[str] | None = None, limit: int | None = None) -> DataFrame:
+    """many.join(few, on): `few` is broadcast if it fits(); else hot keys of `many` are salted by the columns `by`."""
+    return many.join(F.broadcast(few), on) if fits(few, limit) else spread_join(many, few, on, by=by)
 
 
 def row_key(doc_id: str, text: str) -> Column:
@@ -159,11 +163,6 @@ def pa_schema(struct) -> pa.Schema:
     return to_arrow_schema(struct)
 
 
-def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:
-    """Null texts count as empty."""
-    return [x or "" for x in batch.column(column).to_pylist()]
-
-
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for the nodes of (u, v) edges: root is the smallest node reachable.
 

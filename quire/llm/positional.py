@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import lookup, materialize
+from .common import fits, lookup, materialize, spread_join
 
 #: What separates words: everything in ASCII but digits and letters.
 NOT_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -33,9 +33,14 @@ def folded(text: Column) -> Column:
 
 
 def term_counts(docs: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(term, n): occurrences in docs (KEYS, words) of the terms of vocabulary (term); terms that don't occur have 0."""
-    every = docs.select(*KEYS, F.posexplode("words").alias("pos", "word")).select(*KEYS, "pos", F.lower("word").alias("term"))
-    found = lookup(every, vocabulary, ["term"], [*KEYS, "pos"]).groupBy("term").agg(F.count("*").alias("n"))
+    """(term, n): occurrences in docs (KEYS, words) of the terms of vocabulary (term); terms that don't occur have 0.
+
+    A vocabulary that may be broadcast leaves only its own terms to count; beyond that all terms are counted, map-side
+    first, and a term's count meets the vocabulary, not each of its occurrences."""
+    every = docs.select(F.explode("words").alias("word")).select(F.lower("word").alias("term"))
+    if fits(vocabulary):
+        every = every.join(F.broadcast(vocabulary), "term")
+    found = every.groupBy("term").agg(F.count("*").alias("n"))
     return vocabulary.join(found, "term", "left").select("term", F.coalesce("n", F.lit(0)).alias("n"))
 
 
@@ -61,11 +66,18 @@ def postings(docs: DataFrame, terms: DataFrame, before: int, after: int, keys: t
     """The index: (keys, term, pos, ctx_from, ctx) for each occurrence of a term of `terms` (term) in docs (keys, words).
 
     ctx has the words from position ctx_from = max(0, pos - before) to pos + after; with `wide`, a condition on the
-    columns of terms, only where it holds."""
-    at = lookup(docs.select(*keys, "words", F.posexplode("words").alias("pos", "word")).withColumn("term", F.lower("word")), terms, ["term"], [*keys, "pos"])
+    columns of terms, only where it holds. Rows of docs with equal keys hold equal words; they may give their postings once.
+    Terms that may not be broadcast are joined without the words around them."""
+    wide = F.lit(True) if wide is None else wide
+    if fits(terms):
+        at = docs.select(*keys, "words", F.posexplode("words").alias("pos", "word")).withColumn("term", F.lower("word")).join(F.broadcast(terms), "term").withColumn("wide", wide)
+    else:  # words meet the terms without their text; the places found go back to it, a document at a time
+        every = docs.select(*keys, F.posexplode("words").alias("pos", "word")).select(*keys, "pos", F.lower("word").alias("term"))
+        met = spread_join(every, terms, ["term"], by=[*keys, "pos"]).groupBy(*keys).agg(F.collect_set(F.struct("term", "pos", wide.alias("wide"))).alias("met"))
+        at = docs.groupBy(*keys).agg(F.first("words").alias("words")).join(met, list(keys)).select(*keys, "words", F.explode("met").alias("m")).select(*keys, "words", "m.*")
     first = F.greatest(F.lit(0), F.col("pos") - before)
     ctx = F.slice("words", first + 1, F.col("pos") + after + 1 - first)
-    return at.select(*keys, "term", "pos", first.alias("ctx_from"), (ctx if wide is None else F.when(wide, ctx)).alias("ctx"))
+    return at.select(*keys, "term", "pos", first.alias("ctx_from"), F.when(F.col("wide"), ctx).alias("ctx"))
 
 
 def aligned(index: DataFrame, anchored: DataFrame, slop: int = 0, keys: tuple[str, ...] = KEYS) -> DataFrame:
