@@ -233,7 +233,9 @@ def bench(spark):
     )
 
 
-def test_contamination_is_exact(spark, docs):
+@pytest.mark.parametrize("limit", [200_000, 0])
+def test_contamination_is_exact(spark, docs, monkeypatch, limit):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", limit)
     b = bench(spark)
     windows = {}
     for r in b.collect():
@@ -253,6 +255,8 @@ def test_contamination_is_exact(spark, docs):
                     items |= windows[tuple(w[i : i + n])]
         want.append((r[0], len(w), len(hit), len(items), hashlib.sha256(",".join(sorted(items)).encode()).hexdigest(), bool(hit)))
     same(tuples(decontaminate.contamination(docs, b).drop("k", "n_near", "n_near_items")), want)
+    twice = decontaminate.contamination(docs.union(docs), b).drop("k", "n_near", "n_near_items")
+    same(tuples(twice), [*want, *want])
     assert decontaminate.contamination(docs, b.limit(0)).where("contaminated").count() == 0
     assert decontaminate.contamination(docs.limit(0), b).count() == 0
 
