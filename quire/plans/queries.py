@@ -153,6 +153,14 @@ def bypass_rows(spark, sf_dir):
     return assemble.bypassed(w).select("doc_id", "seg_id", "text")
 
 
+@query(f"""WITH RECURSIVE {SEG}, {sql_batches('seg', 'text', 1000, 60)}
+SELECT doc_id, seg_id FROM seg WHERE (doc_id, seg_id) NOT IN (SELECT (doc_id, seg_id) FROM p JOIN b USING (doc_id, rn) WHERE batch_no = 0)""")
+def unbatched_rows(spark, sf_dir):
+    """Lines that aren't in the first batch of their document."""
+    s = seg(spark, sf_dir)
+    return assemble.unbatched(s, batching.members(batching.batches(s)).where("batch_no = 0")).select("doc_id", "seg_id")
+
+
 @query(f"WITH {SEG} SELECT doc_id, seg_id, page_idx FROM seg WHERE pos % 3 <> 0")
 def incremental_remaining(spark, sf_dir):
     return assemble.remaining(seg(spark, sf_dir), done_segments(spark, sf_dir)).select("doc_id", "seg_id", "page_idx")
