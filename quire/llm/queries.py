@@ -11,6 +11,7 @@ from .licenses import op7_license_scan
 from .mixing import op5_mixing
 from .pii import op8_personal_data
 from .rules import op2_quality_rules
+from .runs import op11_periodic_runs
 from .secrets import op9_secret_scan
 from .simhash import op1_simhash
 from .suffix import ORACLE as SUFFIX_ORACLE
@@ -29,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_personal_data": op8_personal_data,
     "op9_secret_scan": op9_secret_scan,
     "op10_toxicity": op10_toxicity,
+    "op11_periodic_runs": op11_periodic_runs,
     **base.QUERIES,
 }
 
