@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import base, decontaminate
+from . import base, decontaminate, ranked
 from .licenses import op7_license_scan
 from .mixing import op5_mixing
 from .pii import op8_personal_data
@@ -31,11 +31,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_secret_scan": op9_secret_scan,
     "op10_toxicity": op10_toxicity,
     "op11_periodic_runs": op11_periodic_runs,
+    "op13_ranked_search": ranked.op13_ranked_search,
     **base.QUERIES,
 }
 
 ORACLES: dict[str, str] = {
     "op4_decontamination": decontaminate.ORACLE,
     "op6_suffix_dedup": SUFFIX_ORACLE,
+    "op13_ranked_search": ranked.ORACLE,
     **base.ORACLES,
 }
