@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import base, decontaminate, ranked
+from . import base, decontaminate, interpolate, ranked
 from .licenses import op7_license_scan
 from .mixing import op5_mixing
 from .pii import op8_personal_data
@@ -31,7 +31,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_secret_scan": op9_secret_scan,
     "op10_toxicity": op10_toxicity,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_lm_scoring": interpolate.op12_lm_scoring,
     "op13_ranked_search": ranked.op13_ranked_search,
+    "lm_base": interpolate.lm_base,
     **base.QUERIES,
 }
 
@@ -39,5 +41,6 @@ ORACLES: dict[str, str] = {
     "op4_decontamination": decontaminate.ORACLE,
     "op6_suffix_dedup": SUFFIX_ORACLE,
     "op13_ranked_search": ranked.ORACLE,
+    "lm_base": interpolate.BASE_SQL,
     **base.ORACLES,
 }
