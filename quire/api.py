@@ -3,18 +3,24 @@
 from __future__ import annotations
 
 import argparse
+import contextlib
 import importlib
 import re
 import shlex
-from collections.abc import Callable
+import threading
+import uuid
+from collections.abc import Callable, Iterator
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .conf import DEFAULT_TOKEN_LIMIT, LANGUAGES, MODEL_TOKEN_LIMITS, EngineConf, Settings, engine_conf
 from .functions.text import page_size_css
-from .operators import assemble, batching, layout, metrics, pages, translate
-from .operators.translate import ChatCompletions, Translator
+from .operators import assemble, batching, layout, ledger, metrics, pages, translate
+from .operators.ledger import exists
+from .operators.providers import ROUTES, ChatCompletions, Providers, key_of, route_of
+from .operators.translate import Translator
 from .sources.sinks import print_documents
 from .sources.tables import compile_documents, html_files, is_pdf, pdf_properties, pdf_structure, pending
 
@@ -22,15 +28,19 @@ from .sources.tables import compile_documents, html_files, is_pdf, pdf_propertie
 class Engine:
     """Laid-out documents (key, html) to translated ones. Steps are DataFrames, so each can be written and resumed.
 
-    on_status gets the name of each step, on_progress the segments done and in all once replies have landed, and
-    cancelled is asked inside the tasks before each attempt."""
+    on_status gets the name of each step. on_progress gets the segments done and in all, while replies come in and once
+    more when they are assembled; it runs on a thread of its own meanwhile. cancelled is asked inside the tasks before
+    each attempt. Without a transformer each model goes to its provider's service, or all to conf.base_url."""
 
     def __init__(
         self, translator: Translator | None = None, conf: EngineConf | None = None, key: str = "doc_id", on_status: Callable[[str], None] = lambda message: None,
         on_progress: Callable[[int, int], None] = lambda done, total: None, cancelled: Callable[[], bool] = lambda: False,
     ):
         self.conf, self.key, self.on_status, self.on_progress, self.cancelled = conf or EngineConf(), key, on_status, on_progress, cancelled
-        self.translator = translator or ChatCompletions(self.conf.base_url, self.conf.temperature, key=self.conf.keys.get("", ""))
+        c = self.conf
+        self.translator = translator or (
+            ChatCompletions(c.base_url, c.temperature, key=c.keys.get("", ""), calls=c.calls, pace=c.pace) if c.base_url else Providers(c.keys, c.temperature, routes=tuple(replace(r, calls=c.calls, pace=c.pace) for r in ROUTES))
+        )
 
     def segments(self, docs: DataFrame) -> DataFrame:
         return layout.segments(docs, self.key, threshold=self.conf.threshold_px, word_space=self.conf.word_space_px)
@@ -44,9 +54,30 @@ class Engine:
         limit = self.conf.token_limit or MODEL_TOKEN_LIMITS.get(self.conf.model, DEFAULT_TOKEN_LIMIT)
         return batching.batches(segments, self.key, "seg_no", limit, self.conf.max_segments)
 
-    def replies(self, batched: DataFrame, with_context: bool = False) -> DataFrame:
-        """One row for each batch, failed ones with an error. Write it: reading it twice would ask twice."""
-        return translate.translate_batches(batched, self.translator, self.conf, self.key, with_context, cancelled=self.cancelled)
+    def replies(self, batched: DataFrame, with_context: bool = False, ledger: str = "", run: str = "") -> DataFrame:
+        """One row for each batch, failed ones with an error. Write it: without a ledger, reading it twice would ask twice."""
+        return translate.translate_batches(batched, self.translator, self.conf, self.key, with_context, cancelled=self.cancelled, ledger=ledger, run=run)
+
+    @contextlib.contextmanager
+    def watched(self, spark: SparkSession, folder: str, before: int, total: int, seconds: float = 0.25) -> Iterator[None]:
+        """Tells on_progress whenever more segments are answered in the files of a ledger's folder."""
+        ended, told = threading.Event(), before
+
+        def look() -> None:
+            nonlocal told
+            while not ended.wait(seconds):
+                done = min(total, before + ledger.answered(spark, folder))
+                if done > told:
+                    told = done
+                    self.on_progress(done, total)
+
+        watcher = threading.Thread(target=look, daemon=True)
+        watcher.start()
+        try:
+            yield
+        finally:
+            ended.set()
+            watcher.join()
 
     def assemble(self, segments: DataFrame, replies: DataFrame) -> DataFrame:
         return assemble.assemble(segments, assemble.last_items(assemble.items(replies, self.key), self.key), self.key)
@@ -67,7 +98,9 @@ class Engine:
     def translate(self, docs: DataFrame, work: str, with_context: bool = False, sizes: DataFrame | None = None, resume: bool = False) -> DataFrame:
         """(key, html) of docs, with the steps as tables under the folder `work`; replies lie under the target language.
 
-        With resume, segments that earlier replies in the same language have translated aren't asked for again."""
+        Each answer is committed to a ledger as it comes, so a task that is tried again doesn't ask twice. With resume,
+        segments that earlier replies in the same language have translated aren't asked for again, and neither are
+        batches that an earlier run was answered before it broke off. `work` has to be a folder that driver and tasks share."""
         spark = docs.sparkSession
         here = f"{work}/{re.sub('[^A-Za-z]+', '-', self.conf.target_language).lower()}"
 
@@ -80,7 +113,12 @@ class Engine:
         done = None
         if resume and exists(spark, f"{here}/replies"):
             done = assemble.last_items(assemble.items(spark.read.parquet(f"{here}/replies"), self.key), self.key)
-        replies = step(f"{here}/replies", self.replies(self.batches(segments, done), with_context), "append" if resume else "overwrite")
+        batched = step(f"{here}/batches", self.batches(segments, done))
+        total, pending = segments.count(), batched.agg(F.sum("n_segments")).first()[0] or 0
+        run = uuid.uuid4().hex
+        books = f"{here}/ledger" if resume else f"{here}/ledger/fresh-{run}"
+        with self.watched(spark, f"{books}/run-{run}", total - pending, total):
+            replies = step(f"{here}/replies", self.replies(batched, with_context, books, run), "append" if resume else "overwrite")
         assembled = step(f"{here}/assembled", self.assemble(segments, replies))
         counted = assembled.agg(F.count_if(F.col("status") != "missing"), F.count("*")).first()
         self.on_progress(int(counted[0]), int(counted[1]))
@@ -102,11 +140,6 @@ class Engine:
         return print_documents(pages, printer, "path", timeout=timeout) if printer else pages
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
-
-
 def main(args: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(description=__doc__)
     parser.add_argument("input", help="positioned HTML or PDF files, as a path that Spark reads")
@@ -117,7 +150,7 @@ def main(args: list[str] | None = None) -> int:
     parser.add_argument("-t", "--temperature", type=float)
     parser.add_argument("--settings", help="a settings file; options given here win")
     parser.add_argument("--base-url", help="a service of the usual chat form")
-    parser.add_argument("--translator", default="quire.operators.translate:Echo", help="module:callable that makes the transformer, unless there is a base URL")
+    parser.add_argument("--translator", help="module:callable that makes the transformer, instead of a service")
     parser.add_argument("--compiler", help="command with {in} and {out} that turns a PDF into positioned HTML")
     parser.add_argument("--printer", help="command with {in} and {out} that prints a page")
     parser.add_argument("--context", action="store_true", help="give each batch the last translations before it")
@@ -126,9 +159,16 @@ def main(args: list[str] | None = None) -> int:
     given = {"model": a.model, "target_language": a.language and LANGUAGES.get(a.language, a.language), "temperature": a.temperature, "base_url": a.base_url, "keys": {"": a.key} if a.key else None}
     given = {k: v for k, v in given.items() if v is not None}
     conf = engine_conf(Settings(a.settings), **given) if a.settings else EngineConf(**given)
-    module, _, name = a.translator.partition(":")
+    translator = None
+    if a.translator:
+        module, _, name = a.translator.partition(":")
+        translator = getattr(importlib.import_module(module), name)()
+    elif not conf.base_url and route_of(conf.model) is None:
+        parser.error(f"no service is known for model {conf.model}: give --base-url or --translator")
+    elif not conf.base_url and key_of(conf.model, conf.keys) is None:
+        parser.error(f"no key for {route_of(conf.model).provider}: give -k, a settings file with keys or its environment variable, or --base-url or --translator")
     spark = SparkSession.builder.getOrCreate()
-    engine = Engine(None if conf.base_url else getattr(importlib.import_module(module), name)(), conf, key="path", on_status=print)
+    engine = Engine(translator, conf, key="path", on_status=print, on_progress=lambda done, total: print(f"{done} of {total} segments"))
     work = f"{a.output}/work"
     if a.compiler:
         files = spark.read.format("binaryFile").load(a.input)

@@ -88,6 +88,10 @@ class EngineConf:
     token_limit: int = 0  # 0: the model's limit
     glossary: str = ""
     base_url: str = ""
+    calls: int = 4  # at a time, in one task and to one provider
+    pace: float = 0.0  # seconds between the starts of two calls to one provider
+    commit_every: int = 4  # replies in one file of the ledger
+    tasks: int = 0  # tasks that ask, 0: as many as there are cores
     keys: dict = field(default_factory=dict)
 
 
@@ -135,11 +139,16 @@ class Settings:
         with open(self.path, "w", encoding="utf-8") as f:
             json.dump(self.values, f, indent=4, ensure_ascii=False)
 
-    def clear(self) -> None:
-        """Back to the defaults."""
-        self.values = {}
+    def reset(self, section: str | None = None, key: str | None = None) -> None:
+        """Back to the defaults, which are what a missing setting means: one setting, a section, or all."""
+        if section is None:
+            self.values = {}
+        elif key is None:
+            self.values.pop(section, None)
+        elif isinstance(self.values.get(section), dict):
+            self.values[section].pop(key, None)
         with open(self.path, "w", encoding="utf-8") as f:
-            json.dump(self.values, f)
+            json.dump(self.values, f, indent=4, ensure_ascii=False)
 
     def number(self, section: str, key: str, default, kind=float):
         """A setting as a number; what can't be read as one counts as the default."""

@@ -3,17 +3,23 @@
 from __future__ import annotations
 
 import json
-import re
+import threading
 import time
+import uuid
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from typing import Protocol
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..conf import PROVIDERS, RESPONSE_TOKENS, RETRY_DELAYS, EngineConf, key_variable
-from ..functions.text import RATE_LIMIT, drop_fences
+from ..conf import PROVIDERS, RETRY_DELAYS, EngineConf
+from ..functions.text import RATE_LIMIT
+from . import ledger as ledgers
+from .providers import ChatCompletions, Providers, Route, key_of, route_of  # noqa: F401
+from .replies import ITEMS, items_of, parse_reply, read_reply  # noqa: F401
 
 FAILED = "[TRANSLATION FAILED] "
 
@@ -24,30 +30,6 @@ class Translator(Protocol):
     def __call__(self, system: str, message: str, model: str) -> str: ...
 
 
-class ChatCompletions:
-    """A transformer behind an HTTP service of the usual chat form: POST base_url/chat/completions.
-
-    Sends temperature and max_tokens; the key comes from the environment variable that key_variable() names for the
-    model, on the machine that sends, or is given. Raises on any answer but a completed one."""
-
-    def __init__(self, base_url: str, temperature: float = 1.0, max_tokens: int = RESPONSE_TOKENS, key: str = "", timeout: float = 120.0):
-        self.url, self.temperature, self.max_tokens, self.key, self.timeout = base_url.rstrip("/") + "/chat/completions", temperature, max_tokens, key, timeout
-
-    def __call__(self, system: str, message: str, model: str) -> str:
-        import os
-        import urllib.error
-        import urllib.request
-
-        key = self.key or os.environ.get(key_variable(model) or "", "")
-        body = {"model": model, "messages": [{"role": "system", "content": system}, {"role": "user", "content": message}], "temperature": self.temperature, "max_tokens": self.max_tokens}
-        request = urllib.request.Request(self.url, json.dumps(body).encode(), {"Content-Type": "application/json", **({"Authorization": f"Bearer {key}"} if key else {})})
-        try:
-            with urllib.request.urlopen(request, timeout=self.timeout) as reply:
-                return json.load(reply)["choices"][0]["message"]["content"]
-        except urllib.error.HTTPError as e:
-            raise RuntimeError(f"HTTP {e.code}: {e.read(500).decode(errors='replace')}") from e
-
-
 class Echo:
     """A deterministic transformer for tests: answers every segment with a mark before its text."""
 
@@ -97,50 +79,6 @@ def user_message(segments: Column, context: Column) -> Column:
     return F.concat(F.when(F.coalesce(context, F.lit("")) != "", F.concat(F.lit(CONTEXT_HEAD), context, F.lit(CONTEXT_TAIL))).otherwise(""), segments_json(segments))
 
 
-ITEMS = "array<struct<id:string,translated:string>>"
-
-
-def parse_reply(raw: Column) -> Column:
-    """Items of a reply; null if it holds no list. Fences are dropped; a list inside chatter is found by its brackets."""
-    clean = drop_fences(raw)
-    inner = F.regexp_extract(clean, r"(?s)(\[.*\])", 1)
-    direct = F.when(F.startswith(clean, F.lit("[")), F.from_json(clean, ITEMS))
-    # a valid document that isn't a list is refused, even if a list stands in it
-    return F.coalesce(direct, F.when(~F.startswith(clean, F.lit("{")) & (inner != ""), F.from_json(inner, ITEMS)))
-
-
-def repair_json(raw: str) -> list[dict] | None:
-    """The parser of the run: what parse_reply() reads, and besides it mends what models get wrong in JSON.
-
-    Trailing and missing commas, single quotes around names and values, raw line ends inside strings and an unfinished
-    end are mended. Null if no list comes out, or if the reply is a valid document that isn't a list."""
-    text = "\n".join(x for x in raw.split("\n") if not x.strip().startswith("```")).strip() if "```" in raw else raw.strip()
-    start, end = text.find("["), text.rfind("]")
-    tries = [text]
-    if start >= 0:
-        tries.append(text[start : end + 1] if end > start else text[start:])
-        cut = text[start:].rfind("}")
-        if cut >= 0:
-            tries.append(text[start : start + cut + 1] + "]")
-    for t in tries:
-        for mend in (lambda x: x, _commas, lambda x: _commas(_quotes(x))):
-            try:
-                got = json.loads(mend(t), strict=False)
-            except ValueError:
-                continue
-            return got if isinstance(got, list) else None
-    return None
-
-
-def _commas(text: str) -> str:
-    return re.sub(r"\}(\s*)\{", r"},\1{", re.sub(r",\s*([\]}])", r"\1", text))
-
-
-def _quotes(text: str) -> str:
-    """Single quotes that stand where JSON has double ones."""
-    return re.sub(r"(?<=[{,:\[])(\s*)'((?:[^'\\]|\\.)*)'(?=\s*[:,}\]])", lambda m: m[1] + json.dumps(m[2].replace("\\'", "'"), ensure_ascii=False), text)
-
-
 def catalogue() -> Column:
     """The providers as an array of structs; fixed and small, so that a look-up needs no join."""
     one = lambda name, prefix, models: F.struct(F.lit(name).alias("provider"), F.lit(prefix).alias("prefix"), F.array(*map(F.lit, models)).cast("array<string>").alias("models"))
@@ -197,7 +135,7 @@ def call(translator: Translator, system: str, message: str, conf: EngineConf, sl
         if attempt >= 2:
             model = next_model(model, conf.keys, conf.keys.get("", "")) or model
         try:
-            items = repair_json(translator(system, message, model))
+            items = read_reply(translator(system, message, model))
             if items is not None:
                 return items, attempt + 1, model, ""
             error = "reply without a list"
@@ -212,44 +150,97 @@ def call(translator: Translator, system: str, message: str, conf: EngineConf, sl
     return None, conf.max_retries, model, error
 
 
-RESULT = "batch_no int, items array<struct<id:string,translated:string>>, attempts int, model string, error string"
+RESULT = f"batch_no int, items {ITEMS}, attempts int, model string, error string"
 
 
-def translate_batches(batched: DataFrame, translator: Translator, conf: EngineConf | None = None, key: str = "doc_id", with_context: bool = False, sleep: Callable[[float], None] = time.sleep, cancelled: Callable[[], bool] = lambda: False) -> DataFrame:
+def translate_batches(
+    batched: DataFrame, translator: Translator, conf: EngineConf | None = None, key: str = "doc_id", with_context: bool = False, sleep: Callable[[float], None] = time.sleep, cancelled: Callable[[], bool] = lambda: False,
+    ledger: str = "", run: str = "",
+) -> DataFrame:
     """(key, batch_no, items, attempts, model, error) of batches (key, batch_no, segments).
 
-    Without context every batch is independent. With context a document's batches run one after another in one task,
-    each with the last translations before it; documents run in parallel. Retries stay inside the task, so that a
-    failing batch isn't paid for again with its partition. Write the result before using it twice. cancelled() is asked
-    inside the tasks before each attempt, so it has to look at something that they see, such as a file in a shared folder;
-    batches that come after it say "cancelled" in their error."""
+    Without context every batch is independent, and conf.calls of them are asked for at a time in each task. With context
+    a document's batches run one after another in one task, each with the last translations before it; documents run in
+    parallel. Write the result before using it twice. cancelled() is asked inside the tasks before each attempt, so it
+    has to look at something that they see, such as a file in a shared folder; batches that come after it say "cancelled"
+    in their error.
+
+    ledger is a folder that driver and tasks share. Each answer is committed to it from inside the task, under its
+    content, into the folder of this `run`. What any run has committed isn't asked for again, be it after a lost
+    executor, in a later run or for a copy in another document; attempts is 0 there. Failed batches aren't committed.
+    Attempts of a task that run at the same time may ask for the same batch."""
     conf = conf or EngineConf()
     system = system_prompt(conf.target_language, conf.glossary)
     key_type = batched.schema[key].dataType.simpleString()
     rows = batched.select(key, "batch_no", F.transform("segments", lambda s: F.struct(s["id"].alias("id"), s["text"].alias("text"))).alias("segments"))
+    rows = rows.withColumn("id", ledgers.content_id(F.col("segments"), system, conf.model) if ledger else F.lit(None).cast("string"))
+    own = f"{ledger}/run-{run or uuid.uuid4().hex}" if ledger else ""
+    if ledger:
+        rows = rows.join(ledgers.entries(batched.sparkSession, ledger).select("id", F.struct("items", "model").alias("known")), "id", "left")
+        # equal batches meet in one task; a fixed number, as calls take long however small their rows are
+        rows = rows.repartition(conf.tasks or batched.sparkSession.sparkContext.defaultParallelism, "id")
+    else:
+        rows = rows.withColumn("known", F.lit(None).cast(f"struct<items:{ITEMS},model:string>"))
 
     def message(segments, context: list[str]) -> str:
         head = CONTEXT_HEAD + "\n".join(context) + CONTEXT_TAIL if context else ""
         return head + json.dumps([{"id": s["id"], "text": s["text"]} for s in segments], ensure_ascii=False)
 
-    def one(k, batch_no, segments, context: list[str]) -> tuple:
-        items, attempts, model, error = call(translator, system, message(segments, context), conf, sleep, cancelled)
-        clean = None if items is None else [{"id": i.get("id"), "translated": i.get("translated")} for i in items if isinstance(i, dict)]
-        return k, int(batch_no), clean, attempts, model, error or None
+    class Asked:
+        """What one task asks for: first of the ledger, then of the transformer."""
+
+        def __init__(self):
+            part = TaskContext.get().partitionId()
+            self.known = ledgers.earlier(own, part) if own else {}
+            self.writer = ledgers.Writer(own, part, conf.commit_every) if own else None
+            self.lock, self.locks = threading.Lock(), {}
+
+        def __call__(self, k, batch_no, segments, name, known, context: list[str]) -> tuple:
+            with self.lock:  # of equal batches the first one asks
+                turn = self.locks.setdefault(name, threading.Lock()) if own else threading.Lock()
+            with turn:
+                return self.answer(k, batch_no, segments, name, known, context)
+
+        def answer(self, k, batch_no, segments, name, known, context: list[str]) -> tuple:
+            if known is None or known["items"] is None:
+                known = self.known.get(name)
+            if known is not None:
+                return k, int(batch_no), [dict(i) for i in known["items"]], 0, known["model"], None
+            found, attempts, model, error = call(translator, system, message(segments, context), conf, sleep, cancelled)
+            items = items_of(found)
+            if self.writer and items is not None:
+                with self.lock:
+                    entry = {"id": name, "items": items, "attempts": attempts, "model": model}
+                    self.known[name] = entry
+                    self.writer.add(entry)
+            return k, int(batch_no), items, attempts, model, error or None
+
+        def close(self) -> None:
+            if self.writer:
+                self.writer.commit()
 
     names = [key, "batch_no", "items", "attempts", "model", "error"]
+    fields = [key, "batch_no", "segments", "id", "known"]
 
     def independent(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pd.DataFrame([one(k, b, s, []) for k, b, s in zip(pdf[key], pdf["batch_no"], pdf["segments"], strict=True)], columns=names)
+        asked = Asked()
+        try:
+            with ThreadPoolExecutor(max(1, conf.calls)) as pool:
+                for pdf in batches:
+                    yield pd.DataFrame(list(pool.map(lambda r: asked(*r, []), pdf[fields].itertuples(index=False))), columns=names)
+        finally:
+            asked.close()
 
     def in_order(pdf: pd.DataFrame) -> pd.DataFrame:
         context: list[str] = []
-        out = []
-        for k, b, s in pdf.sort_values("batch_no")[[key, "batch_no", "segments"]].itertuples(index=False):
-            out.append(one(k, b, s, context))
-            context += [i["translated"] for i in out[-1][2] or () if i["id"] and i["translated"] and str(i["translated"]).strip()]
-            context = context[-conf.context_size :] if conf.context_size else []
+        asked, out = Asked(), []
+        try:
+            for row in pdf.sort_values("batch_no")[fields].itertuples(index=False):
+                out.append(asked(*row, context))
+                context += [i["translated"] for i in out[-1][2] or () if i["id"] and i["translated"] and str(i["translated"]).strip()]
+                context = context[-conf.context_size :] if conf.context_size else []
+        finally:
+            asked.close()
         return pd.DataFrame(out, columns=names)
 
     schema = f"`{key}` {key_type}, {RESULT}"
