@@ -1,9 +1,12 @@
 """Ranked lexical search by the three-phase uniform threshold algorithm (TPUT) over term-partitioned postings.
 
 A posting's impact on a score is a whole number, so a document's score for an item is the sum of its impacts in the
-lists of the item's terms. Phase 1 fetches the heads of all lists; the k-th best partial sum is a lower bound. Phase 2
-fetches from every list whatever reaches that bound's share of one list; what is in no fetched part can't be among the k
-best. Phase 3 looks up the exact scores of the documents whose upper bound still reaches the k-th best partial sum."""
+lists of the item's terms. Phase 1 fetches the heads of all lists and looks up the documents of the best partial sums:
+the k-th best of their scores is a lower bound. Phase 2 fetches from every list whatever reaches one threshold, the
+same for all lists of an item: a share of the level up to which all lists together could hold the bound, where a list
+counts with its head at most. What is in no fetched part can't be among the k best; what is in few parts mostly neither,
+as each of the others adds less than the threshold. Phase 3 looks up the exact scores of the documents whose upper bound
+still reaches the bound, or the k-th best partial sum if that is higher."""
 
 from __future__ import annotations
 
@@ -21,6 +24,10 @@ from .common import BROADCAST_ROWS, discard, fits, lookup, materialize, spread_j
 TOP = 10
 #: Terms are what stands between ASCII characters that are neither digits nor letters; A-Z only are lower-cased.
 FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c > 127 or chr(c).isalnum() else 32 for c in range(256))
+#: Postings that a head holds, for each document that an item gets.
+HEAD = 10
+#: The threshold is this part of the level. With 1 fewer postings are fetched, but one of them makes a candidate.
+PART = 2
 #: Rows of a batch that leaves a task.
 ROWS = 50_000
 
@@ -127,34 +134,48 @@ def search(docs: DataFrame, items: DataFrame, k: int = TOP, limit: int | None =
     scored = lookup(index.where("t IS NOT NULL"), weights, ["t"], ["row"], limit).select("t", impact(documents, terms).alias("s"), "row").where("s > 0")
     lists = materialize(scored.repartitionByRange("t", F.desc("s"), "row").sortWithinPartitions("t", F.desc("s"), "row"))
 
-    # 1: heads
+    def exact(pairs: DataFrame) -> DataFrame:
+        """pairs (item, row) with doc_id and score: all of a document's impacts in the lists of the item."""
+        rows = materialize(pairs.select("row").distinct())
+        scratch.append(rows)
+        own = lookup(index.where("t IS NOT NULL"), rows, ["row"], ["t"], limit)
+        impacts = lookup(own, weights, ["t"], ["row"], limit).select("row", "doc_id", "t", impact(documents, terms).alias("s"))
+        return impacts.join(pairs.join(asked, "item"), ["row", "t"]).groupBy("item", "row").agg(F.first("doc_id").alias("doc_id"), F.sum("s").alias("score"))
+
+    # 1: heads, and a bound from the documents that they speak for
+    scratch = []
     first = Window.partitionBy("t").orderBy(F.desc("s"), "row")
-    heads = lists.withColumn("place", F.row_number().over(first)).where(f"place <= {k}").select("t", "s", "row")
-    partial = lookup(asked, materialize(heads), ["t"], ["item"], limit).groupBy("item", "row").agg(F.sum("s").alias("s"))
-    bounds = kth(partial, k, "s")
-    sizes = asked.groupBy("item").agg(F.count("*").alias("lists"))
-    bounds = materialize(sizes.join(bounds, "item", "left").select("item", "lists", F.coalesce("kth", F.lit(0)).alias("low")))
-
-    # 2: what reaches a list's share of the bound; a posting in several items' lists is read once
-    needed = materialize(asked.join(bounds, "item").select("item", "t", "lists", "low"))
-    least = needed.groupBy("t").agg(F.min(F.expr("(low + lists - 1) div lists")).alias("least"))
-    reached = lookup(lists, materialize(least), ["t"], ["row"], limit).where("s >= least").select("t", "s", "row")
-    fetched = lookup(reached, needed, ["t"], ["row"], limit).where("s * lists >= low")
-    sums = materialize(fetched.groupBy("item", "row").agg(F.sum("s").alias("s"), F.count("*").alias("seen")))
-    better = kth(sums, k, "s")
-    second = bounds.join(better, "item", "left").select("item", "lists", "low", F.greatest("low", F.coalesce("kth", F.lit(0))).alias("bar"))
-    upper = lookup(sums, materialize(second), ["item"], ["row"], limit).where("s * lists + (lists - seen) * low >= bar * lists")
-    candidates = materialize(upper.select("item", "row"))
+    heads = materialize(lists.withColumn("place", F.row_number().over(first)).where(f"place <= {k * HEAD}").select("t", "s", "row", "place"))
+    partial = lookup(asked, heads, ["t"], ["item"], limit).groupBy("item", "row").agg(F.sum("s").alias("s"))
+    promising = materialize(partial.withColumn("place", F.row_number().over(Window.partitionBy("item").orderBy(F.desc("s"), "row"))).where(f"place <= {k}").select("item", "row"))
+    bounds = kth(exact(promising), k, "score").withColumnRenamed("kth", "low")
+
+    # 2: the level num / den of each item; lists below the threshold num / cut aren't read and hold `rest` at most
+    tops = lookup(asked, heads.where("place = 1").select("t", F.col("s").alias("top")), ["t"], ["item"], limit)
+    rising = Window.partitionBy("item").orderBy("top", "t")
+    levels = tops.join(bounds, "item", "left").select("item", "t", "top", F.coalesce("low", F.lit(0)).alias("low"))
+    levels = levels.withColumn("below", F.coalesce(F.sum("top").over(rising.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    levels = levels.withColumn("den", F.count("*").over(Window.partitionBy("item")) - F.row_number().over(rising) + 1).withColumn("num", F.col("low") - F.col("below"))
+    level = levels.where("num <= top * den").groupBy("item").agg(F.min_by(F.struct("low", "num", (F.col("den") * PART).alias("cut")), F.struct("top", "t")).alias("l")).select("item", "l.*")
+    ranked = materialize(tops.join(level, "item"))
+    needed = materialize(ranked.where("top * cut >= num").select("item", "t", "num", "cut"))
+    least = materialize(needed.groupBy("t").agg(F.min(F.expr("(num + cut - 1) div cut")).alias("least")))
+    limits = ranked.groupBy("item").agg(F.first("low").alias("low"), F.first("num").alias("num"), F.first("cut").alias("cut"), F.count_if(F.expr("top * cut >= num")).alias("lists"), F.sum(F.when(F.expr("top * cut < num"), F.col("top")).otherwise(0)).alias("rest"))
+    limits = materialize(limits)
+    # a posting travels once, to its document; there it counts for every item that it reaches
+    reached = lookup(lists, least, ["t"], ["row"], limit).where("s >= least").select("t", "s", "row").repartition("row")
+    fetched = lookup(reached, needed, ["t"], ["row"], limit).where("s * cut >= num")
+    sums = lookup(fetched.groupBy("item", "row").agg(F.sum("s").alias("s"), F.count("*").alias("seen")), limits, ["item"], ["row"], limit)
+    reach = "(s + rest) * cut + (lists - seen) * num >= {} * cut"
+    likely = materialize(sums.where(reach.format("low")).select("item", "row", "s", "seen"))
+    bar = limits.join(kth(likely, k, "s"), "item", "left").withColumn("bar", F.greatest("low", F.coalesce("kth", F.lit(0))))
+    candidates = materialize(lookup(likely, materialize(bar.drop("low", "kth")), ["item"], ["row"], limit).where(reach.format("bar")).select("item", "row"))
 
     # 3: exact scores
-    rows = materialize(candidates.select("row").distinct())
-    own = lookup(index.where("t IS NOT NULL"), rows, ["row"], ["t"], limit)
-    pairs = candidates.join(asked, "item").select("item", "row", "t")
-    exact = lookup(own, weights, ["t"], ["row"], limit).select("row", "doc_id", "t", impact(documents, terms).alias("s"))
-    found = exact.join(pairs, ["row", "t"]).groupBy("item", "row").agg(F.first("doc_id").alias("doc_id"), F.sum("s").alias("score")).where("score > 0")
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"), "row"))).where(f"rank <= {k}")
-    out = materialize(ranked.join(numbers, "item").select("item_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score"))
-    discard(wanted, vocabulary, index, weights, numbers, asked, lists, bounds, needed, sums, candidates, rows)
+    found = exact(candidates).where("score > 0")
+    best = found.withColumn("rank", F.row_number().over(Window.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"), "row"))).where(f"rank <= {k}")
+    out = materialize(best.join(numbers, "item").select("item_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score"))
+    discard(wanted, vocabulary, index, weights, numbers, asked, lists, heads, promising, ranked, needed, least, limits, likely, candidates, *scratch)
     return out
 
 
