@@ -5,7 +5,7 @@ on how often the context was seen. A part of the training documents is deleted f
 maximisation finds the weights under which the remaining counts predict that part best. Scores then use all training
 counts.
 
-Documents are packed into chunks of about a million tokens. A chunk sends each of its different n-grams once, as a
+Documents are packed into chunks of some hundred thousand tokens. A chunk sends each of its different n-grams once, as a
 64-bit hash, to the bucket that counts it, and gets the counts back in the same order; so a frequent n-gram costs a
 bucket one entry for each chunk, no task holds more than a bucket or a chunk, and texts are read once."""
 
@@ -29,7 +29,7 @@ ORDER = 2
 #: One training text in FOLD, by its hash, is deleted from the counts from which the weights are learnt.
 FOLD = 16
 #: Bytes of text in a chunk, unless one text has more, and n-grams, counted once for each chunk, in a bucket.
-CHUNK, BUCKET = 6 << 20, 2_500_000
+CHUNK, BUCKET = 2 << 20, 2_500_000
 #: The weights are settled when none changes by more than SETTLED from one round to the next, or after ROUNDS.
 ROUNDS, SETTLED = 30, 1e-3
 #: Context frequencies are parted at the powers of two; 0 is apart.
@@ -96,20 +96,25 @@ def chunks(docs: DataFrame) -> DataFrame:
             row = (number, fold, ids.to_pylist(), of.tobytes(), packed(sizes), hashes.tobytes(), packed(codes), int(((sizes + 1) * of).sum()))
             number += 1
             waiting[fold], size[fold] = [], 0
+            del texts, codes
+            pa.default_memory_pool().release_unused()
             return pa.RecordBatch.from_arrays([pa.array([v], type=f.type) for v, f in zip(row, _CHUNKS, strict=True)], schema=_CHUNKS)
 
         for batch in batches:
-            for fold in (False, True):
-                part = batch.filter(pc.equal(batch.column("fold"), fold))
-                columns = [part.column(c) for c in ("doc_id", "text", "train")]
-                begin = 0
-                for i, n in enumerate(pc.fill_null(pc.binary_length(columns[1]), 0).to_pylist(), 1):
-                    size[fold] += n + 1
-                    if size[fold] >= CHUNK or i == part.num_rows:
-                        waiting[fold].append([c.slice(begin, i - begin) for c in columns])
-                        begin = i
-                        if size[fold] >= CHUNK:
-                            yield full(fold)
+            if not batch.num_rows:
+                continue
+            lengths = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+            cuts = np.flatnonzero(np.diff(np.cumsum(lengths) // CHUNK, append=-1)) + 1  # slices of about a chunk
+            for begin, end in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True):
+                piece = batch.slice(begin, end - begin)
+                for fold in (False, True):
+                    part = piece.filter(pc.equal(piece.column("fold"), fold))
+                    if part.num_rows:
+                        waiting[fold].append([part.column(c) for c in ("doc_id", "text", "train")])
+                        size[fold] += int(pc.sum(pc.fill_null(pc.binary_length(part.column("text")), 0)).as_py()) + part.num_rows
+                    if size[fold] >= CHUNK:
+                        yield full(fold)
+            del batch, piece, part  # else they stay while the next batch is read
         for fold in (False, True):
             if waiting[fold]:
                 yield full(fold)
