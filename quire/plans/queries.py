@@ -633,10 +633,14 @@ def pdf_header(spark, sf_dir):
 
 @query(f"WITH {SEG} SELECT pos AS current, (doc_id + pos)::INT AS total FROM seg WHERE pos % 3 > 0")
 def compile_progress(spark, sf_dir):
+    return tables.compile_progress(compile_log(spark, sf_dir))
+
+
+def compile_log(spark, sf_dir):
     """Lines as a log in which two of three report."""
     at = F.format_string("Working:%s%d/%d", F.when(F.col("pos") % 3 == 1, " ").otherwise("  "), "pos", F.col("doc_id") + F.col("pos"))
     log = F.when(F.col("pos") % 3 == 1, at).when(F.col("pos") % 3 == 2, F.concat("text", at, F.lit(" s"))).otherwise(F.col("text"))
-    return tables.compile_progress(seg(spark, sf_dir).select(log.alias("value")))
+    return seg(spark, sf_dir).select("pos", log.alias("value"))
 
 
 @query("SELECT user_id, arg_max(page_idx, (h, -page_idx))::INT AS page_idx FROM (SELECT user_id, (event_id % 5)::INT AS page_idx, greatest(0, least(value + 300, 500) - greatest(value - 100, 0)) AS h FROM events) GROUP BY user_id")
@@ -734,6 +738,32 @@ def stream_context(spark, sf_dir):
 
 @query(COMMITS)
 def stream_commits(spark, sf_dir):
+    """Bypassed words and long words as two streams; the latter come in two runs, with a restart between them."""
     path, (w, landed) = streaming.scratch(spark), paged_words(spark, sf_dir)
-    stream = streaming.delivered(landed.select("doc_id", "page_idx"), f"{path}/in", "doc_id", 3)
-    return streaming.bypass_commits(assemble.bypassed(w), stream, path).drop("epoch")
+    noise = streaming.delivered(assemble.bypassed(w).select("doc_id", "seg_id", "page_idx"), f"{path}/noise", "doc_id", 2)
+    pages_of = landed.select("doc_id", "page_idx")
+    for odd in (0, 1):
+        stream = streaming.delivered(pages_of.where(F.col("page_idx") % 2 == odd), f"{path}/in", "doc_id", 2)
+        out = streaming.bypass_commits(noise, stream, path)
+    return out.drop("epoch")
+
+
+@query("SELECT event_id, 1::BIGINT AS n, count(*) OVER () AS n_numbers, count(*) OVER () AS last_number FROM events")
+def stream_outbox(spark, sf_dir):
+    return streaming.stream_outbox(spark, sf_dir)
+
+
+@query("""WITH b AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 2 HOUR THEN 0 ELSE 1 END AS fresh FROM events),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS burst FROM b)
+SELECT user_id, epoch_us(min(ts)) AS first_us, epoch_us(max(ts)) AS last_us, count(*) AS n, arg_max(event_type, (ts, event_id)) AS event_type FROM s GROUP BY user_id, burst""")
+def stream_sessions(spark, sf_dir):
+    return streaming.stream_sessions(spark, sf_dir)
+
+
+@query(f"WITH {SEG} SELECT pos AS current, (doc_id + pos)::INT AS total FROM seg WHERE pos % 3 > 0")
+def stream_compile_progress(spark, sf_dir):
+    """The same log as a stream of deliveries, as it grows."""
+    path = streaming.scratch(spark)
+    log = streaming.delivered(compile_log(spark, sf_dir), f"{path}/in", "pos", 3)
+    streaming.land(tables.compile_progress(log), path)
+    return spark.read.parquet(f"{path}/rows").select("current", "total")

@@ -435,13 +435,6 @@ def test_settings_to_conf(tmp_path):
     assert engine_conf(Settings(str(tmp_path / "s.json"))) == EngineConf()
 
 
-def test_commits_wait_for_their_page(spark, tmp_path):
-    noise = spark.createDataFrame([(1, "g-1", 0), (1, "g-5", 1), (2, "g-0", 0)], "doc_id long, seg_id string, page_idx int")
-    rows = spark.createDataFrame([(1, 1, 1), (1, 0, 2), (1, 1, 3)], "doc_id long, page_idx int, n int")
-    stream = progress.delivered(rows, str(tmp_path / "in"), "n", 3).select("doc_id", "page_idx")
-    assert sorted(map(tuple, progress.bypass_commits(noise, stream, str(tmp_path / "out")).collect())) == [(1, "g-1", 0, 1), (1, "g-5", 1, 0)]
-
-
 def test_sinks_and_structure(spark, tmp_path):
     from quire.sources import sinks
 
