@@ -11,6 +11,7 @@ bucket one entry for each chunk, no task holds more than a bucket or a chunk, an
 
 from __future__ import annotations
 
+import contextlib
 import zlib
 from collections.abc import Iterator
 
@@ -30,6 +31,8 @@ ORDER = 2
 FOLD = 16
 #: Bytes of text in a chunk, unless one text has more, and n-grams, counted once for each chunk, in a bucket.
 CHUNK, BUCKET = 2 << 20, 2_500_000
+#: Rows of a batch that a worker gets.
+ROWS = 1_000
 #: The weights are settled when none changes by more than SETTLED from one round to the next, or after ROUNDS.
 ROUNDS, SETTLED = 30, 1e-3
 #: Context frequencies are parted at the powers of two; 0 is apart.
@@ -58,6 +61,27 @@ def encoded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return rank[ids], np.diff(ends, prepend=0), hashes[by]
 
 
+def let_go() -> None:
+    """Gives memory that Arrow and the C library keep for later back, as workers live on between tasks."""
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int = ROWS) -> Iterator[None]:
+    """Texts come to the workers so many at a time, for what is written meanwhile."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def planes(values: np.ndarray) -> bytes:
     """64-bit values as eight planes of bytes, so that what is small or alike compresses."""
     return np.ascontiguousarray(values.astype("<u8")).view(np.uint8).reshape(-1, 8).T.tobytes()
@@ -97,7 +121,7 @@ def chunks(docs: DataFrame) -> DataFrame:
             number += 1
             waiting[fold], size[fold] = [], 0
             del texts, codes
-            pa.default_memory_pool().release_unused()
+            let_go()
             return pa.RecordBatch.from_arrays([pa.array([v], type=f.type) for v, f in zip(row, _CHUNKS, strict=True)], schema=_CHUNKS)
 
         for batch in batches:
@@ -195,7 +219,10 @@ def cells(made: DataFrame, order: int, n: int) -> DataFrame:
                 bucket = _buckets(g.keys, n)
                 starts = np.flatnonzero(np.diff(bucket.astype(np.int64), prepend=-1))
                 rows = [(int(bucket[a]), row.chunk, row.fold, planes(np.diff(g.keys[a:b], prepend=np.uint64(0))), planes(g.counts[a:b])) for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(bucket)], strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
+                out = pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), arrow, strict=True)], schema=arrow)
+                del g, bucket, rows, row
+                let_go()
+                yield out
 
     return made.select(*_INPUT).mapInArrow(run, "bucket int, chunk long, fold boolean, keys binary, counts binary")
 
@@ -222,6 +249,8 @@ def counted(dealt: DataFrame) -> DataFrame:
         bucket = int(pdf["bucket"].iloc[0])
         rows = [(bucket, c, f, packed(total[i]), packed(rest[i]) if f else None, None) for c, f, i in zip(pdf["chunk"], pdf["fold"], np.split(inverse, cuts), strict=True)]
         out = pd.DataFrame([*rows, (bucket, None, False, None, None, types)], columns=["bucket", "chunk", "fold", "counts", "rest", "types"])
+        del keys, distinct, inverse, own, fold, total, rest, rows
+        let_go()
         return out.astype({"chunk": "Int64", "types": "Int64"})
 
     return dealt.groupBy("bucket").applyInPandas(run, COUNTED)
@@ -317,6 +346,8 @@ def scores(made: DataFrame, counts: DataFrame, weights: list[np.ndarray], order:
         added = lambda v: np.add.reduceat(v, starts)
         base = np.log10((c[0] + 1) / (tokens + types + 1))
         ids = pd.array([None if d is None or d != d else int(d) for d in row.doc_ids], dtype="Int64")
+        del g, found
+        let_go()
         return pd.DataFrame({"doc_id": ids, "held_out": np.frombuffer(row.train, np.uint8) == 0, "n_tokens": sizes, "n_known": added((c[0] > 0).astype(np.int64)), "base_score": added(base), "score": added(np.log10(p))})
 
     return _joined(made.select("doc_ids", *_INPUT), counts).applyInPandas(run, SCORES)
@@ -338,16 +369,17 @@ def score_texts(docs: DataFrame, train: Column, order: int = ORDER) -> DataFrame
     gives no rows. N-grams are told apart by 62 bits of hash."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), train.alias("train"))
-    made = materialize(chunks(rows.withColumn("fold", F.col("train") & in_fold(F.col("text")))))
-    sums = made.agg(F.sum("train_tokens"), F.sum(F.when(F.col("fold"), F.col("train_tokens")).otherwise(0)), F.sum(F.size("doc_ids")), F.sum(F.length("codes"))).first()
-    tokens, deleted = sums[0] or 0, sums[1] or 0
-    # a coded word takes one to two bytes
-    n = max(16, -(-(sums[3] or 0) * order // BUCKET))
-    counts = materialize(counted(cells(made, order, n)))
-    types = counts.agg(F.sum("types")).first()[0] or 0
-    events = materialize(deleted_events(made, counts, order))
-    weights = learnt(events, order, tokens - deleted, types)
-    out = materialize(scores(made, counts, weights, order, tokens, types))
+    with small_batches(docs.sparkSession):
+        made = materialize(chunks(rows.withColumn("fold", F.col("train") & in_fold(F.col("text")))))
+        sums = made.agg(F.sum("train_tokens"), F.sum(F.when(F.col("fold"), F.col("train_tokens")).otherwise(0)), F.sum(F.size("doc_ids")), F.sum(F.length("codes"))).first()
+        tokens, deleted = sums[0] or 0, sums[1] or 0
+        # a coded word takes one to two bytes
+        n = max(16, -(-(sums[3] or 0) * order // BUCKET))
+        counts = materialize(counted(cells(made, order, n)))
+        types = counts.agg(F.sum("types")).first()[0] or 0
+        events = materialize(deleted_events(made, counts, order))
+        weights = learnt(events, order, tokens - deleted, types)
+        out = materialize(scores(made, counts, weights, order, tokens, types))
     discard(made, counts, events)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
