@@ -22,8 +22,6 @@ from .common import held_out, labelled_sample, map_texts, table
 
 #: Labelled rows of each class that the lexicon and its calibration learn from, at most.
 SAMPLE = 3000
-#: Entries of the lexicon, at most; those of the strongest evidence.
-ENTRIES = 5000
 #: Lengths of word beginnings that may become entries.
 BEGINNINGS = range(4, 9)
 #: Log-likelihood ratio that an entry needs.
@@ -31,8 +29,6 @@ EVIDENCE = 30.0
 CUT = 0.5
 #: Score of every text if nothing was learnt that could tell toxic texts.
 UNKNOWN = 0.02
-#: Characters of a word that an entry holds; a longer word is matched by its beginning of that length.
-LONGEST = 64
 #: Innocent phrases; a match inside one doesn't count.
 EXCEPTIONS = ("trash can", "trash cans", "trash bin", "clown fish", "idiot proof")
 
@@ -116,12 +112,14 @@ def _entries(text: str) -> set[str]:
     for word in {*folded.split(), *(x for _, _, others in words for other in others for x in other.split())}:
         found.update(" " + word[:k] for k in BEGINNINGS if len(word) >= k)
         if len(word) > 2:
-            found.add(f" {word} " if len(word) <= LONGEST else f" {word[:LONGEST]}")
+            found.add(f" {word} ")
     return found
 
 
-def learn_lexicon(sample: DataFrame, entries: int = ENTRIES, evidence: float = EVIDENCE) -> dict[str, float]:
-    """Entry -> weight, from a bounded labelled sample (doc_id, text, y)."""
+def learn_lexicon(sample: DataFrame, evidence: float = EVIDENCE) -> dict[str, float]:
+    """Entry -> weight, from a bounded labelled sample (doc_id, text, y): every entry that has the evidence.
+
+    The sample bounds them; words of any length are entries as they stand."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
@@ -145,7 +143,7 @@ def learn_lexicon(sample: DataFrame, entries: int = ENTRIES, evidence: float = E
     best = (
         sample.select("text", "y").mapInArrow(count, "entry string, neg long, pos long").groupBy("entry").agg(F.sum("neg").alias("neg"), F.sum("pos").alias("pos"))
         .where(F.col("pos") >= 4).withColumn("g", ratio).withColumn("w", weight).where((F.col("w") > 2.0) & (F.col("g") > evidence))
-        .orderBy(F.desc("g"), "entry").limit(entries).collect()
+        .collect()
     )
     return prune({r["entry"]: (float(r["w"]), int(r["pos"])) for r in best})
 
@@ -153,13 +151,14 @@ def learn_lexicon(sample: DataFrame, entries: int = ENTRIES, evidence: float = E
 def prune(found: dict[str, tuple[float, int]]) -> dict[str, float]:
     """Drops a beginning if one longer entry has nearly all its documents, and then whatever a kept beginning covers."""
     kept = dict(found)
-    for entry in sorted(found, key=len, reverse=True):
-        if any(entry.startswith(p) and found[entry][1] >= 0.95 * found[p][1] for p in (entry[:k] for k in range(4, len(entry))) if p in kept):
-            for p in [entry[:k] for k in range(4, len(entry))]:
-                if p in kept and found[entry][1] >= 0.95 * found[p][1]:
-                    del kept[p]
-    for entry in sorted(kept, key=len, reverse=True):
-        if any(entry[:k] in kept and kept[entry[:k]][0] >= kept[entry][0] - 1.5 for k in range(4, len(entry))):
+    lengths = [k + 1 for k in BEGINNINGS]  # with the blank in front; a whole word begins no other entry
+    begun = lambda entry: [entry[:k] for k in lengths if k < len(entry) and entry[:k] in kept]
+    for entry in sorted(found, key=lambda e: (-len(e), e)):
+        for p in begun(entry):
+            if found[entry][1] >= 0.95 * found[p][1]:
+                del kept[p]
+    for entry in sorted(kept, key=lambda e: (-len(e), e)):
+        if any(kept[p][0] >= kept[entry][0] - 1.5 for p in begun(entry)):
             del kept[entry]
     return {e: w for e, (w, _) in kept.items()}
 

@@ -371,3 +371,14 @@ def test_base_sql(spark, tmp_path):
         got = query(spark, str(tmp_path))
         columns = ", ".join(got.columns)
         same([tuple(r) for r in got.collect()], con.sql(f"SELECT {columns} FROM ({base.ORACLES[name]})").fetchall())
+
+
+def test_lexicon_keeps_long_words_and_every_entry(spark):
+    """Words that differ only beyond 64 characters are told apart, and no entry with the evidence is left out."""
+    start = "x" * 100
+    bad = [f"zz{chr(97 + i // 26)}{chr(97 + i % 26)}qq" for i in range(40)]
+    rows = [(i, f"{prose(10)} {start}bad {bad[i % 40]} {bad[(i * 7 + 1) % 40]}", 1) for i in range(800)] + [(i + 800, f"{prose(10)} {start}good", 0) for i in range(800)]
+    lexicon = toxicity.learn_lexicon(spark.createDataFrame(rows, "doc_id long, text string, y int"))
+    assert f" {start}bad " in lexicon and not any(e.startswith(" xxxx") and e != f" {start}bad " for e in lexicon)
+    matcher = toxicity.Matcher(lexicon)
+    assert matcher.measures(f"a {start}bad b")[2] > 0 and matcher.measures(f"a {start}good b")[2] == 0 and all(matcher.measures(w)[2] > 0 for w in bad)
