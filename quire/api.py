@@ -42,6 +42,10 @@ class Engine:
             ChatCompletions(c.base_url, c.temperature, key=c.keys.get("", ""), calls=c.calls, pace=c.pace) if c.base_url else Providers(c.keys, c.temperature, routes=tuple(replace(r, calls=c.calls, pace=c.pace) for r in ROUTES))
         )
 
+    def laid(self, docs: DataFrame) -> DataFrame:
+        """The documents parsed, one row for each; segments and pages come from it. Write it to parse once."""
+        return layout.laid(docs, self.key, threshold=self.conf.threshold_px, word_space=self.conf.word_space_px)
+
     def segments(self, docs: DataFrame) -> DataFrame:
         return layout.segments(docs, self.key, threshold=self.conf.threshold_px, word_space=self.conf.word_space_px)
 
@@ -82,15 +86,14 @@ class Engine:
     def assemble(self, segments: DataFrame, replies: DataFrame) -> DataFrame:
         return assemble.assemble(segments, assemble.last_items(assemble.items(replies, self.key), self.key), self.key)
 
-    def render(self, docs: DataFrame, assembled: DataFrame, sizes: DataFrame | None = None, bilingual: bool = False) -> DataFrame:
+    def render(self, docs: DataFrame, assembled: DataFrame, sizes: DataFrame | None = None, bilingual: bool = False, laid: DataFrame | None = None) -> DataFrame:
         """(key, html): the documents with their translations in place; bilingual keeps the originals as titles."""
-        lines = layout.wrapped_lines(docs, self.key, threshold=self.conf.threshold_px, word_space=self.conf.word_space_px, rows=assembled, bilingual=bilingual)
-        return assemble.render(docs, lines, self.key, sizes=sizes)
+        found = self.laid(docs) if laid is None else laid
+        return assemble.render(layout.wrapped_of(found, self.key, assembled, bilingual), self.key, sizes)
 
     def instrument(self, docs: DataFrame) -> DataFrame:
         """(key, html): the documents with addressable segments and every page waiting; nothing is translated yet."""
-        lines = layout.wrapped_lines(docs, self.key, threshold=self.conf.threshold_px, word_space=self.conf.word_space_px)
-        return assemble.render(docs, lines, self.key, waiting=lines.select(self.key, "page_idx"))
+        return assemble.render(layout.wrapped_of(self.laid(docs), self.key), self.key, waiting=True)
 
     def properties(self, segments: DataFrame, assembled: DataFrame) -> DataFrame:
         return metrics.document_properties(segments, assembled.where("status IN ('ok', 'duplicate')"), self.key)
@@ -109,7 +112,8 @@ class Engine:
             df.write.mode(mode).parquet(path)
             return spark.read.schema(df.schema).parquet(path)
 
-        segments = step(f"{work}/segments", self.segments(docs))
+        laid = step(f"{work}/laid", self.laid(docs))
+        segments = step(f"{work}/segments", layout.segments_of(laid, self.key))
         done = None
         if resume and exists(spark, f"{here}/replies"):
             done = assemble.last_items(assemble.items(spark.read.parquet(f"{here}/replies"), self.key), self.key)
@@ -122,7 +126,7 @@ class Engine:
         assembled = step(f"{here}/assembled", self.assemble(segments, replies))
         counted = assembled.agg(F.count_if(F.col("status") != "missing"), F.count("*")).first()
         self.on_progress(int(counted[0]), int(counted[1]))
-        return self.render(docs, assembled, sizes)
+        return self.render(docs, assembled, sizes, laid=laid)
 
     def translate_files(self, files: DataFrame, work: str, compiler: list[str], printer: list[str] | None = None, with_context: bool = False, timeout: float | None = None, resume: bool = False) -> DataFrame:
         """(path, html) of PDF files (path, content), or with a printer (path, content, error); key has to be path.

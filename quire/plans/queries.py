@@ -351,9 +351,11 @@ def layout_wrapped_lines(spark, sf_dir):
 
 
 def echoed(spark, sf_dir):
-    """The laid-out documents, and their segments with a mark before what is prose."""
-    docs = laid_out(spark, sf_dir)
-    found = layout.segments(docs, threshold=6.0)
+    """The laid-out documents, parsed once and written, and their segments with a mark before what is prose."""
+    path = f"{streaming.scratch(spark)}/laid"
+    layout.laid(laid_out(spark, sf_dir), threshold=6.0).write.parquet(path)
+    docs = spark.read.parquet(path)
+    found = layout.segments_of(docs)
     return docs, found.withColumn("translated", F.when(text.should_translate(F.col("text")), F.concat(F.lit("[x] "), F.col("text"))).otherwise(F.col("text")))
 
 
@@ -363,7 +365,7 @@ ECHOED = sql_lines(f"CASE WHEN ({sql_reason('text')}) IS NULL THEN '[x] ' || tex
 @query(f"WITH {ECHOED} SELECT doc_id, page_idx, (line_no % 20)::INT AS line_no, md5(html_fragment) AS m, round(fit, 6) AS fit FROM lines")
 def rendered_lines(spark, sf_dir):
     docs, rows = echoed(spark, sf_dir)
-    return layout.wrapped_lines(docs, threshold=6.0, rows=rows).select("doc_id", "page_idx", "line_no", F.md5("html_fragment").alias("m"), F.round("fit", 6).alias("fit"))
+    return layout.lines_of(layout.wrapped_of(docs, rows=rows)).select("doc_id", "page_idx", "line_no", F.md5("html_fragment").alias("m"), F.round("fit", 6).alias("fit"))
 
 
 LAID_RULES = ".m0{transform:matrix(0.5,0,0,0.25,0,0);}.fc0{color:#000000;}.fc1{color:#0066cc;}" + "".join(f"._{i}{{width:{i - 6}px;}}" for i in range(29))
@@ -374,7 +376,7 @@ LAID_RULES = ".m0{transform:matrix(0.5,0,0,0.25,0,0);}.fc0{color:#000000;}.fc1{c
     || CASE WHEN line_no % 20 = 19 THEN '</div>' ELSE '' END, '' ORDER BY line_no) || '</body></html>') AS html FROM lines GROUP BY doc_id""")
 def rendered(spark, sf_dir):
     docs, rows = echoed(spark, sf_dir)
-    return assemble.render(docs, layout.wrapped_lines(docs, threshold=6.0, rows=rows)).select("doc_id", F.md5("html").alias("html"))
+    return assemble.render(layout.wrapped_of(docs, rows=rows)).select("doc_id", F.md5("html").alias("html"))
 
 
 @query(f"WITH {SEG} SELECT doc_id, seg_id, page_idx, text, '[x] ' || text AS translated FROM seg")
