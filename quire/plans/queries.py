@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..conf import MODEL_TOKEN_LIMITS, PROVIDERS
 from ..functions import css, text
-from ..operators import assemble, batching, history, layout, metrics, pages, translate
-from ..sources import html, tables
+from ..operators import assemble, batching, history, layout, metrics, pages, table_function, translate
+from ..sources import html, sinks, tables
 from ..sources.tables import lines, table, words
 from ..streaming import progress as streaming
 
@@ -385,6 +385,34 @@ def bilingual_rows(spark, sf_dir):
     return assemble.bilingual(rows)
 
 
+TMX = """<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<tmx version="1.4">' || chr(10) || '<header srclang="x" datatype="plaintext" segtype="block" adminlang="en" o-tmf="none" creationtool="quire" creationtoolversion="1"/>' || chr(10) || '<body>' || chr(10)"""
+
+
+def sql_plain(t: str) -> str:
+    return sql_esc(f"regexp_replace(regexp_replace({t}, '<[^>]*>', '', 'g'), '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', '', 'g')")
+
+
+@query(f"""WITH {SEG}, r AS (SELECT *, CASE WHEN pos % 3 = 0 THEN '<b>' || text || '</b>' END AS tr FROM seg)
+SELECT doc_id, md5('[' || string_agg('{{"id":' || to_json(seg_id) || ',"page":' || page_idx || ',"source":' || to_json(text) || CASE WHEN tr IS NULL THEN '' ELSE ',"target":' || to_json(tr) END || '}}', ',' || chr(10) ORDER BY pos) || ']') AS json,
+  md5('{TMX} || string_agg('<tu tuid="' || seg_id || '"><tuv xml:lang="x"><seg>' || {sql_plain('text')} || '</seg></tuv><tuv xml:lang="de"><seg>' || {sql_plain('tr')} || '</seg></tuv></tu>', chr(10) ORDER BY pos) FILTER (tr IS NOT NULL) || chr(10) || '</body>' || chr(10) || '</tmx>' || chr(10)) AS tmx FROM r GROUP BY doc_id""")
+def bilingual_exports(spark, sf_dir):
+    """Lines of which every third is translated, as JSON and as a translation memory."""
+    rows = seg(spark, sf_dir).withColumn("translated", F.when(F.col("pos") % 3 == 0, F.concat(F.lit("<b>"), "text", F.lit("</b>"))))
+    told, memory = sinks.bilingual_json(rows, order="pos"), sinks.bilingual_tmx(rows, "x", "de", order="pos")
+    return told.join(memory, "doc_id", "left").select("doc_id", F.md5("json").alias("json"), F.md5("tmx").alias("tmx"))
+
+
+@query(f"""WITH {SEG}, placed AS (SELECT doc_id, page_idx, pos, [5, 9.5, 1][pos % 3 + 1]::DOUBLE AS x, [50, 70, 0, 50.25][pos % 4 + 1]::DOUBLE AS y FROM seg)
+SELECT doc_id, page_idx, pos AS line_no, x, y, (row_number() OVER (PARTITION BY doc_id, page_idx ORDER BY y DESC, x, pos) - 1)::INT AS visual_no FROM placed""")
+def visual_order(spark, sf_dir):
+    """Lines in three columns and at four heights, one of which no rule knows."""
+    sheet = ".x0{left:5px} .x1{left:9.5px} .x2{margin-left:1px} .y0{bottom:50px} .y1{margin-bottom:70px} .y3{bottom:50.25px}"
+    classes = F.array(F.lit("t"), F.concat(F.lit("x"), F.col("pos") % 3), F.concat(F.lit("y"), F.col("pos") % 4))
+    lines_ = seg(spark, sf_dir).select("doc_id", "page_idx", F.col("pos").alias("line_no"), classes.alias("line_classes"))
+    rules = css.style_rules(table(spark, sf_dir, "documents").select("doc_id", F.lit(sheet).alias("css")), ["doc_id"])
+    return layout.visual_order(lines_, rules).select("doc_id", "page_idx", "line_no", "x", "y", "visual_no")
+
+
 CSS = [
     (1, ".m0{transform:matrix(0.125,0,0,0.25,0,0);} .m1 { x:1; transform : matrix( -1.5 , 0, 0, 2 , 0,0)} .m0{transform:matrix(0.5,0,0,0.75,1,1)}"),
     (2, "._0{margin-left:2px;} ._1{width:1.5em} ._2{left:-4.077908pt} ._a{width:50%} ._0{right:3rem}"),
@@ -455,6 +483,14 @@ def fake_translate(spark, sf_dir):
     return assemble.with_pages(assemble.last_items(assemble.items(replies)).drop("n_items"), s)
 
 
+@query(ORACLES["fake_translate"])
+def translate_sql(spark, sf_dir):
+    """The same batches through the table function of SQL."""
+    s = seg(spark, sf_dir)
+    replies = table_function.translate_table(batching.batches(s), translate.Echo())
+    return assemble.with_pages(assemble.last_items(assemble.items(replies)).drop("n_items"), s)
+
+
 def landed_items(spark, sf_dir):
     """Results as a transformer might leave them: one in seven missing, one in five given twice."""
     s = seg(spark, sf_dir).where(text.should_translate(F.col("text"))).where("pos % 7 <> 3")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import base_name, page_size_text, pdf_date
+from .pdf import structures
 
 LINES_A_PAGE = 20
 
@@ -93,7 +94,7 @@ INFO = {"title": ("Title", "Unknown"), "subject": ("Subject", "Unknown"), "creat
 def scanned_structure(content: Column) -> dict[str, Column]:
     """What the plain objects of a PDF say, found by built-in expressions on its bytes; null where they say nothing.
 
-    Objects inside compressed streams aren't seen; pdf_structure() reads those where the optional package is there."""
+    Objects inside compressed streams and inherited boxes aren't seen; pdf_structure() reads those."""
     text = F.decode(content, "ISO-8859-1")
     number = r"\s*(-?[0-9.]+)"
     box = rf"/MediaBox\s*\[{number}{number}{number}{number}"
@@ -130,27 +131,6 @@ def pdf_properties(files: DataFrame, parsed: DataFrame | None = None) -> DataFra
 def pdf_structure(files: DataFrame) -> DataFrame:
     """(path, pages, width_pt, height_pt, tagged, title ... mod_date, error) of binary rows (path, content).
 
-    Needs the optional pypdf package on the executors; without it, or for a file that it can't read, everything but
-    the path is null and error says why."""
-    import pandas as pd
-
-    entries = [e for e, _ in INFO.values()]
-    names = ["path", "pages", "width_pt", "height_pt", "tagged", *INFO, "error"]
-
-    def read(path, content) -> tuple:
-        import io
-
-        try:
-            from pypdf import PdfReader
-
-            pdf = PdfReader(io.BytesIO(content))
-            root, box, info = pdf.trailer["/Root"], pdf.pages[0].mediabox, pdf.metadata or {}
-            return path, len(pdf.pages), float(box.width), float(box.height), "/MarkInfo" in root or "/StructTreeRoot" in root, *(None if (v := info.get("/" + e)) is None else str(v) for e in entries), None
-        except Exception as e:  # damaged files raise all sorts; the row reports it
-            return path, None, None, None, None, *[None] * len(entries), type(e).__name__
-
-    def run(batches):
-        for pdf in batches:
-            yield pd.DataFrame([read(p, c) for p, c in zip(pdf["path"], pdf["content"], strict=True)], columns=names)
-
-    return files.select("path", "content").mapInPandas(run, "path string, pages int, width_pt double, height_pt double, tagged boolean, " + "".join(f"{n} string, " for n in INFO) + "error string")
+    From the page tree, with boxes that pages inherit, and the info, objects in compressed streams included. A file that
+    can't be read has nulls, and error says why."""
+    return structures(files, {name: entry for name, (entry, _) in INFO.items()})

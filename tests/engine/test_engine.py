@@ -445,7 +445,7 @@ def test_sinks_and_structure(spark, tmp_path):
     assert {r.error for r in sinks.print_documents(docs, ["false"]).collect()} == {"exit 1"}
     (tmp_path / "x.pdf").write_bytes(b"junk")
     got = tables.pdf_structure(spark.read.format("binaryFile").load(str(tmp_path / "x.pdf"))).first()
-    assert got.pages is None and got.error and got.title is None
+    assert got.pages is None and got.error == "no root" and got.title is None
     whole = tables.pdf_properties(spark.read.format("binaryFile").load(str(tmp_path / "x.pdf"))).first()
     assert (whole.file_size, whole.pdf_version, whole.linearized, whole.tagged, whole.page_size, whole.pages_count, whole.title, whole.keywords, whole.mod_date) == ("0.00 MB", "PDF-1.4", "No", "No", "Unknown", 0, "Unknown", "None", "Unknown")
     better = tables.pdf_properties(spark.read.format("binaryFile").load(str(tmp_path / "x.pdf")), spark.createDataFrame([(got.path, 7, 595.0, 842.0, True, None, "s", None, None, None, None, "D:2024", None)], "path string, pages int, width_pt double, height_pt double, tagged boolean, " + ", ".join(f"{n} string" for n in tables.INFO))).first()

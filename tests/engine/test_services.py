@@ -216,3 +216,42 @@ def test_settings_reset(tmp_path):
     assert Settings(s.path).values == {"a": {"y": 1}}
     s.reset()
     assert Settings(s.path).values == {}
+
+
+class Contexts:
+    def __call__(self, system, message, model):
+        head, _, payload = message.rpartition(translate.CONTEXT_TAIL)
+        seen = head.replace(translate.CONTEXT_HEAD, "").replace("\n", "|")
+        if "boom" in payload:
+            raise RuntimeError("bad key")
+        return json.dumps([{"id": s["id"], "translated": f"{s['text']}<{seen}>"} for s in json.loads(payload)])
+
+
+@pytest.mark.parametrize("with_context", [False, True])
+def test_table_function_equals_the_batches(spark, with_context):
+    from quire.operators import table_function
+
+    rows = [(d, i, f"g-{i}", "boom" if (d, i) == (2, 5) else f"text {d} {i}", 0) for d in range(4) for i in range(9)]
+    batched = batching.batches(spark.createDataFrame(rows, "doc_id long, pos int, seg_id string, text string, page_idx int"), max_rows=3)
+    conf = EngineConf(context_size=2, max_retries=2)
+    wait = lambda seconds: None
+    key = lambda r: (r.doc_id, r.batch_no)
+    want = sorted(translate.translate_batches(batched, Contexts(), conf, with_context=with_context, sleep=wait).collect(), key=key)
+    got = sorted(table_function.translate_table(batched, Contexts(), conf, with_context=with_context, sleep=wait).collect(), key=key)
+    assert got == want and sum(r.error is not None for r in got) == 1 and len(got) == 12
+    table_function.register(spark, Contexts(), conf, with_context=with_context, name="translated", sleep=wait)
+    batched.createOrReplaceTempView("some_batches")
+    counted = spark.sql("SELECT doc_id, count(*) AS n, sum(size(items)) AS items FROM translated(TABLE(some_batches) PARTITION BY doc_id ORDER BY batch_no) GROUP BY doc_id ORDER BY doc_id").collect()
+    assert [r.n for r in counted] == [3] * 4 and counted[0]["items"] == 9
+
+
+def test_exports(spark):
+    import xml.etree.ElementTree
+
+    from quire.sources import sinks
+
+    rows = spark.createDataFrame([(1, 1, "g-1", 0, 'b & "c"', "<b>B</b> < x\x01"), (1, 0, "g-0", 0, "a", None), (1, 2, "g-2", 1, "é\n漢", "y")], "doc_id long, seg_no int, seg_id string, page_idx int, text string, translated string")
+    told = json.loads(sinks.bilingual_json(rows).first().json)
+    assert [t["id"] for t in told] == ["g-0", "g-1", "g-2"] and "target" not in told[0] and told[1]["source"] == 'b & "c"' and told[2] == {"id": "g-2", "page": 1, "source": "é\n漢", "target": "y"}
+    memory = xml.etree.ElementTree.fromstring(sinks.bilingual_tmx(rows, "en", "de").first().tmx.encode())
+    assert [[s.text for s in u.iter("seg")] for u in memory.iter("tu")] == [['b & "c"', "B < x"], ["é\n漢", "y"]] and memory.find("header").get("srclang") == "en"
