@@ -382,3 +382,39 @@ def test_lexicon_keeps_long_words_and_every_entry(spark):
     assert f" {start}bad " in lexicon and not any(e.startswith(" xxxx") and e != f" {start}bad " for e in lexicon)
     matcher = toxicity.Matcher(lexicon)
     assert matcher.measures(f"a {start}bad b")[2] > 0 and matcher.measures(f"a {start}good b")[2] == 0 and all(matcher.measures(w)[2] > 0 for w in bad)
+
+
+def test_very_long_text_through_operators_and_stages(spark, tmp_path):
+    """One text of 10 MB among short ones, with something to find at its very end."""
+    end = " write to last.one@example.org now released under the mit license api_key = abcdef1234567 " + " ".join(f"bench{i}" for i in range(12))
+    words = [f"{a}{b}" for a in ("lor", "ip", "dol", "sit", "am", "con") for b in ("em", "sum", "or", "et", "ex", "ad", "is")]
+    long = " ".join(random.Random(7).choices(words, k=2_000_000)) + end
+    assert len(long) > 10_000_000
+    texts = [prose(30) for _ in range(30)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate([*texts, long])], "doc_id long, text string, lang string, source string, n_chars long").repartition(2)
+    labels = spark.createDataFrame([(i, i % 2, int(i % 3 == 0)) for i in range(20)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, " ".join(f"bench{i}" for i in range(12)))], "item_id long, text string")
+    n = 2_000_000 + len(end.split())
+    for name, operator in OPERATORS.items():
+        got = {r.doc_id: r for r in operator(docs, labels, bench).collect()}
+        assert len(got) == 31, name
+        r = got[30]
+        if name == "rules":
+            assert r.n_words == n
+        elif name == "decontaminate":
+            assert r.n_hit == 12 and r.contaminated
+        elif name == "suffix":
+            assert r.n_bytes == len(long)
+        elif name == "licenses":
+            assert r.base_labels == "mit"
+        elif name == "pii":
+            assert [x.kind for x in r.base] == ["email"] and r.base[0].end > 10_000_000
+        elif name == "secrets":
+            assert [x.kind for x in r.base] == ["assign"] and r.base[0].end > 10_000_000
+        elif name == "redact":
+            assert "last.one@" not in r.text and len(r.text) > 10_000_000
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        kept = {r.doc_id for r in stage(spark, docs, str(tmp_path)).select("doc_id").collect()}
+        assert (30 in kept) == (name != "benchmark_decontamination"), name
