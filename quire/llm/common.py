@@ -143,14 +143,26 @@ def bounded_rows(docs: DataFrame, known: DataFrame, per_class: int) -> DataFrame
     return materialize(met.join(F.broadcast(keys), ["doc_id", "key"], "left_semi").groupBy("doc_id", "key").agg(F.first("text").alias("text"), F.first("y").alias("y")).drop("key"))
 
 
+#: Bytes of a batch that a task works on at a time.
+TOGETHER = 4 << 20
+
+
+def pieces(batch: pa.RecordBatch, size: int | None = None) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about `size` (TOGETHER) bytes, a row at least: batches grow with the rows of a file, up to
+    what Arrow sends at once, and what is made of their texts grows with them."""
+    rows = max(1, (size or TOGETHER) * batch.num_rows // max(1, batch.nbytes))
+    for at in range(0, batch.num_rows, rows):
+        yield batch.slice(at, rows)
+
+
 def map_texts(df: DataFrame, columns: list[str], schema: str | StructType, fn: Callable[[pa.RecordBatch], dict]) -> DataFrame:
-    """Runs fn on Arrow batches of the named columns; fn returns the output columns by name, in order."""
+    """Runs fn on pieces() of Arrow batches of the named columns; fn returns the output columns by name, in order."""
     from pyspark.sql.types import _parse_datatype_string
 
     target = pa_schema(_parse_datatype_string(schema) if isinstance(schema, str) else schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in pieces(whole)):
             out = fn(batch)
             yield pa.RecordBatch.from_arrays([x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x, type=t.type) for x, t in zip(out.values(), target, strict=True)], schema=target)
 
